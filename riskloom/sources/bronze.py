@@ -38,8 +38,9 @@ def read_nvd_bronze(spark: SparkSession, path: str) -> DataFrame:
     files = read_or_none(spark, path, merge=True)
     if files is None:
         raise FileNotFoundError(f"no vulnerability tables under {path}")
-    columns = files.columns
-    # A file holds an id once, so the file name alone decides.
+    # Files lie in one folder per start date; that column is not part of the table.
+    columns = [name for name in files.columns if name != "since"]
+    # A write holds an id once, so the path alone decides.
     named = files.select("*", F.col("_metadata.file_path").alias("_file"))
     return keep_last(named, ["cve_id"], ["_file"]).select(*columns)
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import date
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
@@ -32,7 +32,13 @@ KEV_FIELDS = {
 _KEV_ENTRY = "struct<" + ",".join(f"{name}:string" for name in KEV_FIELDS) + ">"
 
 EPSS_CSV = StructType([StructField(n, StringType()) for n in ("cve", "epss", "percentile")])
-EPSS_DAY_IN_NAME = r"(\d{4}-\d{2}-\d{2})"
+# The last date in a file's path: in its own name or in its folder's.
+_DAY_IN_PATH = r".*(\d{4}-\d{2}-\d{2})"
+
+
+def day_of_file() -> Column:
+    """The day a landed file belongs to, from its path."""
+    return F.to_date(F.regexp_extract(F.col("_metadata.file_path"), _DAY_IN_PATH, 1))
 
 
 class FeedError(RuntimeError):
@@ -50,16 +56,18 @@ def _entries(spark: SparkSession, path: str) -> DataFrame:
 
 def kev_rows(entries: DataFrame, text: str = "_json", order: tuple[str, ...] = ("_file", "_pos")) -> DataFrame:
     """Catalog rows from JSON entries: usable ones only, the first per id."""
-    parsed = entries.select(*order, F.from_json(text, _KEV_ENTRY).alias("_e")).select(
-        *order, *[F.col(f"_e.{source}").alias(out) for source, out in KEV_FIELDS.items()]
-    )
+    places = [f"_o{i}" for i in range(len(order))]
+    parsed = entries.select(
+        *[F.col(name).alias(place) for name, place in zip(order, places)],
+        F.from_json(text, _KEV_ENTRY).alias("_e"),
+    ).select(*places, *[F.col(f"_e.{source}").alias(out) for source, out in KEV_FIELDS.items()])
     usable = (
         parsed.withColumn("cve_id", none_if_empty(F.col("cve_id")))
         .withColumn("date_added", iso_date(F.col("date_added")))
         .withColumn("due_date", iso_date(F.col("due_date")))
         .where("cve_id is not null and date_added is not null")
     )
-    return conform(keep_first(usable, ["cve_id"], order), KEV_BRONZE)
+    return conform(keep_first(usable, ["cve_id"], places), KEV_BRONZE)
 
 
 def read_kev(spark: SparkSession, path: str) -> DataFrame:
@@ -71,22 +79,22 @@ def read_kev(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_epss_csv(spark: SparkSession, path: str, snapshot: date | None = None) -> DataFrame:
-    """Daily score files, plain or gzipped; the day is given or comes from the file name.
+    """Daily score files, plain or gzipped; the day is given or comes from the file's path.
 
     Comment lines start with ``#``. The first three header names are checked
     against the file; a different header is an error when the file is read.
     """
     header = _checked_header(spark, path)
-    raw = spark.read.csv(path, header=True, comment="#", schema=header, enforceSchema=False)
-    day = F.lit(snapshot) if snapshot else F.to_date(
-        F.regexp_extract(F.col("_metadata.file_name"), EPSS_DAY_IN_NAME, 1)
+    raw = spark.read.option("recursiveFileLookup", True).csv(
+        path, header=True, comment="#", schema=header, enforceSchema=False
     )
+    day = F.lit(snapshot) if snapshot else day_of_file()
     rows = raw.select(
         F.col("cve").alias("cve_id"),
         F.col("epss").cast("float").alias("epss_score"),
         F.col("percentile").cast("float").alias("epss_percentile"),
         day.alias("snapshot_date"),
-        F.col("_metadata.file_name").alias("_file"),
+        F.col("_metadata.file_path").alias("_file"),
         F.col("_metadata.file_block_start").alias("_block"),
         F.monotonically_increasing_id().alias("_line"),
     ).where(F.col("cve_id").isNotNull())
@@ -97,7 +105,8 @@ def read_epss_csv(spark: SparkSession, path: str, snapshot: date | None = None)
 
 def _checked_header(spark: SparkSession, path: str) -> StructType:
     """The file's columns as strings; extra columns may follow the three known ones."""
-    lines = spark.read.text(path).where(~F.startswith("value", F.lit("#")) & (F.col("value") != ""))
+    texts = spark.read.option("recursiveFileLookup", True).text(path)
+    lines = texts.where(~F.startswith("value", F.lit("#")) & (F.col("value") != ""))
     first = lines.first()
     if first is None:
         raise FeedError(f"no data lines in {path}")
@@ -117,8 +126,10 @@ def nvd_rows(
     """Vulnerability rows from JSON records: the first per id in arrival order."""
     if max_records is not None:
         entries = entries.orderBy(*order).limit(max_records)
-    flat = flatten_nvd(entries, text, keep=order)
-    return conform(keep_first(flat, ["cve_id"], order), NVD_BRONZE)
+    places = [f"_o{i}" for i in range(len(order))]
+    placed = entries.select(text, *[F.col(name).alias(place) for name, place in zip(order, places)])
+    flat = flatten_nvd(placed, text, keep=tuple(places))
+    return conform(keep_first(flat, ["cve_id"], places), NVD_BRONZE)
 
 
 def read_nvd(
