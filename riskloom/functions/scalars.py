@@ -14,7 +14,7 @@ def iso_date(text: Column) -> Column:
     Only the first ten characters count, so no session time zone can move the day.
     """
     head = F.substring(text, 1, 10)
-    return F.when(head.rlike(r"^\d{4}-\d{1,2}-\d{1,2}$"), F.try_to_date(head, "yyyy-M-d"))
+    return F.when(head.rlike(r"^\d{4}-\d{1,2}-\d{1,2}$"), head.try_cast("date"))
 
 
 def clamp01(value: Column) -> Column:
@@ -49,7 +49,8 @@ def iso_weekday(day: Column) -> Column:
 def unquote(text: Column) -> Column:
     """Percent-decode; a stray ``%`` and a plus sign stay as they are."""
     safe = F.regexp_replace(text, r"%(?![0-9A-Fa-f]{2})", "%25")
-    return F.coalesce(F.try_url_decode(F.replace(safe, F.lit("+"), F.lit("%2B"))), text)
+    decoded = F.coalesce(F.try_url_decode(F.replace(safe, F.lit("+"), F.lit("%2B"))), text)
+    return F.when(F.contains(text, F.lit("%")), decoded).otherwise(text)
 
 
 def none_if_empty(value: Column) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from riskloom.functions import nvd_record as nvd
 from riskloom.functions.scalars import iso_date, list_size, none_if_empty
+from riskloom.operators.once import compute_once
 from riskloom.schemas import NVD_BRONZE
 
 
@@ -16,16 +17,15 @@ def flatten_nvd(records: DataFrame, text: str, keep: tuple[str, ...] = ()) -> Da
     A field of the wrong type becomes null on its own; a text that is no JSON
     object has no id and drops out with the records that lack required fields.
     """
-    body = records.select(
-        *keep, nvd.unwrapped(F.from_json(F.col(text), nvd.RECORD_TYPE)).alias("_r")
-    )
+    parsed = compute_once(records, keep, F.from_json(F.col(text), nvd.RECORD_TYPE), "_j")
+    body = compute_once(parsed, keep, nvd.unwrapped(F.col("_j")), "_r")
     dated = body.select(
         "*",
         none_if_empty(F.col("_r.id")).alias("cve_id"),
         iso_date(F.col("_r.published")).alias("published_date"),
         iso_date(F.col("_r.lastModified")).alias("_modified"),
     ).where("cve_id is not null and published_date is not null and _modified is not null")
-    parsed = dated.select(
+    filled = dated.select(
         "*",
         nvd.english_text(F.col("_r.descriptions")).alias("description"),
         nvd.cvss_v3(F.col("_r.metrics")).alias("_cvss"),
@@ -34,7 +34,7 @@ def flatten_nvd(records: DataFrame, text: str, keep: tuple[str, ...] = ()) -> Da
         nvd.tagged(F.col("_r.references"), "exploit").alias("ref_has_exploit"),
         nvd.tagged(F.col("_r.references"), "patch").alias("ref_has_patch"),
     )
-    named = parsed.select(
+    named = filled.select(
         "*",
         *[nvd.field_set(F.col("_cpe"), f).alias(f"{f}s") for f in ("vendor", "product", "version")],
     )

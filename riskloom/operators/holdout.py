@@ -163,7 +163,7 @@ def content_hash(
         F.concat_ws(
             ",",
             text,
-            F.date_format(day, "yyyy-MM-dd"),
+            F.col(day).cast("date").cast("string"),
             F.coalesce(F.col(label).cast("int"), F.lit(0)).cast("string"),
         ).alias("_line"),
     )

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from riskloom.functions.identifiers import purl_parts
 from riskloom.functions.scalars import none_if_empty
 from riskloom.operators.dedup import keep_first
+from riskloom.operators.once import compute_once
+from riskloom.session import cut_lineage
 
 INLINE, EXACT, NAME = "inline_vex", "product_version_exact", "product_name"
 # Confidence reported with each method.
@@ -61,16 +63,16 @@ def index_matches(components: DataFrame, index: DataFrame) -> DataFrame:
 
     The version test runs once per distinct (name, version), not per component.
     """
-    parts = purl_parts(F.col("purl"))
-    wanted = components.select("doc_id", "pos", "purl", "name", "version", parts.alias("_u")).select(
+    parts = compute_once(
+        components, ["doc_id", "pos", "purl", "name", "version"], purl_parts(F.col("purl")), "_u"
+    )
+    version = F.coalesce(none_if_empty(F.col("_u.version")), none_if_empty(F.col("version")))
+    wanted = parts.select(
         "doc_id",
         "pos",
         F.coalesce("purl", F.lit("")).alias("purl"),
         F.lower(F.coalesce(none_if_empty(F.col("_u.name")), F.col("name"))).alias("product"),
-        F.coalesce(
-            F.lower(F.coalesce(none_if_empty(F.col("_u.version")), none_if_empty(F.col("version")))),
-            F.lit(""),
-        ).alias("_version"),
+        F.coalesce(F.lower(version), F.lit("")).alias("_version"),
     ).where(F.col("product") != "")
     comparable = (F.col("_version") != "") & (F.coalesce(F.size("versions"), F.lit(0)) > 0)
     confirmed = comparable & F.array_contains("versions", F.col("_version"))
@@ -105,8 +107,10 @@ def match_components(
     """One row per (document, purl, vulnerability): stated matches win, then component order.
 
     ``components``: doc_id, pos, purl, name, version, bom_ref. Without an index
-    only the stated matches remain.
+    only the stated matches remain. Components are stored once and then read by
+    each step, so a corpus is parsed once for them.
     """
+    components = cut_lineage(components.select("doc_id", "pos", "purl", "name", "version", "bom_ref"))
     found = inline_matches(components, inline)
     if index is not None:
         found = found.unionByName(index_matches(components, index))

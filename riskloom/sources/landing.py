@@ -11,7 +11,9 @@ from pyspark.sql.types import StringType, StructField, StructType
 from riskloom.functions.scalars import iso_date, none_if_empty
 from riskloom.operators.dedup import keep_first
 from riskloom.operators.flatten import flatten_nvd
+from riskloom.operators.once import compute_once
 from riskloom.schemas import EPSS_BRONZE, KEV_BRONZE, NVD_BRONZE, conform
+from riskloom.session import spread
 
 # Fixed value: records taken per ingest unless the caller asks for more.
 MAX_RECORDS = 50_000
@@ -51,16 +53,16 @@ def _entries(spark: SparkSession, path: str) -> DataFrame:
         F.col("_metadata.file_name").alias("_file"),
         F.from_json("value", "vulnerabilities array<string>").alias("_doc"),
     )
-    return files.select("_file", F.posexplode("_doc.vulnerabilities").alias("_pos", "_json"))
+    return spread(files.select("_file", F.posexplode("_doc.vulnerabilities").alias("_pos", "_json")))
 
 
 def kev_rows(entries: DataFrame, text: str = "_json", order: tuple[str, ...] = ("_file", "_pos")) -> DataFrame:
     """Catalog rows from JSON entries: usable ones only, the first per id."""
     places = [f"_o{i}" for i in range(len(order))]
-    parsed = entries.select(
-        *[F.col(name).alias(place) for name, place in zip(order, places)],
-        F.from_json(text, _KEV_ENTRY).alias("_e"),
-    ).select(*places, *[F.col(f"_e.{source}").alias(out) for source, out in KEV_FIELDS.items()])
+    placed = entries.select(text, *[F.col(name).alias(place) for name, place in zip(order, places)])
+    parsed = compute_once(placed, places, F.from_json(text, _KEV_ENTRY), "_e").select(
+        *places, *[F.col(f"_e.{source}").alias(out) for source, out in KEV_FIELDS.items()]
+    )
     usable = (
         parsed.withColumn("cve_id", none_if_empty(F.col("cve_id")))
         .withColumn("date_added", iso_date(F.col("date_added")))

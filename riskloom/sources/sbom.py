@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from riskloom.functions.identifiers import component_purl, cve_id_in
 from riskloom.functions.scalars import none_if_empty
+from riskloom.operators.once import compute_once
+from riskloom.session import spread
 
 _ENVELOPE = "bomFormat string, specVersion string, components string, vulnerabilities string"
 _COMPONENT = "struct<type:string,`bom-ref`:string,name:string,version:string,purl:string>"
@@ -35,13 +37,13 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
 
 def parse_documents(documents: DataFrame, *, doc: str = "doc_id", text: str = "json") -> Inventory:
     """Split documents into components and stated matches; bad ones go to ``rejects``."""
-    opened = documents.select(
-        F.col(doc).alias("doc_id"), F.trim(text).alias("_text"), F.from_json(text, _ENVELOPE).alias("_d")
-    ).select(
-        "doc_id",
-        (F.startswith("_text", F.lit("{")) & F.endswith("_text", F.lit("}"))).alias("_object"),
-        "_d.*",
+    body = F.trim(text)
+    opening = F.struct(
+        (F.startswith(body, F.lit("{")) & F.endswith(body, F.lit("}"))).alias("_object"),
+        F.from_json(text, _ENVELOPE).alias("_d"),
     )
+    named = spread(documents.select(F.col(doc).alias("doc_id"), F.col(text)))
+    opened = compute_once(named, ["doc_id"], opening, "_o").select("doc_id", "_o._object", "_o._d.*")
     listed = F.coalesce(F.startswith(F.trim("components"), F.lit("[")), F.lit(False))
     absent = F.col("components").isNull() | F.trim("components").isin(_ABSENT)
     version = F.nullif(none_if_empty(F.col("specVersion")), F.lit("0"))
@@ -57,7 +59,8 @@ def parse_documents(documents: DataFrame, *, doc: str = "doc_id", text: str = "j
     elements = accepted.select(
         "doc_id", F.posexplode(F.from_json("components", "array<string>")).alias("pos", "_e")
     ).where(F.startswith(F.trim("_e"), F.lit("{")))
-    entry = elements.select("doc_id", "pos", F.from_json("_e", _COMPONENT).alias("_c")).select(
+    parsed = compute_once(elements, ["doc_id", "pos"], F.from_json("_e", _COMPONENT), "_c")
+    entry = parsed.select(
         "doc_id",
         "pos",
         component_purl(
@@ -69,11 +72,14 @@ def parse_documents(documents: DataFrame, *, doc: str = "doc_id", text: str = "j
         none_if_empty(F.col("_c.bom-ref")).alias("_ref"),
     )
     components = entry.withColumn("bom_ref", F.coalesce("_ref", "purl")).drop("_ref")
-    stated = (
-        accepted.select("doc_id", F.explode(F.from_json("vulnerabilities", "array<string>")).alias("_e"))
-        .select("doc_id", F.from_json("_e", _VULNERABILITY).alias("_v"))
-        .select("doc_id", cve_id_in(F.col("_v.id")).alias("cve_id"), F.explode("_v.affects").alias("_a"))
-        .select("doc_id", F.from_json("_a", "ref string")["ref"].alias("ref"), "cve_id")
-        .where("cve_id is not null and ref is not null")
+    listing = accepted.select(
+        "doc_id", F.explode(F.from_json("vulnerabilities", "array<string>")).alias("_e")
+    )
+    findings = compute_once(listing, ["doc_id"], F.from_json("_e", _VULNERABILITY), "_v")
+    affected = findings.select(
+        "doc_id", cve_id_in(F.col("_v.id")).alias("cve_id"), F.explode("_v.affects").alias("_a")
     )
+    stated = compute_once(
+        affected, ["doc_id", "cve_id"], F.from_json("_a", "ref string")["ref"], "ref"
+    ).where("cve_id is not null and ref is not null")
     return Inventory(components, stated, judged.where("reason is not null").select("doc_id", "reason"))

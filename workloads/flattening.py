@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from riskloom.functions.identifiers import component_purl, cpe_parts, cve_id_in, purl_parts
 from riskloom.operators.flatten import flatten_nvd
+from riskloom.session import spread
 from riskloom.sources.landing import kev_rows, nvd_rows
 from workloads import derived
 from workloads.registry import query, table
@@ -97,7 +98,8 @@ def nvd_records(spark: SparkSession, folder: str) -> DataFrame:
     ]
     wrapped = F.to_json(F.struct(F.struct(*body).alias("cve")))
     text = F.when(key % 2 == 0, wrapped).otherwise(F.to_json(F.struct(*body)))
-    return table(spark, folder, "part").select(F.col("p_partkey").alias("_pos"), text.alias("_json"))
+    parts = spread(table(spark, folder, "part"))
+    return parts.select(F.col("p_partkey").alias("_pos"), text.alias("_json"))
 
 
 _NVD_FLAT = f"""
@@ -174,16 +176,16 @@ def nvd_bronze_rows(spark: SparkSession, folder: str) -> DataFrame:
 )
 def kev_flatten(spark: SparkSession, folder: str) -> DataFrame:
     """Catalog entries in JSON: bad dates null, rows without id or date dropped, first per id."""
-    day = F.date_format("l_shipdate", "yyyy-MM-dd")
+    day = _text(F.to_date("l_shipdate"))
     entry = F.struct(
         derived.cve("CVE-2024-", "l_orderkey").alias("cveID"),
         F.concat(F.lit("vendor "), _text(F.col("l_suppkey"))).alias("vendorProject"),
         F.when(F.col("l_quantity") != 7, F.concat(day, F.lit("T00:00"))).otherwise("unknown").alias("dateAdded"),
         F.when(F.col("l_partkey") % 4 == 0, "soon")
-        .otherwise(F.date_format(F.date_add(F.to_date("l_shipdate"), 14), "yyyy-MM-dd"))
+        .otherwise(_text(F.date_add(F.to_date("l_shipdate"), 14)))
         .alias("dueDate"),
     )
-    entries = table(spark, folder, "lineitem").select(
+    entries = spread(table(spark, folder, "lineitem")).select(
         "l_linenumber", "l_partkey", "l_suppkey", F.to_json(entry).alias("_json")
     )
     rows = kev_rows(entries, order=("l_linenumber", "l_partkey", "l_suppkey"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from riskloom.operators.match import inline_matches, match_components, product_index
 from riskloom.operators.score import rank_matches, score_ids
 from riskloom.plans.ranking import rank_documents
+from riskloom.session import spread
 from riskloom.sources.sbom import parse_documents
 from workloads import derived
 from workloads.registry import query, table
@@ -84,7 +85,7 @@ def documents(spark: SparkSession, folder: str) -> DataFrame:
         .when((key % 10 == 3) & (F.col("o_orderstatus") == "P"), spoiled)
         .otherwise(body)
     )
-    return table(spark, folder, "orders").select(key.alias("doc_id"), text.alias("json"))
+    return spread(table(spark, folder, "orders")).select(key.alias("doc_id"), text.alias("json"))
 
 
 def products(spark: SparkSession, folder: str) -> DataFrame:
