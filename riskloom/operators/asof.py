@@ -111,19 +111,27 @@ def asof_lookup(
     tie_break: Sequence[str] = (),
     fill: Fill | None = None,
     matched: str | None = None,
+    right_unique: bool = False,
 ) -> DataFrame:
     """As-of join for a left side with one row per key, such as a primary-keyed table.
 
     The right rows of a key meet a single left row, so an equi-join and a
-    maximum suffice: both sides shuffle once on the key and stay there.
+    maximum suffice: both sides shuffle once on the key and stay there. Right
+    rows are first reduced to one per (key, time) before they are shuffled on
+    the key, so that a key has at most as many as there are times;
+    ``right_unique`` leaves that out for a table that already is.
     """
     point = left.select(F.col(on).alias("_k"), F.col(left_time).alias("_t"))
     history = right.select(
-        F.col(on).alias("_k"), _payload(right, right_time, values, tie_break).alias("_best")
+        F.col(on).alias("_k"),
+        F.col(right_time).alias("_at"),
+        _payload(right, right_time, values, tie_break).alias("_best"),
     )
+    if not right_unique:
+        history = history.groupBy("_k", "_at").agg(F.max("_best").alias("_best"))
     best = (
         point.join(history, "_k")
-        .where(F.col("_best")["_at"] <= F.col("_t"))
+        .where(F.col("_at") <= F.col("_t"))
         .groupBy("_k")
         .agg(F.max("_best").alias("_best"))
     )

@@ -48,6 +48,8 @@ def epss_as_of(master: DataFrame, history: DataFrame | None) -> DataFrame:
         right_time="snapshot_date",
         values=EPSS,
         fill=dict.fromkeys(EPSS, 0.0),
+        # The stored history holds one row per id and day.
+        right_unique=True,
     )
 
 
@@ -82,10 +84,10 @@ def feature_frame(
         keep += [c for c in wide.columns if c.startswith("f_") and c not in keep]
     if include_temporal:
         if point_in_time:
-            dated = temporal.temporal_per_row(wide)
+            dated = temporal.temporal_per_row(wide, counted=master)
         else:
             anchor = F.lit(as_of) if as_of else temporal.latest_day(master, "published_date")
-            dated = temporal.temporal_as_of(wide, anchor)
+            dated = temporal.temporal_as_of(wide, anchor, counted=master)
             if as_of:
                 # Rows after the anchor stay in the frame without temporal features.
                 later = wide.where(F.col("published_date") > F.lit(as_of))

@@ -12,17 +12,37 @@ from riskloom.operators.temporal import latest_day
 FEATURES = ("f_max_cwe_popularity", "f_mean_cwe_popularity", "f_cwe_distinct_count")
 
 
+TAG_COUNT = "_tag_count"
+
+
 def explode_tags(df: DataFrame, *, key: str, day: str, tags: str) -> DataFrame:
-    """One row per (row, tag); a row without tags gives one row with a null tag."""
-    return df.select(key, day, F.explode_outer(tags).alias("_tag"))
+    """One row per (row, tag); a row without tags gives one row with a null tag.
+
+    Each row also carries how many different tags it has, so that nobody has
+    to count distinct values again after the explode.
+    """
+    different = F.size(F.array_distinct(F.filter(tags, lambda t: t.isNotNull())))
+    return df.select(
+        key,
+        day,
+        F.when(F.col(tags).isNull(), F.lit(0)).otherwise(different).alias(TAG_COUNT),
+        F.explode_outer(tags).alias("_tag"),
+    )
+
+
+def _tag_rows(tagged: DataFrame, key: str, tag: str, *more: Column) -> DataFrame:
+    counts = [TAG_COUNT] if TAG_COUNT in tagged.columns else []
+    return tagged.select(key, *more, F.col(tag).alias("_tag"), *counts)
 
 
 def _summarise(rated: DataFrame, key: str) -> DataFrame:
     popularity = F.coalesce("_popularity", F.lit(0))
+    known = TAG_COUNT in rated.columns
+    different = F.max(TAG_COUNT) if known else F.countDistinct("_tag")
     return rated.groupBy(key).agg(
         F.max(popularity).cast("int").alias(FEATURES[0]),
         F.avg(popularity).cast("float").alias(FEATURES[1]),
-        F.countDistinct("_tag").cast("int").alias(FEATURES[2]),
+        different.cast("int").alias(FEATURES[2]),
     )
 
 
@@ -32,7 +52,7 @@ def popularity_per_row(tagged: DataFrame, *, key: str, day: str, tag: str = "_ta
     ``tagged`` has one row per (row, tag). Counting per (tag, day) first keeps
     the cumulative window at one row per day, however popular the tag is.
     """
-    rows = tagged.select(key, F.col(day).alias("_day"), F.col(tag).alias("_tag")).where(
+    rows = _tag_rows(tagged, key, tag, F.col(day).cast("date").alias("_day")).where(
         F.col("_day").isNotNull()
     )
     upto = (
@@ -61,7 +81,7 @@ def popularity_as_of(
     if as_of is None:
         as_of = latest_day(tagged, day)
     anchor = as_of if isinstance(as_of, Column) else F.lit(as_of)
-    rows = tagged.where(F.col(day) <= anchor).select(key, F.col(tag).alias("_tag"))
+    rows = _tag_rows(tagged.where(F.col(day) <= anchor), key, tag)
     counts = (
         rows.where(F.col("_tag").isNotNull())
         .groupBy("_tag")

@@ -23,7 +23,7 @@ def _daily(df: DataFrame, day: str, iso_year: bool) -> DataFrame:
     # December may share a bucket with early January of the same year.
     year = F.extract(F.lit("YEAROFWEEK"), F.col("_day")) if iso_year else F.year("_day")
     return (
-        df.groupBy(F.col(day).alias("_day"))
+        df.groupBy(F.col(day).cast("date").alias("_day"))
         .agg(F.count(F.lit(1)).alias("_n"))
         .where(F.col("_day").isNotNull())
         .withColumn("_week_year", year)
@@ -47,7 +47,7 @@ def _with_counts(df: DataFrame, daily: DataFrame, day: str, upto_own_day: bool)
     )
     # One row per calendar day: DateType holds fewer than 3.7 million days, so
     # the broadcast stays below 100 MB whatever the size of the input.
-    return df.join(F.broadcast(counts), F.col(day) == F.col("_day"), "inner").drop("_day")
+    return df.join(F.broadcast(counts), F.col(day).cast("date") == F.col("_day"), "inner").drop("_day")
 
 
 def _finish(df: DataFrame, day: str, as_of: Column) -> DataFrame:
@@ -60,14 +60,23 @@ def _finish(df: DataFrame, day: str, as_of: Column) -> DataFrame:
     )
 
 
-def temporal_per_row(df: DataFrame, *, day: str = "published_date", iso_year: bool = False) -> DataFrame:
+def temporal_per_row(
+    df: DataFrame,
+    *,
+    day: str = "published_date",
+    iso_year: bool = False,
+    counted: DataFrame | None = None,
+) -> DataFrame:
     """Features as of each row's own day: counts include that day and nothing later.
 
     Rows are first counted per day, so the windows run over days, and a busy
     day is one row of the count table. Rows without a date drop out.
+    ``counted`` names the table to count when ``df`` is that table with joined
+    columns, so that those joins do not run again for the counts.
     """
-    counted = _with_counts(df, _daily(df, day, iso_year), day, upto_own_day=True)
-    return _finish(counted, day, F.col(day)).select(*df.columns, *FEATURES)
+    daily = _daily(df if counted is None else counted, day, iso_year)
+    with_counts = _with_counts(df, daily, day, upto_own_day=True)
+    return _finish(with_counts, day, F.col(day)).select(*df.columns, *FEATURES)
 
 
 def temporal_as_of(
@@ -76,11 +85,13 @@ def temporal_as_of(
     *,
     day: str = "published_date",
     iso_year: bool = False,
+    counted: DataFrame | None = None,
 ) -> DataFrame:
     """Features of the rows visible at one ``as_of`` (default: the latest day)."""
+    source = df if counted is None else counted
     if as_of is None:
-        as_of = latest_day(df, day)
+        as_of = latest_day(source, day)
     anchor = as_of if isinstance(as_of, Column) else F.lit(as_of)
-    visible = df.where(F.col(day) <= anchor)
-    counted = _with_counts(visible, _daily(visible, day, iso_year), day, upto_own_day=False)
-    return _finish(counted, day, anchor).select(*df.columns, *FEATURES)
+    daily = _daily(source.where(F.col(day) <= anchor), day, iso_year)
+    with_counts = _with_counts(df.where(F.col(day) <= anchor), daily, day, upto_own_day=False)
+    return _finish(with_counts, day, anchor).select(*df.columns, *FEATURES)

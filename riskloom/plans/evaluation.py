@@ -24,6 +24,7 @@ from riskloom.operators.labels import drop_open_rows
 from riskloom.operators.metrics import compare_models, metric_bundle
 from riskloom.plans.boosting import BoosterParams, DegenerateTarget, assembler, fit_booster, predicted
 from riskloom.plans.training import BASELINE, DAY, LABEL, STRATEGY, blended
+from riskloom.session import cut_lineage
 
 # Fixed value: the gate fails when the baseline leads by more than this.
 AUC_PR_MARGIN = 1.0
@@ -108,8 +109,9 @@ def evaluate_model(
     residual = metadata.get("strategy") == STRATEGY and metadata.get("task") == "regression"
     scored = predicted(model, held, task="regression" if residual else "classification")
     scored = blended(scored) if residual else scored.withColumn("score", F.col("predicted"))
+    # The metrics read the scores several times; the model runs once.
     table = compare_models(
-        scored,
+        cut_lineage(scored.select("cve_id", LABEL, BASELINE, "score")),
         {"model": "score", "baseline": BASELINE},
         label=LABEL,
         baseline="baseline",
@@ -200,7 +202,7 @@ def ablations(
         [part.withColumn("variant", F.lit(name)) for name, part in variants.items()],
     )
     made = metric_bundle(
-        every, label=LABEL, score="score", k=config.top_k, tie_break=["cve_id"], groups=["variant"]
+        cut_lineage(every), label=LABEL, score="score", k=config.top_k, tie_break=["cve_id"], groups=["variant"]
     ).select("variant", "auc_pr", "auc_roc", "precision_at_k", "brier", F.lit(None).cast("string").alias("note"))
     if not notes:
         return made

@@ -29,6 +29,7 @@ from riskloom.plans.boosting import (
     importances,
     predicted,
 )
+from riskloom.session import cut_lineage
 
 MODEL_VERSION = "gbt@v0.1.0"
 STRATEGY = "epss_complement"
@@ -168,7 +169,10 @@ def _train_closed(closed: DataFrame, features: list[str], config: TrainConfig) -
             fit_rows, valid = part.where("role = 'train'"), part.where("role = 'valid'")
             tuned[number], models[number] = _fit_fold(fit_rows, valid, config)
             scored.append(blended(predicted(models[number], valid)))
-        every = reduce(DataFrame.unionByName, scored)
+        # The metrics read the scores several times; the models run once.
+        every = cut_lineage(
+            reduce(DataFrame.unionByName, scored).select("fold", "cve_id", LABEL, "score")
+        )
         metrics = metric_bundle(
             every, label=LABEL, score="score", k=config.top_k, tie_break=["cve_id"], groups=["fold"]
         ).persist()
@@ -223,7 +227,7 @@ def _fit_fold(train_rows: DataFrame, valid: DataFrame, config: TrainConfig):
 
     def gain(params: BoosterParams) -> float:
         fitted[params] = fit_booster(train_rows, valid, target="_target", params=params)
-        rows = blended(predicted(fitted[params], valid))
+        rows = cut_lineage(blended(predicted(fitted[params], valid)).select(LABEL, "score"))
         return evaluate(rows, label=LABEL, score="score").first()["auc_pr"]
 
     best = greedy_search(config.booster, grid, gain)

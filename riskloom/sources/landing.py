@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from datetime import date
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -12,6 +13,7 @@ from riskloom.functions.scalars import iso_date, none_if_empty
 from riskloom.operators.dedup import keep_first
 from riskloom.operators.flatten import flatten_nvd
 from riskloom.operators.once import compute_once
+from riskloom.operators.ordering import number_rows
 from riskloom.schemas import EPSS_BRONZE, KEV_BRONZE, NVD_BRONZE, conform
 from riskloom.session import spread
 
@@ -119,6 +121,18 @@ def _checked_header(spark: SparkSession, path: str) -> StructType:
     return StructType([*EPSS_CSV.fields, *extra])
 
 
+def first_records(entries: DataFrame, n: int, order: Sequence[str]) -> DataFrame:
+    """The first ``n`` entries along a total order.
+
+    Only the order columns are numbered; the texts are filtered by the last
+    position that counts, and so are neither sorted nor moved.
+    """
+    keys = [F.col(name) for name in order]
+    numbered = number_rows(entries.select(*keys), [key.asc() for key in keys], out="_n")
+    last = numbered.where(F.col("_n") <= n).agg(F.max(F.struct(*keys)).alias("_last"))
+    return entries.where(F.struct(*keys) <= last.scalar())
+
+
 def nvd_rows(
     entries: DataFrame,
     text: str = "_json",
@@ -127,7 +141,7 @@ def nvd_rows(
 ) -> DataFrame:
     """Vulnerability rows from JSON records: the first per id in arrival order."""
     if max_records is not None:
-        entries = entries.orderBy(*order).limit(max_records)
+        entries = first_records(entries, max_records, order)
     places = [f"_o{i}" for i in range(len(order))]
     placed = entries.select(text, *[F.col(name).alias(place) for name, place in zip(order, places)])
     flat = flatten_nvd(placed, text, keep=tuple(places))
