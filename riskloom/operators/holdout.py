@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import math
 from dataclasses import dataclass
 from datetime import date
 
@@ -11,10 +10,16 @@ from pyspark.sql import functions as F
 
 from riskloom.operators.ordering import number_rows
 
-HASH_HEADER = "cve_id,published_date,exploited_30d"
 FLAT_HASH_ROWS = 1_000_000
-ROWS_PER_BLOCK = 4096
+# Hex digits of the key digest that name a block, one entry per level.
+BLOCK_DIGITS = (6, 3, 0)
+# The hashed text's first line and the reported reasons.
+HASH_HEADER = "cve_id,published_date,exploited_30d"
 EMPTY_REASON = "no closed-window rows available after right-censoring"
+SPARSE_REASON = (
+    "no rolling holdout window met minimums (need >= %d rows and >= %d positives; "
+    "best attempt was last %dd with n=%d, positives=%d)"
+)
 
 
 @dataclass(frozen=True)
@@ -103,8 +108,7 @@ def select_holdout(
         F.min_by(whole, "window_days").alias("miss"),
     )
     reason = F.format_string(
-        "no rolling holdout window met minimums (need >= %d rows and >= %d positives; "
-        "best attempt was last %dd with n=%d, positives=%d)",
+        SPARSE_REASON,
         F.lit(config.min_rows),
         F.lit(config.min_positives),
         F.col("miss.window_days"),
@@ -151,8 +155,8 @@ def content_hash(
     """One row: n_rows, scheme and SHA-256 over key, date and label in key order.
 
     Up to ``flat_rows`` rows the digest is that of the whole text. A larger
-    slice is hashed in blocks by key digest and the block digests are combined
-    level by level, so no task ever holds more than a few thousand lines.
+    slice is hashed in 16.8 million blocks by key digest, and the block digests
+    are combined 4096 at a time, so that no task holds more than a block.
     """
     missing = [c for c in (key, day, label) if c not in rows.columns]
     if missing:
@@ -176,30 +180,25 @@ def content_hash(
         digest = lines.agg(F.sha2(F.array_join(body, "\n"), 256).alias("sha256"))
         scheme = "flat"
     else:
-        digest, scheme = _block_hash(lines, n), "blocks"
+        digest, scheme = _block_hash(lines), "blocks"
     return digest.select(
         F.lit(n).cast("long").alias("n_rows"), F.lit(scheme).alias("scheme"), "sha256"
     )
 
 
-def _block_hash(lines: DataFrame, n: int) -> DataFrame:
-    digits = max(3, math.ceil(math.log(max(1.0, n / ROWS_PER_BLOCK), 16)))
+def _block_hash(lines: DataFrame) -> DataFrame:
     copies = lines.groupBy("_k", "_line").agg(F.count(F.lit(1)).alias("_n"))
-    level = copies.select(
-        F.substring(F.sha2("_k", 256), 1, digits).alias("_block"),
-        F.concat_ws(",", "_line", F.col("_n").cast("string")).alias("_text"),
-    )
-    while True:
+    text = F.concat_ws(",", "_line", F.col("_n").cast("string"))
+    level = copies.select(F.sha2("_k", 256).alias("_block"), text.alias("_text"))
+    for digits in BLOCK_DIGITS:
         joined = F.array_join(F.array_sort(F.collect_list("_text")), "\n")
-        hashed = level.groupBy("_block").agg(F.sha2(joined, 256).alias("sha256"))
-        if digits == 0:
-            break
-        digits = max(0, digits - 3)
-        level = hashed.select(
-            F.substring("_block", 1, digits).alias("_block"),
-            F.concat_ws(",", "_block", "sha256").alias("_text"),
+        level = (
+            level.withColumn("_block", F.substring("_block", 1, digits))
+            .groupBy("_block")
+            .agg(F.sha2(joined, 256).alias("_hash"))
+            .select("_block", F.concat_ws(",", "_block", "_hash").alias("_text"))
         )
-    return hashed.select(F.sha2(F.concat_ws("\n", F.lit(HASH_HEADER), "sha256"), 256).alias("sha256"))
+    return level.select(F.sha2(F.concat_ws("\n", F.lit(HASH_HEADER), "_text"), 256).alias("sha256"))
 
 
 @dataclass(frozen=True)

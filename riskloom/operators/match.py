@@ -14,6 +14,10 @@ from riskloom.session import cut_lineage
 INLINE, EXACT, NAME = "inline_vex", "product_version_exact", "product_name"
 # Confidence reported with each method.
 CONFIDENCE = {INLINE: "high", EXACT: "medium", NAME: "low"}
+# The reason reported with each method.
+INLINE_REASON = "CycloneDX vulnerabilities[].id attached via affects.ref"
+EXACT_REASON = "product '%s' with version '%s' matched NVD CPE versions"
+NAME_REASON = "product '%s' matched NVD products without version equality (higher false-positive risk)"
 COLUMNS = ("doc_id", "purl", "cve_id", "match_method", "match_confidence", "match_reason", "tier", "pos")
 
 
@@ -52,7 +56,7 @@ def inline_matches(components: DataFrame, inline: DataFrame) -> DataFrame:
         F.coalesce(none_if_empty(F.col("_c.purl")), F.col("_c.name"), F.lit("")).alias("purl"),
         "cve_id",
         F.lit(INLINE).alias("match_method"),
-        F.lit("stated by the document for this component").alias("match_reason"),
+        F.lit(INLINE_REASON).alias("match_reason"),
         F.lit(1).alias("tier"),
         F.col("_c.pos").alias("pos"),
     )
@@ -84,12 +88,8 @@ def index_matches(components: DataFrame, index: DataFrame) -> DataFrame:
         .where(F.col("match_method").isNotNull())
         .select("product", "_version", "cve_id", "match_method")
     )
-    exact = F.concat(
-        F.lit("product '"), "product", F.lit("' lists version '"), "_version", F.lit("'")
-    )
-    by_name = F.concat(
-        F.lit("product '"), "product", F.lit("' without a version to compare; may be a false positive")
-    )
+    exact = F.format_string(EXACT_REASON, "product", "_version")
+    by_name = F.format_string(NAME_REASON, "product")
     return wanted.join(resolved, ["product", "_version"]).select(
         "doc_id",
         "purl",

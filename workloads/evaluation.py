@@ -90,12 +90,12 @@ def holdout_hash(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(
     f"""WITH {LABELLED},
-    b AS (SELECT substr(sha256(CAST(o_orderkey AS VARCHAR)), 1, 3) AS k,
-            string_agg({_LINE} || ',1', chr(10) ORDER BY {_LINE} || ',1') AS t FROM labelled GROUP BY 1),
-    r AS (SELECT sha256(string_agg(k || ',' || h, chr(10) ORDER BY k)) AS s
-            FROM (SELECT k, sha256(t) AS h FROM b))
+    b6 AS (SELECT substr(sha256(CAST(o_orderkey AS VARCHAR)), 1, 6) AS k,
+            sha256(string_agg({_LINE} || ',1', chr(10) ORDER BY {_LINE} || ',1')) AS h FROM labelled GROUP BY 1),
+    b3 AS (SELECT substr(k, 1, 3) AS k, sha256(string_agg(k || ',' || h, chr(10) ORDER BY k)) AS h FROM b6 GROUP BY 1),
+    r AS (SELECT sha256(string_agg(k || ',' || h, chr(10) ORDER BY k)) AS h FROM b3)
     SELECT (SELECT count(*) FROM labelled) AS n_rows, 'blocks' AS scheme,
-      sha256('cve_id,published_date,exploited_30d' || chr(10) || s) AS sha256 FROM r"""
+      sha256('cve_id,published_date,exploited_30d' || chr(10) || ',' || h) AS sha256 FROM r"""
 )
 def content_hash_blocks(spark: SparkSession, folder: str) -> DataFrame:
     """Fingerprint of all labelled orders in blocks, as used beyond the flat limit."""
@@ -156,6 +156,21 @@ def train_partition(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query(
+    f"""WITH {LABELLED} SELECT TRUE AS holdout_leak, count(*) AS n, CAST(sum(CAST(y AS BIGINT)) AS BIGINT) AS positives
+      FROM labelled"""
+)
+def train_partition_fallback(spark: SparkSession, folder: str) -> DataFrame:
+    """Too few positives before the window: all rows are taken and flagged as a leak."""
+    rows = label_within_30d(spark, folder)
+    kept = training_rows(rows, find_holdout(rows, **NAMES), min_positives=10**12, **NAMES)
+    return kept.frame.agg(
+        F.lit(kept.holdout_leak).alias("holdout_leak"),
+        F.count(F.lit(1)).alias("n"),
+        F.sum(F.col("within_30d").cast("long")).alias("positives"),
+    )
+
+
 @query(
     f"""WITH {LABELLED} SELECT o_orderkey, row_number() OVER (ORDER BY d, o_orderkey)
       <= greatest(10, CAST(floor((SELECT count(*) FROM labelled) * 0.8) AS BIGINT)) AS is_train FROM labelled"""
@@ -287,6 +302,30 @@ def metrics_bundle(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+@query(
+    f"""WITH {LABELLED}, e AS (SELECT max(d) AS last FROM labelled),
+    f AS (SELECT i AS fold, last - CAST((3 - i) * 60 - 1 AS INTEGER) AS lo FROM e, range(0, 3) r(i)),
+    scored AS (SELECT f.fold, CAST(l.y AS INTEGER) AS y, o.o_totalprice / 600000 AS p
+      FROM labelled l JOIN orders o ON o.o_orderkey = l.o_orderkey
+      JOIN f ON l.d BETWEEN f.lo AND f.lo + 59),
+    {_CURVE.format(g="fold, ", p="p", part="PARTITION BY fold ")},
+    m AS (SELECT fold, {_AP} AS ap, {_AUC} AS auc FROM cum GROUP BY fold),
+    b AS (SELECT fold, avg((least(1.0, greatest(0.0, p)) - y) ** 2) AS br FROM scored GROUP BY fold)
+    SELECT round(avg(ap), 6) AS auc_pr, round(avg(auc), 6) AS auc_roc, round(avg(br), 6) AS brier
+    FROM m JOIN b USING (fold)"""
+)
+def fold_metrics_mean(spark: SparkSession, folder: str) -> DataFrame:
+    """Metrics of every validation fold in one job, averaged over the folds."""
+    rows = label_within_30d(spark, folder)
+    first, last = rows.agg(F.min("order_date"), F.max("order_date")).first()
+    folds = plan_folds(first, last, n_splits=3, horizon_days=60, embargo_days=30)
+    valid = assign_folds(rows, folds, day="order_date").where("role = 'valid'")
+    prices = table(spark, folder, "orders").select("o_orderkey", (F.col("o_totalprice") / 600000).alias("p"))
+    scored = valid.join(prices, "o_orderkey")
+    per_fold = metrics.evaluate(scored, label="within_30d", score="p", groups=["fold"])
+    return per_fold.agg(*[F.round(F.avg(m), 6).alias(m) for m in ("auc_pr", "auc_roc", "brier")])
+
+
 # Scores with as many distinct values as rows, so that the slices carry totals.
 @query(
     f"""WITH scored AS (SELECT CAST(o_orderstatus = 'F' AS INTEGER) AS y,

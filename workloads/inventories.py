@@ -5,7 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.operators.match import inline_matches, match_components, product_index
+from riskloom.operators.match import (
+    EXACT,
+    EXACT_REASON,
+    INLINE,
+    INLINE_REASON,
+    NAME_REASON,
+    inline_matches,
+    match_components,
+    product_index,
+)
 from riskloom.operators.score import rank_matches, score_ids
 from riskloom.plans.ranking import rank_documents
 from riskloom.session import spread
@@ -111,14 +120,14 @@ idx AS (SELECT {derived.cve_sql("CVE-2023-", "p_partkey")} AS cve_id,
 
 MATCHES = """
 hits AS (
-  SELECT i.doc_id, c.purl, i.cve_id, 'inline_vex' AS match_method, 1 AS tier, c.pos
+  SELECT i.doc_id, c.purl, i.cve_id, 'inline_vex' AS match_method, 1 AS tier, c.pos, '' AS product, '' AS version
   FROM (SELECT DISTINCT * FROM inline) i JOIN (
     SELECT doc_id, bom_ref, max(pos) AS pos, arg_max(purl, pos) AS purl FROM components GROUP BY doc_id, bom_ref
   ) c ON c.doc_id = i.doc_id AND c.bom_ref = i.ref
   UNION ALL
   SELECT c.doc_id, c.purl, x.cve_id,
     CASE WHEN c.version IS NOT NULL AND x.versions IS NOT NULL THEN 'product_version_exact' ELSE 'product_name' END,
-    2, c.pos
+    2, c.pos, c.product, c.version
   FROM components c JOIN idx x ON x.product = c.product
   WHERE c.version IS NULL OR x.versions IS NULL OR list_contains(x.versions, c.version)),
 matches AS (
@@ -154,6 +163,9 @@ def product_lookup(spark: SparkSession, folder: str) -> DataFrame:
     return product_index(products(spark, folder)).withColumn("versions", F.array_join("versions", "|"))
 
 
+_REASONS = f"""CASE match_method WHEN '{INLINE}' THEN '{INLINE_REASON}'
+  WHEN '{EXACT}' THEN printf('{EXACT_REASON.replace("'", "''")}', product, version)
+  ELSE printf('{NAME_REASON.replace("'", "''")}', product) END AS match_reason"""
 _CONFIDENCE = """CASE match_method WHEN 'inline_vex' THEN 'high' WHEN 'product_version_exact' THEN 'medium'
   ELSE 'low' END AS match_confidence"""
 
@@ -165,11 +177,11 @@ def _matches(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(
     f"""WITH {COMPONENTS}, {INDEX}, {MATCHES}
-    SELECT doc_id, purl, cve_id, match_method, {_CONFIDENCE}, tier, pos FROM matches"""
+    SELECT doc_id, purl, cve_id, match_method, {_CONFIDENCE}, {_REASONS}, tier, pos FROM matches"""
 )
 def component_match(spark: SparkSession, folder: str) -> DataFrame:
     """Tiered matches of every component."""
-    return _matches(spark, folder).drop("match_reason")
+    return _matches(spark, folder)
 
 
 def _part_master(spark: SparkSession, folder: str) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from riskloom.operators.dedup import distinct_keys, keep_first, keep_last
 from riskloom.operators.labels import closed, drop_open_rows, label_within_horizon
 from riskloom.operators.temporal import latest_day
+from riskloom.operators.union import union_relaxed
 from workloads import derived
 from workloads.registry import query, table
 
@@ -154,3 +155,20 @@ def dedup_composite_key(spark: SparkSession, folder: str) -> DataFrame:
 def distinct_pairs(spark: SparkSession, folder: str) -> DataFrame:
     """Distinct (user, event type) pairs."""
     return distinct_keys(table(spark, folder, "events"), ["user_id", "event_type"])
+
+
+@query(
+    """
+    SELECT 'part' AS source, CAST(p_partkey AS BIGINT) AS key, CAST(p_size AS DOUBLE) AS amount FROM part
+    UNION ALL SELECT 'line', CAST(l_linenumber AS BIGINT), l_quantity FROM lineitem
+    """
+)
+def union_of_types(spark: SparkSession, folder: str) -> DataFrame:
+    """Two tables below each other, int with bigint and int with double."""
+    parts = table(spark, folder, "part").select(
+        F.lit("part").alias("source"), F.col("p_partkey").alias("key"), F.col("p_size").alias("amount")
+    )
+    lines = table(spark, folder, "lineitem").select(
+        F.lit("line").alias("source"), F.col("l_linenumber").alias("key"), F.col("l_quantity").alias("amount")
+    )
+    return union_relaxed([parts, lines])

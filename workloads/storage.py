@@ -8,11 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskloom.operators.dedup import keep_last
+from riskloom.plans.features import write_tabular_features, write_tag_features, write_temporal_features
 from riskloom.schemas import EPSS_BRONZE, KEV_BRONZE, NVD_BRONZE
 from riskloom.session import scratch_path
 from riskloom.sources import bronze, landing
 from riskloom.streaming.ingest import ingest_scores
 from workloads import derived
+from workloads.features import _CALENDAR, _RATED_ALL, _TABULAR, _TAGGED, _counts, _plain, _summary
 from workloads.flattening import nvd_records
 from workloads.registry import query, table
 
@@ -140,3 +142,24 @@ def kev_bronze(spark: SparkSession, folder: str) -> DataFrame:
     )
     bronze.write_table(landing.kev_rows(entries, order=("date_added",)), path, KEV_BRONZE)
     return bronze.read_kev_bronze(spark, path).select("cve_id", "date_added")
+
+
+@query(
+    f"""WITH {derived.NVD}, {_TAGGED}, {_RATED_ALL}, graph AS ({_summary("cve_id")}),
+    dated AS (SELECT cve_id, published_date AS d FROM nvd),
+    times AS (SELECT cve_id, {_CALENDAR}, CAST((SELECT max(d) FROM dated) - d AS INTEGER) AS f_age_days, {_counts()}
+      FROM dated)
+    SELECT nvd.cve_id, nvd.published_date, {_TABULAR}, times.* EXCLUDE (cve_id), graph.* EXCLUDE (cve_id)
+    FROM nvd JOIN times ON times.cve_id = nvd.cve_id JOIN graph ON graph.cve_id = nvd.cve_id"""
+)
+def stored_features(spark: SparkSession, folder: str) -> DataFrame:
+    """Tabular, temporal and tag features, each written to its own table and read back."""
+    base = scratch_path(spark, "features")
+    derived.nvd(spark, folder).write.parquet(f"{base}/master")
+    made = write_tabular_features(spark, f"{base}/master", f"{base}/tabular")
+    for other in (
+        write_temporal_features(spark, f"{base}/master", None, f"{base}/temporal"),
+        write_tag_features(spark, f"{base}/master", f"{base}/tags"),
+    ):
+        made = made.join(other, "cve_id")
+    return _plain(made)
