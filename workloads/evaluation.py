@@ -195,6 +195,8 @@ _AUC = (
     "/ (CAST(sum(pos) AS DOUBLE) * CAST(sum(n - pos) AS DOUBLE)), 9)"
 )
 
+_TWO = "sum(pos) > 0 AND sum(n - pos) > 0"
+
 
 def _ece_sql(p: str, group: str = "") -> str:
     edges = ", ".join(f"CAST({i} AS DOUBLE) * CAST(0.1 AS DOUBLE)" for i in range(1, 10))
@@ -309,7 +311,8 @@ def metrics_bundle(spark: SparkSession, folder: str) -> DataFrame:
       FROM labelled l JOIN orders o ON o.o_orderkey = l.o_orderkey
       JOIN f ON l.d BETWEEN f.lo AND f.lo + 59),
     {_CURVE.format(g="fold, ", p="p", part="PARTITION BY fold ")},
-    m AS (SELECT fold, {_AP} AS ap, {_AUC} AS auc FROM cum GROUP BY fold),
+    m AS (SELECT fold, CASE WHEN {_TWO} THEN {_AP} ELSE CAST('NaN' AS DOUBLE) END AS ap,
+      CASE WHEN {_TWO} THEN {_AUC} ELSE CAST('NaN' AS DOUBLE) END AS auc FROM cum GROUP BY fold),
     b AS (SELECT fold, avg((least(1.0, greatest(0.0, p)) - y) ** 2) AS br FROM scored GROUP BY fold)
     SELECT round(avg(ap), 6) AS auc_pr, round(avg(auc), 6) AS auc_roc, round(avg(br), 6) AS brier
     FROM m JOIN b USING (fold)"""

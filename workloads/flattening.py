@@ -181,7 +181,8 @@ def nvd_row_cap(spark: SparkSession, folder: str) -> DataFrame:
     f"""
     SELECT cve_id, 'vendor ' || CAST(l_suppkey AS VARCHAR) AS vendor_project, date_added,
       CASE WHEN l_partkey % 4 = 0 THEN NULL ELSE date_added + 14 END AS due_date
-    FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS rn
+    FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey
+        ORDER BY l_linenumber, l_partkey, l_suppkey, l_shipdate) AS rn
       FROM (SELECT *, CAST(l_shipdate AS DATE) AS date_added, {derived.LINE_ID} AS cve_id
         FROM lineitem WHERE l_quantity <> 7)) WHERE rn = 1
     """
@@ -198,9 +199,9 @@ def kev_flatten(spark: SparkSession, folder: str) -> DataFrame:
         .alias("dueDate"),
     )
     entries = spread(table(spark, folder, "lineitem")).select(
-        "l_linenumber", "l_partkey", "l_suppkey", F.to_json(entry).alias("_json")
+        "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate", F.to_json(entry).alias("_json")
     )
-    rows = kev_rows(entries, order=("l_linenumber", "l_partkey", "l_suppkey"))
+    rows = kev_rows(entries, order=("l_linenumber", "l_partkey", "l_suppkey", "l_shipdate"))
     return rows.select("cve_id", "vendor_project", "date_added", "due_date")
 
 
