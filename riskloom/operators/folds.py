@@ -52,6 +52,15 @@ def fold_sizing(span_days: int, n_splits: int, embargo_days: int) -> tuple[int,
     return n_splits, horizon
 
 
+def fold_rows(rows: DataFrame, fold: Fold, *, day: str) -> tuple[DataFrame, DataFrame]:
+    """Training and validation rows of one fold, as filters on the same table."""
+    d = F.col(day)
+    return (
+        rows.where(d <= F.lit(fold.train_until)),
+        rows.where(d.between(F.lit(fold.valid_from), F.lit(fold.valid_until))),
+    )
+
+
 def assign_folds(rows: DataFrame, folds: Sequence[Fold], *, day: str) -> DataFrame:
     """One row per (row, fold it takes part in) with ``fold`` and ``role``."""
     d = F.col(day)

@@ -254,6 +254,7 @@ def ordered_split(
     out: str = "is_train",
 ) -> DataFrame:
     """Flag the first ``max(min_train, share * n)`` rows along a total order."""
-    cut = max(min_train, int(rows.count() * train_share))
     numbered = number_rows(rows, [F.col(c).asc() for c in order], out="_position")
+    # The numbered rows are stored, so counting them does not compute them again.
+    cut = max(min_train, int(numbered.count() * train_share))
     return numbered.withColumn(out, F.col("_position") <= cut).drop("_position")

@@ -6,7 +6,6 @@ from dataclasses import dataclass
 from datetime import date
 from functools import reduce
 
-from pyspark import StorageLevel
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,7 +23,7 @@ from riskloom.operators.labels import drop_open_rows
 from riskloom.operators.metrics import compare_models, metric_bundle
 from riskloom.plans.boosting import BoosterParams, DegenerateTarget, assembler, fit_booster, predicted
 from riskloom.plans.training import BASELINE, DAY, LABEL, STRATEGY, blended
-from riskloom.session import cut_lineage
+from riskloom.session import cut_lineage, kept
 
 # Fixed value: the gate fails when the baseline leads by more than this.
 AUC_PR_MARGIN = 1.0
@@ -90,10 +89,16 @@ def evaluate_model(
     Both models see the same rows and the same point-in-time baseline column;
     ``baseline_coverage`` is the share of rows for which that column is known.
     """
-    spark = frame.sparkSession
     if model is None or metadata is None:
-        return unavailable(spark, "no trained model found")
-    closed = drop_open_rows(frame, today, start=DAY)
+        return unavailable(frame.sparkSession, "no trained model found")
+    with kept(drop_open_rows(frame, today, start=DAY)) as closed:
+        return _evaluate_closed(closed, model, metadata, config)
+
+
+def _evaluate_closed(
+    closed: DataFrame, model: PipelineModel, metadata: dict, config: EvalConfig
+) -> DataFrame:
+    spark = closed.sparkSession
     window = find_holdout(closed, config.holdout)
     facts = _closed_facts(closed, window)
     if not window.found:
@@ -140,19 +145,17 @@ def fit_ablation_classifier(train: DataFrame, features: list[str], params: Boost
     if n < 50 or positives < 3:
         return None
     rows = assembler(features).transform(train.withColumn("_y", F.col(LABEL).cast("double")))
-    split = ordered_split(rows).persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        return fit_booster(
-            split.where("is_train"),
-            split.where("not is_train"),
-            target="_y",
-            params=params,
-            task="classification",
-        )
-    except DegenerateTarget:
-        return None
-    finally:
-        split.unpersist()
+    with kept(ordered_split(rows)) as split:
+        try:
+            return fit_booster(
+                split.where("is_train"),
+                split.where("not is_train"),
+                target="_y",
+                params=params,
+                task="classification",
+            )
+        except DegenerateTarget:
+            return None
 
 
 def ablations(
@@ -164,11 +167,17 @@ def ablations(
     config: EvalConfig = EvalConfig(),
 ) -> DataFrame:
     """One row per variant with its metrics, or with a note where it could not be made."""
-    spark = frame.sparkSession
+    with kept(drop_open_rows(frame, today, start=DAY)) as closed:
+        return _ablate_closed(closed, model, metadata, config)
+
+
+def _ablate_closed(
+    closed: DataFrame, model: PipelineModel | None, metadata: dict | None, config: EvalConfig
+) -> DataFrame:
+    spark = closed.sparkSession
     columns = "variant string, auc_pr double, auc_roc double, precision_at_k double, brier double, note string"
-    closed = drop_open_rows(frame, today, start=DAY)
     window = find_holdout(closed, config.holdout)
-    if not window.found or BASELINE not in frame.columns:
+    if not window.found or BASELINE not in closed.columns:
         reason = window.reason or f"the frame lacks {BASELINE}"
         return spark.createDataFrame([("all", None, None, None, None, reason)], columns)
     held = holdout_rows(closed, window)
@@ -177,8 +186,8 @@ def ablations(
     variants = {"baseline_only": plain}
     notes: dict[str, str] = {}
     for name, features in (
-        ("full", feature_names(frame)),
-        ("no_baseline", feature_names(frame, without_epss=True)),
+        ("full", feature_names(closed)),
+        ("no_baseline", feature_names(closed, without_epss=True)),
     ):
         if len(features) < 2:
             notes[name] = "too few features"

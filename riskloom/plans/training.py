@@ -4,18 +4,17 @@ from __future__ import annotations
 
 import hashlib
 import json
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 from dataclasses import asdict, dataclass, field, replace
 from datetime import date, datetime, timezone
 from functools import reduce
 
-from pyspark import StorageLevel
 from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from riskloom.operators.assemble import feature_names
-from riskloom.operators.folds import assign_folds, fold_sizing, fold_summary, plan_folds
+from riskloom.operators.folds import Fold, assign_folds, fold_rows, fold_sizing, fold_summary, plan_folds
 from riskloom.operators.holdout import HoldoutConfig, content_hash, find_holdout, holdout_rows, training_rows
 from riskloom.operators.labels import drop_open_rows
 from riskloom.operators.metrics import evaluate, metric_bundle
@@ -29,7 +28,7 @@ from riskloom.plans.boosting import (
     importances,
     predicted,
 )
-from riskloom.session import cut_lineage
+from riskloom.session import cut_lineage, kept
 
 MODEL_VERSION = "gbt@v0.1.0"
 STRATEGY = "epss_complement"
@@ -120,11 +119,8 @@ def train(frame: DataFrame, config: TrainConfig = TrainConfig(), *, today: date)
         raise ValueError(f"unsupported strategy {config.strategy!r}; only {STRATEGY!r} is known")
     features = feature_names(frame)
     _guard(BASELINE in features, f"the strategy needs the feature {BASELINE!r}")
-    closed = drop_open_rows(frame, today, start=DAY).persist(StorageLevel.MEMORY_AND_DISK)
-    try:
+    with kept(drop_open_rows(frame, today, start=DAY)) as closed:
         return _train_closed(closed, features, config)
-    finally:
-        closed.unpersist()
 
 
 def _train_closed(closed: DataFrame, features: list[str], config: TrainConfig) -> TrainingRun:
@@ -151,39 +147,11 @@ def _train_closed(closed: DataFrame, features: list[str], config: TrainConfig) -
     data = assembler(features).transform(with_residual(rows.frame)).select(
         "cve_id", DAY, LABEL, BASELINE, "_target", VECTOR
     )
-    assigned = assign_folds(data, folds, day=DAY).persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        positives = {
-            (r["fold"], r["role"]): r["n_positives"]
-            for r in fold_summary(assigned, day=DAY, label=LABEL).collect()
-        }
-        usable = [
-            f.number
-            for f in folds
-            if positives.get((f.number, "train"), 0) >= 1 and positives.get((f.number, "valid"), 0) >= 1
-        ]
-        _guard(bool(usable), "no usable fold; check the label balance")
-        tuned, models, scored = {}, {}, []
-        for number in usable:
-            part = assigned.where(F.col("fold") == number)
-            fit_rows, valid = part.where("role = 'train'"), part.where("role = 'valid'")
-            tuned[number], models[number] = _fit_fold(fit_rows, valid, config)
-            scored.append(blended(predicted(models[number], valid)))
-        # The metrics read the scores several times; the models run once.
-        every = cut_lineage(
-            reduce(DataFrame.unionByName, scored).select("fold", "cve_id", LABEL, "score")
-        )
-        metrics = metric_bundle(
-            every, label=LABEL, score="score", k=config.top_k, tie_break=["cve_id"], groups=["fold"]
-        ).persist()
-        per_fold = [r.asDict() for r in metrics.orderBy("fold").collect()]
-        average = metrics.agg(*[F.avg(m).alias(m) for m in METRICS]).first().asDict()
-        metrics.unpersist()
-    finally:
-        assigned.unpersist()
+    with kept(data) as stored:
+        tuned, models, per_fold, average = _run_folds(stored, folds, config)
 
     # The last fold's fit is the final fit: same rows, same settings, same seed.
-    last = usable[-1]
+    last = max(models)
     final = models[last]
     now = datetime.now(timezone.utc)
     content = content_hash(rows.frame).first()["sha256"]
@@ -221,6 +189,34 @@ def _train_closed(closed: DataFrame, features: list[str], config: TrainConfig) -
     return TrainingRun(as_pipeline(features, final), metadata)
 
 
+def _run_folds(data: DataFrame, folds: Sequence[Fold], config: TrainConfig):
+    """Tuned settings and model of every usable fold, metrics per fold, and their means."""
+    summary = fold_summary(assign_folds(data.select(DAY, LABEL), folds, day=DAY), day=DAY, label=LABEL)
+    # At most two rows per fold.
+    positives = {(r["fold"], r["role"]): r["n_positives"] for r in summary.collect()}
+    usable = [
+        f
+        for f in folds
+        if positives.get((f.number, "train"), 0) >= 1 and positives.get((f.number, "valid"), 0) >= 1
+    ]
+    _guard(bool(usable), "no usable fold; check the label balance")
+    tuned, models, scored = {}, {}, []
+    for fold in usable:
+        train_rows, valid = fold_rows(data, fold, day=DAY)
+        tuned[fold.number], models[fold.number] = _fit_fold(train_rows, valid, config)
+        made = blended(predicted(models[fold.number], valid))
+        scored.append(made.select(F.lit(fold.number).alias("fold"), "cve_id", LABEL, "score"))
+    # The metrics read the scores several times; the models run once.
+    every = cut_lineage(reduce(DataFrame.unionByName, scored))
+    metrics = metric_bundle(
+        every, label=LABEL, score="score", k=config.top_k, tie_break=["cve_id"], groups=["fold"]
+    )
+    with kept(metrics) as table:
+        per_fold = [r.asDict() for r in table.orderBy("fold").collect()]
+        average = table.agg(*[F.avg(m).alias(m) for m in METRICS]).first().asDict()
+    return tuned, models, per_fold, average
+
+
 def _fit_fold(train_rows: DataFrame, valid: DataFrame, config: TrainConfig):
     grid = {"max_depth": config.depth_grid, "min_instances": config.min_instances_grid}
     fitted = {}
