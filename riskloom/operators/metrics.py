@@ -13,7 +13,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskloom.functions.scalars import clamp01
-from riskloom.operators.ordering import number_rows, running_totals, slice_count, slice_edges
+from riskloom.operators.ordering import (
+    null_safe_join,
+    number_rows,
+    running_totals,
+    slice_count,
+    slice_edges,
+)
 
 NAN = float("nan")
 # Spark limits groups before the shuffle up to this many rows per group.
@@ -186,7 +192,7 @@ def metric_bundle(
     """All five metrics, one row per group."""
     summary = evaluate(df, label=label, score=score, groups=groups, bins=bins)
     top = precision_at_k(df, label=label, score=score, k=k, tie_break=tie_break, groups=groups)
-    return summary.join(top, list(groups), "left")
+    return null_safe_join(summary, top, groups, "left")
 
 
 def long_scores(

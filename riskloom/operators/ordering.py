@@ -8,6 +8,7 @@ carried from slice to slice, or into range partitions with counted offsets.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
@@ -60,6 +61,15 @@ def with_slice(df: DataFrame, column: str, edges: Sequence[float], out: str) ->
     return sliced.withColumn(out, F.col(out).cast("int"))
 
 
+def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """Equi-join in which null keys match each other; the keys appear once."""
+    renamed = right.withColumnsRenamed({key: f"_right_{key}" for key in keys})
+    match = reduce(
+        lambda a, b: a & b, [F.col(key).eqNullSafe(F.col(f"_right_{key}")) for key in keys]
+    )
+    return left.join(renamed, match, how).drop(*[f"_right_{key}" for key in keys])
+
+
 def running_totals(
     df: DataFrame,
     *,
@@ -94,7 +104,7 @@ def running_totals(
         )
     )
     local = sliced.select("*", *[F.sum(v).over(here).alias(f"_in_{v}") for v in values])
-    return local.join(carried, [*groups, "_slice"]).select(
+    return null_safe_join(local, carried, [*groups, "_slice"]).select(
         *df.columns,
         *[(F.col(f"_in_{v}") + F.col(f"_pre_{v}")).alias(f"cum_{v}") for v in values],
     )
@@ -136,7 +146,7 @@ def number_rows(
     """1..n along ``order`` (total) within each group, as BIGINT.
 
     Groups above ``hot_rows`` rows are numbered from range partitions; the
-    others take the ordinary one-shuffle window. Group columns must be non-null.
+    others, and rows whose group is null, take the ordinary one-shuffle window.
     """
     if not groups:
         return _positions_by_range(df, [], order, out)

@@ -13,6 +13,7 @@ FEATURES = ("f_max_cwe_popularity", "f_mean_cwe_popularity", "f_cwe_distinct_cou
 
 
 TAG_COUNT = "_tag_count"
+NULL_SPREAD = 4096
 
 
 def explode_tags(df: DataFrame, *, key: str, day: str, tags: str) -> DataFrame:
@@ -35,6 +36,14 @@ def _tag_rows(tagged: DataFrame, key: str, tag: str, *more: Column) -> DataFrame
     return tagged.select(key, *more, F.col(tag).alias("_tag"), *counts)
 
 
+def _rate(rows: DataFrame, counts: DataFrame, key: str, *also: str) -> DataFrame:
+    """Left-join the popularity; rows without a tag are spread instead of meeting in one task."""
+    apart = F.concat(F.lit("\0"), F.pmod(F.xxhash64(key), F.lit(NULL_SPREAD)).cast("string"))
+    spread_rows = rows.withColumn("_match", F.coalesce(F.col("_tag").cast("string"), apart))
+    named = counts.withColumn("_match", F.col("_tag").cast("string")).drop("_tag")
+    return spread_rows.join(named, ["_match", *also], "left")
+
+
 def _summarise(rated: DataFrame, key: str) -> DataFrame:
     popularity = F.coalesce("_popularity", F.lit(0))
     known = TAG_COUNT in rated.columns
@@ -66,7 +75,7 @@ def popularity_per_row(tagged: DataFrame, *, key: str, day: str, tag: str = "_ta
         .agg(F.count(F.lit(1)).alias("_n"))
         .select("_tag", "_day", F.sum("_n").over(upto).alias("_popularity"))
     )
-    return _summarise(rows.join(counts, ["_tag", "_day"], "left"), key)
+    return _summarise(_rate(rows, counts, key, "_day"), key)
 
 
 def popularity_as_of(
@@ -87,4 +96,4 @@ def popularity_as_of(
         .groupBy("_tag")
         .agg(F.count(F.lit(1)).alias("_popularity"))
     )
-    return _summarise(rows.join(counts, "_tag", "left"), key)
+    return _summarise(_rate(rows, counts, key), key)

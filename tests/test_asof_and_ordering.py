@@ -96,6 +96,14 @@ def test_running_totals(spark, slices, descending):
     assert got.count() == len(rows)
 
 
+def test_null_groups_stay_whole(spark):
+    df = spark.createDataFrame([(None, 0.1, 1), (None, 0.2, 2), ("a", 0.3, 4)], "g string, x double, n int")
+    got = running_totals(df, by="x", values=["n"], groups=["g"], edges=[0.15])
+    assert {(r["g"], r["x"]): r["cum_n"] for r in got.collect()} == {(None, 0.2): 2, (None, 0.1): 3, ("a", 0.3): 4}
+    numbered = number_rows(df, [F.col("x").asc()], groups=["g"], hot_rows=0)
+    assert sorted((str(r["g"]), r["position"]) for r in numbered.collect()) == [("None", 1), ("None", 2), ("a", 1)]
+
+
 @pytest.mark.parametrize("hot_rows", [0, 50, 10**6])
 def test_number_rows_with_and_without_hot_groups(spark, hot_rows):
     rows = skewed(500, 9, 5, 4)
