@@ -29,10 +29,10 @@ def fill_features(df: DataFrame) -> DataFrame:
 def epss_as_of(master: DataFrame, history: DataFrame | None) -> DataFrame:
     """Baseline scores known at publication; 0 when there were none.
 
-    Without a history, the master row's own score counts if its snapshot is
-    no later than publication.
+    Without a history, or with an empty one, the master row's own score counts
+    if its snapshot is no later than publication.
     """
-    if history is None:
+    if history is None or history.isEmpty():
         known = (F.col("epss_snapshot_date"), F.col("published_date"))
         return master.select(
             "*",

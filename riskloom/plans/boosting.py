@@ -29,6 +29,7 @@ class BoosterParams:
     min_instances: int = 50
     step_size: float = 0.05
     subsampling: float = 0.8
+    feature_share: float = 0.9
     patience: int = 50
     max_bins: int = 64
     seed: int = 42
@@ -82,6 +83,7 @@ def fit_booster(
             minInstancesPerNode=params.min_instances,
             stepSize=params.step_size,
             subsamplingRate=params.subsampling,
+            featureSubsetStrategy=str(params.feature_share) if params.feature_share < 1 else "all",
             maxBins=params.max_bins,
             seed=params.seed,
         )

@@ -106,6 +106,14 @@ def test_scores_as_of_publication(silver, history):
     assert got == pytest.approx({"CVE-2024-0001": 0.01, "CVE-2024-0002": 0.02, "CVE-2024-0003": 0.0})
 
 
+def test_empty_history_counts_as_none(spark, silver):
+    known = silver.withColumn("epss_snapshot_date", F.lit("2024-06-10").cast("date"))
+    empty = spark.createDataFrame([], EPSS_BRONZE)
+    for history in (None, empty):
+        got = values(epss_as_of(known, history), "f_epss_score")
+        assert got == pytest.approx({"CVE-2024-0001": 0.0, "CVE-2024-0002": 0.1, "CVE-2024-0003": 0.0})
+
+
 def test_scores_without_history(silver):
     assert set(values(epss_as_of(silver, None), "f_epss_score").values()) == {0.0}
     assert values(epss_current(silver), "f_epss_score")["CVE-2024-0001"] == pytest.approx(0.9)
