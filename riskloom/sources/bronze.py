@@ -14,8 +14,15 @@ from riskloom.schemas import EPSS_BRONZE, conform
 
 
 def write_table(df: DataFrame, path: str, contract: StructType, partition_by: str | None = None) -> None:
-    """Cast to the contract and overwrite; with a partition column only its values present in ``df``."""
-    writer = conform(df, contract).write.mode("overwrite").option("compression", "zstd")
+    """Cast to the contract and overwrite; with a partition column only its values present in ``df``.
+
+    Rows are rebalanced by the partition column first: a value goes to few
+    tasks and so to few files, and adaptive execution splits a value that is too large.
+    """
+    rows = conform(df, contract)
+    if partition_by:
+        rows = rows.hint("rebalance", partition_by)
+    writer = rows.write.mode("overwrite").option("compression", "zstd")
     if partition_by:
         writer = writer.partitionBy(partition_by).option("partitionOverwriteMode", "dynamic")
     writer.parquet(path)
