@@ -5,8 +5,10 @@ Two lines are near when one changed, added or left-out word turns one into the o
 variant *and* the place of the word; a line that has one word more shares a variant with the other line itself. So the
 earliest line of a key is near to all lines of that key, and no key needs its pairs written out.
 
-Variants are only emitted where a partner can exist: two near lines of at least eight words share their first four
-words (the edit comes later) or their last four (it comes sooner), so lines alone with both have no partner.
+Variants are only emitted where a partner can exist. An edit leaves either the first or the second half of a line as it
+was, so a line that shares neither half with a line of its own length or of one word less or more has no partner, and a
+line that shares its first half needs no variants of that half. As a first sieve, near lines of at least eight words
+share their first four or their last four words.
 """
 
 from __future__ import annotations
@@ -16,7 +18,7 @@ from pyspark.sql import functions as F
 
 from riskloom.llm.columns import SPACES, text_key, wide_hash, words_between
 from riskloom.operators.once import compute_once
-from riskloom.session import cut_lineage
+from riskloom.llm.storage import stored
 
 MIN_WORDS = 8
 EDGE = 4
@@ -49,26 +51,47 @@ def _one_edit(a: Column, b: Column) -> Column:
     return F.when(F.size(a) == F.size(b), changed <= 1).otherwise((F.size(long) == F.size(short) + 1) & added)
 
 
-def _near(candidates: DataFrame) -> DataFrame:
+def _halves(candidates: DataFrame, min_words: int) -> DataFrame:
+    """``id``, ``kind`` (which half, and whether of the length of one word less) of halves that several lines share."""
+    words, n = F.col("words"), F.size("words")
+    halves = []
+    for longer in (0, 1):
+        size = n - longer
+        half = F.floor(size / 2).cast("int")
+        fits = size >= min_words
+        halves += [
+            F.when(fits & F.col("head_shared"), F.struct(F.lit(f"head{longer}").alias("kind"), wide_hash(F.lit("head"), size, F.concat_ws(" ", F.slice(words, F.lit(1), half))).alias("key"))),
+            F.when(fits & F.col("tail_shared"), F.struct(F.lit(f"tail{longer}").alias("kind"), wide_hash(F.lit("tail"), size, F.concat_ws(" ", F.slice(words, half - size, size - half))).alias("key"))),
+        ]
+    rows = candidates.select("id", F.explode(F.array_compact(F.array(*halves))).alias("h")).select("id", "h.kind", "h.key")
+    shared = rows.groupBy("key").agg(F.count("*").alias("_n")).filter("_n > 1").select("key")
+    return rows.join(shared, "key").groupBy("id").agg(F.collect_set("kind").alias("kinds"))
+
+
+def _near(candidates: DataFrame, min_words: int) -> DataFrame:
     """``id`` of each line with an earlier near line; ``candidates``: id, rank, words, and which edges are shared."""
-    places = F.filter(
-        F.sequence(F.lit(0), F.size("words") - 1),
-        lambda p: (F.col("head_shared") & (p >= EDGE)) | (F.col("tail_shared") & (p < F.size("words") - EDGE)),
+    lines = stored(candidates.join(_halves(candidates, min_words), "id").select("id", "rank", "words", "kinds"), "near-lines")
+    n, has = F.size("words"), lambda kind: F.array_contains("kinds", kind)
+    half, less = F.floor(n / 2), F.floor((n - 1) / 2)
+    every = F.sequence(F.lit(0), n - 1)
+    changed_at = F.filter(every, lambda p: (has("head0") & (p >= half)) | (has("tail0") & (p < half)))
+    left_out = F.filter(every, lambda p: (has("head1") & (p >= less)) | (has("tail1") & (p <= less)))
+    changed_keys = F.transform(changed_at, lambda p: wide_hash(_without(F.col("words"), p), p))
+    shorter_keys = F.transform(left_out, lambda p: wide_hash(_without(F.col("words"), p), F.lit(-1)))
+    variants = lines.select("id", "rank", F.explode(changed_keys).alias("variant"))
+    first = variants.groupBy("variant").agg(F.min("rank").alias("first"), F.count("*").alias("_n")).filter("_n > 1")
+    changed = variants.join(first.drop("_n"), "variant").filter(F.col("rank") > F.col("first")).select("id", F.col("first.id").alias("other"))
+    shorter = lines.select("id", "rank", F.explode(shorter_keys).alias("variant"))
+    whole = lines.filter(has("head0") | has("tail0")).select(
+        wide_hash(F.concat_ws(" ", "words"), F.lit(-1)).alias("variant"), F.col("id").alias("_id"), F.col("rank").alias("_rank")
     )
-    variants = cut_lineage(
-        candidates.select("id", "rank", "words", F.explode(places).alias("place"))
-        .select("id", "rank", "place", wide_hash(_without(F.col("words"), F.col("place"))).alias("variant"))
-    )
-    first = variants.groupBy("variant", "place").agg(F.min("rank").alias("first"), F.count("*").alias("_n")).filter("_n > 1")
-    changed = variants.join(first.drop("_n"), ["variant", "place"]).filter(F.col("rank") > F.col("first")).select("id", F.col("first.id").alias("other"))
-    whole = candidates.select(wide_hash(F.concat_ws(" ", "words")).alias("variant"), F.col("id").alias("_id"), F.col("rank").alias("_rank"))
     later = F.col("rank") > F.col("_rank")
-    added = variants.join(whole, "variant").select(
+    added = shorter.join(whole, "variant").select(
         F.when(later, F.col("id")).otherwise(F.col("_id")).alias("id"), F.when(later, F.col("_id")).otherwise(F.col("id")).alias("other")
     )
     pairs = changed.unionByName(added).distinct()
-    mine = candidates.select("id", F.col("words").alias("a"))
-    theirs = candidates.select(F.col("id").alias("other"), F.col("words").alias("b"))
+    mine = lines.select("id", F.col("words").alias("a"))
+    theirs = lines.select(F.col("id").alias("other"), F.col("words").alias("b"))
     return pairs.join(mine, "id").join(theirs, "other").filter(_one_edit(F.col("a"), F.col("b"))).select("id").distinct()
 
 
@@ -82,18 +105,20 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         raise ValueError(f"lines of fewer than {2 * EDGE} words can't be compared by their edges")
     texts = docs.select(F.col(id_col).alias("doc"), text_key(F.col(text_col)).alias("tkey"), F.col(text_col).alias("_t")).filter("doc is not null and _t is not null")
     words = F.col("words")
-    seen = cut_lineage(
+    seen = stored(
         _lines(texts, min_words).select(
             "doc", "tkey", "line_no",
             wide_hash(F.concat_ws(" ", words)).alias("id"),
             F.xxhash64(F.slice(words, 1, EDGE)).alias("head"),
             F.xxhash64(F.slice(words, -EDGE, EDGE)).alias("tail"),
-        )
+        ),
+        "lines",
     )
-    lines = cut_lineage(
+    lines = stored(
         seen.groupBy("id").agg(
             F.min(F.struct("doc", "line_no", "id", "tkey")).alias("rank"), F.count("*").alias("copies"), F.max("head").alias("head"), F.max("tail").alias("tail")
-        )
+        ),
+        "different-lines",
     )
     hopeful = (
         lines.join(_shared(lines, "head"), "head", "left").join(_shared(lines, "tail"), "tail", "left")
@@ -109,8 +134,8 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         .select("w.*", words_between(F.get("_lines", F.col("w.line_no")), SPACES).alias("words"))
         .select("id", "rank", "words", "head_shared", "tail_shared")
     )
-    candidates = cut_lineage(candidates)
-    near = _near(candidates).select("id", F.lit(True).alias("near"))
+    candidates = stored(candidates, "candidates")
+    near = _near(candidates, min_words).select("id", F.lit(True).alias("near"))
     judged = lines.join(near, "id", "left").filter("copies > 1 or near").select("id", "rank", F.coalesce("near", F.lit(False)).alias("near"))
     later = F.col("near") | (F.col("doc") != F.col("rank.doc")) | (F.col("line_no") != F.col("rank.line_no"))
     return seen.join(judged, "id").filter(later).groupBy("doc", "tkey").agg(F.collect_set("line_no").alias("line_nos"))

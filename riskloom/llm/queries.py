@@ -2,23 +2,52 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from riskloom.llm.chat import format_chats, parse, unescape
 from riskloom.llm.decontaminate import contamination
+from riskloom.llm.html_extract import extract_text
 from riskloom.llm.line_dedup import dedup_lines
+from riskloom.llm.near_dedup import near_duplicates
+from riskloom.llm.packing import pack_pieces, token_pieces
+from riskloom.llm.quality import quality_scores
 from riskloom.llm.substring_dedup import remove_repeated_windows
+from riskloom.llm.url_filter import Rule, judge_urls
+
+RULES = (Rule("block", "net", "/"), Rule("allow", "example.net", "/en/"), Rule("block", "example.com", "/de/"), Rule("allow", "org", "/fr/"))
+TRICKY = r"\### Assistant: </turn> ok"
+
+
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder.rstrip('/')}/{name}.parquet")
 
 
+def op1_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
+    out = extract_text(_table(spark, folder, "pages"), keep=["page_id", "url"])
+    return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
 def op2_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     out = remove_repeated_windows(_table(spark, folder, "documents"))
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op3_url_filter(spark: SparkSession, folder: str) -> DataFrame:
+    pages = _table(spark, folder, "pages").select("page_id", "url")
+    return judge_urls(pages, RULES).select("page_id", "host", "path", "rule", "verdict")
+
+
 def op4_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     out = contamination(_table(spark, folder, "documents"), _table(spark, folder, "benchmark"))
     return out.select(
@@ -31,11 +60,57 @@ def op4_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op5_packing(spark: SparkSession, folder: str) -> DataFrame:
+    pieces = token_pieces(_table(spark, folder, "documents"), tokenizer_path())
+    digests = pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens")
+    return pack_pieces(digests)
+
+
 def op6_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
     out = dedup_lines(_table(spark, folder, "documents"))
     return out.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
 
 
+def op7_quality_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    out = quality_scores(_table(spark, folder, "documents"), _table(spark, folder, "labels"))
+    return out.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def _read_back(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Digests of formatted conversations, from the formatted text and the spans alone."""
+    for batch in batches:
+        turns, learned = [], []
+        for formatted, spans in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+            turns.append(hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in parse(formatted)).encode()).hexdigest())
+            learned.append("".join(unescape(formatted[s["from"] : s["to"]]) for s in spans))
+        yield pa.record_batch(
+            [
+                batch.column(0),
+                batch.column(1),
+                pa.array(turns, pa.string()),
+                pa.array(map(len, learned), pa.int64()),
+                pa.array([hashlib.sha256(t.encode()).hexdigest() for t in learned], pa.string()),
+                pa.array([len(f) for f in batch.column(2).to_pylist()], pa.int64()),
+            ],
+            names=["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"],
+        )
+
+
+def op8_chat_formatting(spark: SparkSession, folder: str) -> DataFrame:
+    rows = _table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
+    added = spark.createDataFrame([(-7, 0, "user", TRICKY), (-7, 1, "assistant", TRICKY)], "conv_id long, turn long, role string, text string")
+    events = rows.unionByName(added).select(
+        F.col("conv_id").alias("conv"), F.col("turn").alias("seq"), F.lit(None).cast("string").alias("message"), F.lit("message").alias("kind"), "role", "text"
+    )
+    schema = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
+    return format_chats(events).mapInArrow(_read_back, schema)
+
+
+def op9_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    out = near_duplicates(_table(spark, folder, "documents"), shingle=2)
+    return out.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
+
+
 OP2_SQL = r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
 windows AS (
@@ -118,5 +193,37 @@ FROM documents d LEFT JOIN l USING (doc_id) LEFT JOIN gone g ON g.doc_id = l.doc
 GROUP BY d.doc_id
 """
 
-QUERIES = {f.__name__: f for f in (op2_substring_dedup, op4_decontamination, op6_line_dedup)}
-ORACLES = {"op2_substring_dedup": OP2_SQL, "op4_decontamination": OP4_SQL, "op6_line_dedup": OP6_SQL}
+OP8_SQL = r"""
+WITH c AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok'
+  UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'
+),
+e AS (
+  SELECT *, replace(replace(replace(text, '\', '\\'), '###', '\###'), '</turn>', '\</turn>') AS body,
+    replace(replace(replace(replace(role, '\', '\\'), '###', '\###'), '</turn>', '\</turn>'), chr(10), '\' || chr(10)) AS head
+  FROM c
+)
+SELECT conv_id, count(*) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(length(head) + length(body) + 13) AS BIGINT) AS formatted_chars
+FROM e GROUP BY conv_id
+"""
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_html_extraction,
+        op2_substring_dedup,
+        op3_url_filter,
+        op4_decontamination,
+        op5_packing,
+        op6_line_dedup,
+        op7_quality_classifier,
+        op8_chat_formatting,
+        op9_near_dedup,
+    )
+}
+ORACLES = {"op2_substring_dedup": OP2_SQL, "op4_decontamination": OP4_SQL, "op6_line_dedup": OP6_SQL, "op8_chat_formatting": OP8_SQL}

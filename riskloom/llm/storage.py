@@ -6,9 +6,21 @@ from pyspark.sql import DataFrame
 
 from riskloom.session import scratch_path
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def stored(df: DataFrame, label: str) -> DataFrame:
-    """``df`` written as compressed Parquet under ``spark.checkpoint.dir`` and read back, so that its work is done once."""
-    path = scratch_path(df.sparkSession, label)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """``df`` written as compressed Parquet under ``spark.checkpoint.dir`` and read back, so that its work is done once.
+
+    Shuffle files of the work are removed as soon as the table is written, rather than when the driver next collects
+    garbage.
+    """
+    spark = df.sparkSession
+    path = scratch_path(spark, label)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)

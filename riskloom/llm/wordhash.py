@@ -33,12 +33,15 @@ def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Words:
-    """Words of a few texts: ``start``, ``end`` (bytes in ``data``), ``hash``; text i has words ``first[i]:first[i+1]``."""
+    """Words of a few texts: ``start``, ``end`` (bytes in ``data``), ``hash``.
+
+    Text i has the bytes ``offsets[i]:offsets[i+1]`` and the words ``first[i]:first[i+1]``.
+    """
 
     def __init__(self, data: np.ndarray, offsets: np.ndarray, lower: bool):
         if lower:
             data = _LOWER[data]
-        self.data = data
+        self.data, self.offsets = data, offsets
         inside = ~_SPACE[data]
         begins, ends = inside.copy(), inside.copy()
         begins[1:] &= ~inside[:-1]
@@ -84,6 +87,15 @@ def run_hashes(hashes: np.ndarray, size: int) -> np.ndarray:
         return out
 
 
+def span_hashes(hashes: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hash of ``hashes[start:end]`` for each pair; equal spans have equal hashes."""
+    power, inverse = _powers(1 << max(16, int(len(hashes)).bit_length()))
+    total = np.zeros(len(hashes) + 1, np.uint64)
+    with np.errstate(over="ignore"):
+        np.cumsum(mix(hashes) * power[: len(hashes)], out=total[1:])
+        return mix((total[end] - total[start]) * inverse[start] + (end - start).astype(np.uint64) * _BASE)
+
+
 def leftmost_minimum(values: np.ndarray, width: int) -> np.ndarray:
     """Place of the leftmost smallest of every ``width`` consecutive values."""
     n = len(values) - width + 1
