@@ -5,6 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from datetime import date, timedelta
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
@@ -24,6 +25,7 @@ class IngestResult:
     kev: bool = False
     silver: bool = False
     passed: bool | None = None
+    epss_fallback: bool = False
 
 
 def _land_epss(spark: SparkSession, landing_dir: str, bronze_dir: str, day: date) -> date:
@@ -35,7 +37,9 @@ def _land_epss(spark: SparkSession, landing_dir: str, bronze_dir: str, day: date
             rows = landing.read_epss_csv(spark, f"{landing_dir}/epss/*{wanted.isoformat()}*", wanted)
             bronze.write_table(rows, f"{bronze_dir}/epss", EPSS_BRONZE, partition_by="snapshot_date")
             return wanted
-        except Exception as error:  # absent, malformed or unreadable
+        except (landing.FeedError, AnalysisException) as error:
+            if isinstance(error, AnalysisException) and not bronze.is_absent(error):
+                raise
             failure = error
     raise landing.FeedError(f"no score file for the two days before {day}") from failure
 
@@ -47,18 +51,19 @@ def daily_ingest(
     target: date,
     *,
     nvd_since: date | None = None,
-    max_records: int | None = landing.MAX_RECORDS,
+    nvd_lines: bool = False,
     sources: tuple[str, ...] = SOURCES,
     skip_silver: bool = False,
 ) -> IngestResult:
-    """One run; running it again for the same day replaces what it wrote."""
+    """One run; running it again for the same day replaces what it wrote.
+
+    ``nvd_lines`` reads record files with one record a line, which split across tasks.
+    """
     bronze_dir, silver = f"{data_dir}/bronze", f"{data_dir}/silver/cve_master"
     since = epss_day = passed = None
     if "nvd" in sources:
         since = nvd_since or target - timedelta(days=365)
-        rows = landing.read_nvd(
-            spark, f"{landing_dir}/nvd/*{since.isoformat()}*.json", max_records=max_records
-        )
+        rows = landing.read_nvd(spark, f"{landing_dir}/nvd/*{since.isoformat()}*.json", lines=nvd_lines)
         # A folder per start date: later folders win when ids repeat.
         bronze.write_table(rows, f"{bronze_dir}/nvd/since={since.isoformat()}", NVD_BRONZE)
     if "kev" in sources:
@@ -74,4 +79,5 @@ def daily_ingest(
         passed = validate_master(spark, silver, f"{data_dir}/validation").select(
             F.col("passed")
         ).first()["passed"]
-    return IngestResult(since, epss_day, "kev" in sources, ready, passed)
+    fell_back = epss_day is not None and epss_day < target - timedelta(days=1)
+    return IngestResult(since, epss_day, "kev" in sources, ready, passed, fell_back)

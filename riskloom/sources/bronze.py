@@ -7,10 +7,10 @@ from datetime import date
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from riskloom.operators.dedup import keep_last
-from riskloom.schemas import EPSS_BRONZE, conform
+from riskloom.schemas import EPSS_BRONZE, NVD_BRONZE, conform
 
 
 def write_table(df: DataFrame, path: str, contract: StructType, partition_by: str | None = None) -> None:
@@ -28,28 +28,42 @@ def write_table(df: DataFrame, path: str, contract: StructType, partition_by: st
     writer.parquet(path)
 
 
-def read_or_none(spark: SparkSession, path: str, merge: bool = False) -> DataFrame | None:
-    """The table, or ``None`` when the path is absent, empty or its files do not fit together."""
+def is_absent(error: AnalysisException) -> bool:
+    """Whether a read failed because there is no path or no file in it."""
+    return error.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA")
+
+
+# Parquet values of the narrow type can be read as the wide one.
+_WIDER = {"int": LongType(), "float": DoubleType()}
+
+
+def read_or_none(spark: SparkSession, path: str, contract: StructType | None = None) -> DataFrame | None:
+    """The table, or ``None`` when the path is absent or empty; whatever else goes wrong is raised.
+
+    With a ``contract`` its columns are read, whichever of them a file has, and
+    numbers as the wide type, so that files with narrow and wide ones fit together.
+    """
     try:
-        return spark.read.option("mergeSchema", merge).parquet(path)
-    except AnalysisException:
-        return None
-    except Exception as error:  # schemas of the files cannot be merged
-        if "CANNOT_MERGE_SCHEMAS" in str(error) or "Failed merging schema" in str(error):
+        table = spark.read.parquet(path)
+    except AnalysisException as error:
+        if is_absent(error):
             return None
         raise
+    if contract is None:
+        return table
+    extra = [field for field in table.schema if field.name not in contract.names]
+    wide = [StructField(f.name, _WIDER.get(f.dataType.simpleString(), f.dataType)) for f in contract]
+    return spark.read.schema(StructType([*wide, *extra])).parquet(path)
 
 
 def read_nvd_bronze(spark: SparkSession, path: str) -> DataFrame:
     """All vulnerability files; of rows with one id the last file's wins."""
-    files = read_or_none(spark, path, merge=True)
+    files = read_or_none(spark, path, NVD_BRONZE)
     if files is None:
         raise FileNotFoundError(f"no vulnerability tables under {path}")
-    # Files lie in one folder per start date; that column is not part of the table.
-    columns = [name for name in files.columns if name != "since"]
     # A write holds an id once, so the path alone decides.
     named = files.select("*", F.col("_metadata.file_path").alias("_file"))
-    return keep_last(named, ["cve_id"], ["_file"]).select(*columns)
+    return conform(keep_last(named, ["cve_id"], ["_file"]), NVD_BRONZE)
 
 
 def read_kev_bronze(spark: SparkSession, path: str) -> DataFrame:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
 from datetime import date
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,13 +12,9 @@ from riskloom.functions.scalars import iso_date, none_if_empty
 from riskloom.operators.dedup import keep_first
 from riskloom.operators.flatten import flatten_nvd
 from riskloom.operators.once import compute_once
-from riskloom.operators.ordering import number_rows
 from riskloom.schemas import EPSS_BRONZE, KEV_BRONZE, NVD_BRONZE, conform
 from riskloom.session import spread
 
-# Fixed value: records taken per ingest unless the caller asks for more.
-MAX_RECORDS = 50_000
-
 # Catalog field names and their columns.
 KEV_FIELDS = {
     "cveID": "cve_id",
@@ -121,40 +116,23 @@ def _checked_header(spark: SparkSession, path: str) -> StructType:
     return StructType([*EPSS_CSV.fields, *extra])
 
 
-def first_records(entries: DataFrame, n: int, order: Sequence[str]) -> DataFrame:
-    """The first ``n`` entries along a total order.
-
-    Only the order columns are numbered; the texts are filtered by the last
-    position that counts, and so are neither sorted nor moved.
-    """
-    keys = [F.col(name) for name in order]
-    numbered = number_rows(entries.select(*keys), [key.asc() for key in keys], out="_n")
-    last = numbered.where(F.col("_n") <= n).agg(F.max(F.struct(*keys)).alias("_last"))
-    return entries.where(F.struct(*keys) <= last.scalar())
-
-
 def nvd_rows(
     entries: DataFrame,
     text: str = "_json",
     order: tuple[str, ...] = ("_file", "_pos"),
-    max_records: int | None = None,
 ) -> DataFrame:
     """Vulnerability rows from JSON records: the first per id in arrival order."""
-    if max_records is not None:
-        entries = first_records(entries, max_records, order)
     places = [f"_o{i}" for i in range(len(order))]
     placed = entries.select(text, *[F.col(name).alias(place) for name, place in zip(order, places)])
     flat = flatten_nvd(placed, text, keep=tuple(places))
     return conform(keep_first(flat, ["cve_id"], places), NVD_BRONZE)
 
 
-def read_nvd(
-    spark: SparkSession, path: str, *, lines: bool = False, max_records: int | None = MAX_RECORDS
-) -> DataFrame:
+def read_nvd(spark: SparkSession, path: str, *, lines: bool = False) -> DataFrame:
     """Vulnerability records from page files (a ``vulnerabilities`` list) or one per line.
 
-    Line files split across tasks; page files are read one task each.
-    ``max_records=None`` takes everything.
+    Line files split across tasks; page files are read one task each. Files
+    without a single usable record are an error.
     """
     if lines:
         entries = spark.read.text(path).select(
@@ -166,4 +144,7 @@ def read_nvd(
         )
     else:
         entries = _entries(spark, path)
-    return nvd_rows(entries, max_records=max_records)
+    rows = nvd_rows(entries)
+    if rows.isEmpty():
+        raise FeedError(f"no usable vulnerability records in {path}")
+    return rows

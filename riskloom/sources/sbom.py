@@ -12,7 +12,7 @@ from riskloom.functions.scalars import none_if_empty
 from riskloom.operators.once import compute_once
 from riskloom.session import spread
 
-_ENVELOPE = "bomFormat string, specVersion string, components string, vulnerabilities string"
+_ENVELOPE = "bomFormat string, specVersion string, components string, vulnerabilities string, _broken string"
 _COMPONENT = "struct<type:string,`bom-ref`:string,name:string,version:string,purl:string>"
 _VULNERABILITY = "struct<id:string,affects:array<string>>"
 # JSON texts that count as an absent list.
@@ -40,7 +40,7 @@ def parse_documents(documents: DataFrame, *, doc: str = "doc_id", text: str = "j
     body = F.trim(text)
     opening = F.struct(
         (F.startswith(body, F.lit("{")) & F.endswith(body, F.lit("}"))).alias("_object"),
-        F.from_json(text, _ENVELOPE).alias("_d"),
+        F.from_json(text, _ENVELOPE, {"columnNameOfCorruptRecord": "_broken"}).alias("_d"),
     )
     named = spread(documents.select(F.col(doc).alias("doc_id"), F.col(text)))
     opened = compute_once(named, ["doc_id"], opening, "_o").select("doc_id", "_o._object", "_o._d.*")
@@ -49,6 +49,7 @@ def parse_documents(documents: DataFrame, *, doc: str = "doc_id", text: str = "j
     version = F.nullif(none_if_empty(F.col("specVersion")), F.lit("0"))
     reason = (
         F.when(~F.coalesce("_object", F.lit(False)), "not a JSON object")
+        .when(F.col("_broken").isNotNull(), "invalid JSON")
         .when(~F.col("bomFormat").eqNullSafe(F.lit("CycloneDX")), "bomFormat is not CycloneDX")
         .when(version.isNull(), "specVersion is missing")
         .when(~listed & ~absent, "components is not a list")

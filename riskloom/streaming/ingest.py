@@ -5,12 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from riskloom.operators.dedup import keep_first
 from riskloom.schemas import EPSS_BRONZE, conform
-from riskloom.sources.bronze import write_table
+from riskloom.session import cut_lineage, kept
+from riskloom.sources.bronze import read_or_none, write_table
 from riskloom.sources.landing import EPSS_CSV, day_of_file
 
+EPSS_LANDED = StructType(
+    [
+        *EPSS_BRONZE,
+        StructField("landed_file", StringType()),
+        StructField("landed_block", LongType()),
+        StructField("landed_line", LongType()),
+    ]
+)
+
 
 def score_file_stream(spark: SparkSession, landing_dir: str, files_per_batch: int = 1000) -> DataFrame:
     """Rows of newly landed score files; the day comes from the file's path."""
@@ -28,8 +39,8 @@ def score_file_stream(spark: SparkSession, landing_dir: str, files_per_batch: in
         F.col("epss").cast("float").alias("epss_score"),
         F.col("percentile").cast("float").alias("epss_percentile"),
         day_of_file().alias("snapshot_date"),
-        F.col("_metadata.file_path").alias("_file"),
-        F.col("_metadata.file_block_start").alias("_block"),
+        F.col("_metadata.file_path").alias("landed_file"),
+        F.col("_metadata.file_block_start").alias("landed_block"),
     ).where(F.col("cve_id").isNotNull())
 
 
@@ -38,19 +49,31 @@ def ingest_scores(
 ) -> StreamingQuery:
     """Write every file that has landed since the last run, then stop.
 
-    Each batch replaces the days it carries, so a batch that is run again after
-    a failure leaves the table as it was. A day must arrive in one file.
+    Each batch is merged with the stored rows of the days it carries; of rows
+    with one id and day the first file's, then the first line's, is kept. Rows
+    are stored with the file they come from, and a file that is read again
+    replaces its own rows, so a batch that is run again after a failure leaves
+    the table as it was. A day may arrive in any number of files and runs.
     """
 
-    def replace_days(batch: DataFrame, _: int) -> None:
+    def merge_days(batch: DataFrame, _: int) -> None:
         # Lines are numbered as they are read, before anything is shuffled.
-        lines = batch.withColumn("_line", F.monotonically_increasing_id())
-        first = keep_first(lines, ["cve_id", "snapshot_date"], ["_file", "_block", "_line"])
-        write_table(conform(first, EPSS_BRONZE), bronze_path, EPSS_BRONZE, partition_by="snapshot_date")
+        lines = conform(batch.withColumn("landed_line", F.monotonically_increasing_id()), EPSS_LANDED)
+        with kept(lines) as new:
+            rows = new
+            if read_or_none(spark, bronze_path) is not None:
+                # Rows of other writers name no file; they come first.
+                old = spark.read.schema(EPSS_LANDED).parquet(bronze_path)
+                days = new.select("snapshot_date").distinct()
+                files = new.select("landed_file").distinct()
+                old = old.join(days, "snapshot_date", "left_semi").join(files, "landed_file", "left_anti")
+                rows = old.select(*EPSS_LANDED.names).unionByName(new)
+            first = keep_first(rows, ["cve_id", "snapshot_date"], ["landed_file", "landed_block", "landed_line"])
+            write_table(cut_lineage(first), bronze_path, EPSS_LANDED, partition_by="snapshot_date")
 
     return (
         score_file_stream(spark, landing_dir)
-        .writeStream.foreachBatch(replace_days)
+        .writeStream.foreachBatch(merge_days)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()

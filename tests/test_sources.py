@@ -125,10 +125,12 @@ def test_page_and_line_files(spark, tmp_path):
     (tmp_path / "lines").mkdir()
     (tmp_path / "lines" / "a.jsonl").write_text("\n".join(json.dumps(r) for r in [*records, again]))
     for folder, lines in (("pages", False), ("lines", True)):
-        got = landing.read_nvd(spark, str(tmp_path / folder), lines=lines, max_records=None)
+        got = landing.read_nvd(spark, str(tmp_path / folder), lines=lines)
         assert got.columns == NVD_BRONZE.names
         assert {r["cve_id"]: r["description"] for r in got.collect()} == {f"CVE-2024-{i:04d}": str(i) for i in range(5)}
-    assert landing.read_nvd(spark, str(tmp_path / "pages"), max_records=3).count() == 3
+    (tmp_path / "empty.json").write_text(json.dumps({"vulnerabilities": []}))
+    with pytest.raises(landing.FeedError, match="no usable"):
+        landing.read_nvd(spark, str(tmp_path / "empty.json"))
 
 
 def kev_file(tmp_path, payload):
@@ -224,6 +226,10 @@ def test_stream_picks_up_new_files_once(spark, tmp_path):
         ("CVE-2", 2, 0.25),
     }
     assert got.count() == 4
+    (tmp_path / "land" / "a-2024-01-01.csv").write_text("cve,epss,percentile\nCVE-0,0.75,0.5\nCVE-1,0.125,0.5\n")
+    ingest_scores(spark, land, out, mark).awaitTermination()
+    first = {r["cve_id"]: r["epss_score"] for r in bronze.read_epss_history(spark, out).collect() if r["snapshot_date"].day == 1}
+    assert first == {"CVE-0": 0.75, "CVE-1": 0.125, "CVE-2": 0.25}
 
 
 def test_missing_tables(spark, tmp_path):
@@ -236,13 +242,23 @@ def test_missing_tables(spark, tmp_path):
         bronze.write_table(spark.range(1), str(tmp_path / "x"), KEV_BRONZE)
 
 
+def test_files_of_different_width_fit_together(spark, tmp_path):
+    for since, kind in (("2020", "int"), ("2021", "bigint")):
+        rows = spark.createDataFrame([(f"CVE-{since}-1", 5)], f"cve_id string, vendor_count {kind}")
+        rows.write.parquet(str(tmp_path / f"since={since}-01-01"))
+    got = bronze.read_nvd_bronze(spark, str(tmp_path))
+    assert got.schema["vendor_count"].dataType == NVD_BRONZE["vendor_count"].dataType
+    assert {(r["cve_id"], r["vendor_count"]) for r in got.collect()} == {("CVE-2020-1", 5), ("CVE-2021-1", 5)}
+
+
 def test_index_of_inconsistent_or_narrow_tables(spark, tmp_path):
     base = str(tmp_path / "nvd")
     spark.createDataFrame([("a", ["p"])], "cve_id string, products array<string>").write.parquet(f"{base}/since=2020-01-01")
     only_names = load_product_index(spark, base).collect()
     assert [(r["product"], r["cve_id"], r["versions"]) for r in only_names] == [("p", "a", None)]
     spark.createDataFrame([(5, 1)], "cve_id int, products int").write.parquet(f"{base}/since=2021-01-01")
-    assert load_product_index(spark, base) is None
+    with pytest.raises(Exception, match="cve_id|products"):
+        load_product_index(spark, base).collect()
     spark.createDataFrame([("a",)], "cve_id string").write.parquet(str(tmp_path / "narrow"))
     assert load_product_index(spark, str(tmp_path / "narrow")) is None
 

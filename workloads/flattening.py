@@ -165,18 +165,6 @@ def nvd_bronze_rows(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-@query(
-    f"""
-    SELECT {derived.cve_sql("CVE-2023-", "p_partkey")} AS cve_id FROM (
-      SELECT * FROM part ORDER BY p_partkey LIMIT 150) WHERE p_partkey % 50 <> 49
-    """
-)
-def nvd_row_cap(spark: SparkSession, folder: str) -> DataFrame:
-    """An ingest that takes the first 150 records: unusable ones count towards the cap."""
-    rows = nvd_rows(nvd_records(spark, folder), order=("_pos",), max_records=150)
-    return rows.select("cve_id")
-
-
 @query(
     f"""
     SELECT cve_id, 'vendor ' || CAST(l_suppkey AS VARCHAR) AS vendor_project, date_added,

@@ -46,7 +46,7 @@ def _land(rows: DataFrame, path: str) -> str:
         F.col("epss_score").alias("epss"),
         F.col("epss_percentile").alias("percentile"),
         "snapshot_date",
-    ).repartition("snapshot_date")
+    ).hint("rebalance", "snapshot_date")
     writer = named.write.mode("append").partitionBy("snapshot_date")
     writer.option("header", True).option("compression", "gzip").csv(path)
     return path
@@ -86,6 +86,20 @@ def incremental_ingest(spark: SparkSession, folder: str) -> DataFrame:
     return _as_double(bronze.read_epss_history(spark, f"{base}/epss"))
 
 
+@query(f"WITH {_MONTHLY} SELECT {_OUT} FROM monthly")
+def incremental_same_day(spark: SparkSession, folder: str) -> DataFrame:
+    """Every day in several files that land over two runs, and some rows of the first run again in the second."""
+    base = scratch_path(spark, "same-day")
+    staged = f"{base}/staged"
+    bronze.write_table(monthly_scores(spark, folder), staged, EPSS_BRONZE)
+    rows = spark.read.parquet(staged)
+    part = F.pmod(F.xxhash64("cve_id"), F.lit(4))
+    for low, high in ((0, 1), (1, 3)):
+        _land(rows.where(part.between(low, high)), f"{base}/landing")
+        ingest_scores(spark, f"{base}/landing", f"{base}/epss", f"{base}/checkpoint").awaitTermination()
+    return _as_double(bronze.read_epss_history(spark, f"{base}/epss"))
+
+
 @query(f"WITH {_MONTHLY} SELECT {_OUT} FROM monthly WHERE snapshot_date = (SELECT max(snapshot_date) FROM monthly)")
 def latest_snapshot(spark: SparkSession, folder: str) -> DataFrame:
     """The newest day of a stored history."""
