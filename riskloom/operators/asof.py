@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskloom.operators.ordering import as_number, slice_count, slice_edges, with_slice
+from riskloom.session import cut_lineage
 
 Fill = Mapping[str, object]
 
@@ -68,10 +69,9 @@ def asof_join(
     )
     both = asked.unionByName(marks)
     wanted = slices if slices is not None else slice_count(left)
-    edges = slice_edges(both.select(as_number(F.col("_t"), dtype).alias("_x")), "_x", wanted)
-
-    points = both.groupBy(*keys, "_t").agg(F.max("_best").alias("_best"))
-    points = with_slice(points.withColumn("_x", as_number(F.col("_t"), dtype)), "_x", edges, "_slice")
+    # Stored once: the slice edges, the windows and what the slices carry over all read them.
+    points = cut_lineage(both.groupBy(*keys, "_t").agg(F.max("_best").alias("_best"))).withColumn("_x", as_number(F.col("_t"), dtype))
+    points = with_slice(points, "_x", slice_edges(points, "_x", wanted), "_slice")
     here = (
         Window.partitionBy(*keys, "_slice")
         .orderBy("_t")
@@ -113,16 +113,18 @@ def asof_lookup(
     matched: str | None = None,
     right_unique: bool = False,
 ) -> DataFrame:
-    """As-of join for a left side with one row per key, such as a primary-keyed table.
-
-    The right rows of a key meet a single left row, so an equi-join and a
-    maximum suffice: both sides shuffle once on the key and stay there. Right
-    rows are first reduced to one per (key, time) before they are shuffled on
-    the key, so that a key has at most as many as there are times;
-    ``right_unique`` leaves that out for a table that already is.
+    """As-of join for a left side with few times per key, such as a primary-keyed table.
+
+    The right rows of a key meet the distinct times of that key, so an
+    equi-join and a maximum per (key, time) suffice: both sides shuffle once on
+    the key and stay there. Right rows are first reduced to one per (key, time)
+    before they are shuffled on the key, so that a key has at most as many as
+    there are times; ``right_unique`` leaves that out for a table that already
+    is. Right rows later than every left row are not read.
     """
-    point = left.select(F.col(on).alias("_k"), F.col(left_time).alias("_t"))
-    history = right.select(
+    last = left.agg(F.max(left_time)).scalar()
+    point = left.select(F.col(on).alias("_k"), F.col(left_time).alias("_t")).where("_k is not null and _t is not null").distinct()
+    history = right.where(F.col(right_time) <= last).select(
         F.col(on).alias("_k"),
         F.col(right_time).alias("_at"),
         _payload(right, right_time, values, tie_break).alias("_best"),
@@ -132,10 +134,10 @@ def asof_lookup(
     best = (
         point.join(history, "_k")
         .where(F.col("_at") <= F.col("_t"))
-        .groupBy("_k")
+        .groupBy("_k", "_t")
         .agg(F.max("_best").alias("_best"))
     )
-    found = left.join(best, F.col(on) == F.col("_k"), "left")
+    found = left.join(best, (F.col(on) == F.col("_k")) & (F.col(left_time) == F.col("_t")), "left")
     return _unpack(found, left.columns, values, fill or {}, matched)
 
 

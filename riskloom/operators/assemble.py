@@ -30,27 +30,34 @@ def epss_as_of(master: DataFrame, history: DataFrame | None) -> DataFrame:
     """Baseline scores known at publication; 0 when there were none.
 
     Without a history, or with an empty one, the master row's own score counts
-    if its snapshot is no later than publication.
+    if its snapshot is no later than publication; a master table without score
+    columns gives 0.
     """
-    if history is None or history.isEmpty():
+    own = [*EPSS.values(), "epss_snapshot_date"]
+    if all(c in master.columns for c in own):
         known = (F.col("epss_snapshot_date"), F.col("published_date"))
-        return master.select(
-            "*",
-            *[value_if_known_by(F.col(c), *known).cast("float").alias(f) for f, c in EPSS.items()],
-        )
+        current = {f: value_if_known_by(F.col(c), *known).cast("float") for f, c in EPSS.items()}
+    else:
+        current = {f: F.lit(0.0).cast("float") for f in EPSS}
+    if history is None:
+        return master.select("*", *[value.alias(f) for f, value in current.items()])
+    # Whether there is a history at all is a scalar subquery of the same plan.
+    empty = history.agg(F.count(F.lit(1)) == 0).scalar()
     # Drop the master's current scores first, so that nothing later can be picked up.
-    bare = master.drop(*EPSS.values(), "epss_snapshot_date")
-    return asof_lookup(
-        bare,
+    held = master.withColumns({f"_own_{f}": F.when(empty, value) for f, value in current.items()})
+    found = asof_lookup(
+        held.drop(*own),
         history,
         on="cve_id",
         left_time="published_date",
         right_time="snapshot_date",
         values=EPSS,
-        fill=dict.fromkeys(EPSS, 0.0),
         # The stored history holds one row per id and day.
         right_unique=True,
     )
+    zero = F.lit(0.0).cast("float")
+    filled = {f: F.coalesce(F.col(f), F.col(f"_own_{f}"), zero).cast("float") for f in EPSS}
+    return found.withColumns(filled).drop(*[f"_own_{f}" for f in EPSS])
 
 
 def epss_current(master: DataFrame) -> DataFrame:

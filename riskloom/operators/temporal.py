@@ -47,7 +47,7 @@ def _with_counts(df: DataFrame, daily: DataFrame, day: str, upto_own_day: bool)
     )
     # One row per calendar day: DateType holds fewer than 3.7 million days, so
     # the broadcast stays below 100 MB whatever the size of the input.
-    return df.join(F.broadcast(counts), F.col(day).cast("date") == F.col("_day"), "inner").drop("_day")
+    return df.join(F.broadcast(counts), F.col(day).cast("date") == F.col("_day"), "left").drop("_day")
 
 
 def _finish(df: DataFrame, day: str, as_of: Column) -> DataFrame:
@@ -70,7 +70,7 @@ def temporal_per_row(
     """Features as of each row's own day: counts include that day and nothing later.
 
     Rows are first counted per day, so the windows run over days, and a busy
-    day is one row of the count table. Rows without a date drop out.
+    day is one row of the count table. Rows without a date have null features.
     ``counted`` names the table to count when ``df`` is that table with joined
     columns, so that those joins do not run again for the counts.
     """

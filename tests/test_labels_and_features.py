@@ -11,17 +11,19 @@ from riskloom.operators.labels import drop_open_rows, label_within_horizon
 from riskloom.plans.silver import build_master
 from riskloom.schemas import CVE_MASTER, EPSS_BRONZE, KEV_BRONZE
 
-KEV = [("CVE-2024-0001", date(2024, 1, 15)), ("CVE-2024-0002", date(2024, 6, 1))]
+LISTED = date(2019, 3, 20)
+KEV = [("CVE-2019-1111", LISTED), ("CVE-2019-2222", date(2019, 11, 5))]
 
 
 @pytest.mark.parametrize(
     "cve, published, in_kev, label",
     [
-        ("CVE-2024-0001", date(2024, 1, 1), True, True),
-        ("CVE-2024-0002", date(2024, 5, 1), True, False),
-        ("CVE-2024-9999", date(2024, 1, 1), False, False),
-        ("CVE-2024-0001", date(2024, 1, 15) - timedelta(days=30), True, True),
-        ("CVE-2024-0001", date(2024, 3, 1), True, True),
+        ("CVE-2019-1111", LISTED - timedelta(days=1), True, True),
+        ("CVE-2019-1111", LISTED - timedelta(days=30), True, True),
+        ("CVE-2019-1111", LISTED - timedelta(days=31), True, False),
+        ("CVE-2019-1111", LISTED + timedelta(days=200), True, True),
+        ("CVE-2019-2222", date(2019, 1, 7), True, False),
+        ("CVE-2018-3333", LISTED, False, False),
     ],
 )
 def test_label(spark, cve, published, in_kev, label):
@@ -39,10 +41,10 @@ def test_label_names_missing_columns(spark):
 
 
 def test_censoring(spark):
-    days = [date(2024, 1, 1), date(2024, 5, 1), date(2024, 5, 2), date(2024, 5, 30)]
-    df = spark.createDataFrame([(d,) for d in days], "published_date date")
-    kept = {r[0] for r in drop_open_rows(df, date(2024, 5, 31)).collect()}
-    assert kept == {date(2024, 1, 1), date(2024, 5, 1)}
+    today = date(2022, 10, 20)
+    ages = (400, 31, 30, 29, 0)
+    df = spark.createDataFrame([(today - timedelta(days=a), a) for a in ages], "published_date date, age int")
+    assert {r["age"] for r in drop_open_rows(df, today).collect()} == {400, 31, 30}
 
 
 def master_row(cve, published, **values):
@@ -69,31 +71,29 @@ def master_row(cve, published, **values):
     return tuple({**row, **values}[name] for name in CVE_MASTER.names)
 
 
+FIRST, SECOND, OLD = "CVE-2021-1001", "CVE-2021-1002", "CVE-2020-1003"
+
+
 @pytest.fixture()
 def silver(spark):
-    late = date(2024, 12, 1)
+    def row(cve, day, tag, score):
+        known = {"epss_score": score, "epss_percentile": score / 2, "epss_snapshot_date": date(2021, 9, 20)}
+        return master_row(cve, day, cwe_ids=[tag], **known)
+
     rows = [
-        master_row("CVE-2024-0001", date(2024, 6, 1), epss_score=0.9, epss_percentile=0.99, epss_snapshot_date=late),
-        master_row(
-            "CVE-2024-0002", date(2024, 6, 15), cwe_ids=["CWE-22"], epss_score=0.1, epss_percentile=0.2, epss_snapshot_date=late
-        ),
-        master_row(
-            "CVE-2024-0003", date(2024, 1, 15), cwe_ids=["CWE-22"], epss_score=0.5, epss_percentile=0.5, epss_snapshot_date=late
-        ),
+        row(FIRST, date(2021, 3, 9), "CWE-416", 0.71),
+        row(SECOND, date(2021, 3, 28), "CWE-190", 0.12),
+        row(OLD, date(2020, 8, 4), "CWE-190", 0.33),
     ]
     return spark.createDataFrame(rows, CVE_MASTER)
 
 
 @pytest.fixture()
 def history(spark):
-    early, late = date(2024, 1, 1), date(2024, 12, 1)
-    rows = [
-        ("CVE-2024-0001", 0.01, 0.10, early),
-        ("CVE-2024-0002", 0.02, 0.20, early),
-        ("CVE-2024-0001", 0.91, 0.9, late),
-        ("CVE-2024-0002", 0.92, 0.9, late),
-        ("CVE-2024-0003", 0.93, 0.9, late),
-    ]
+    """Two days of scores, one between the publications and one after them all."""
+    between, after = date(2021, 1, 5), date(2021, 9, 20)
+    rows = [(cve, 0.03 * n, 0.2 * n, between) for n, cve in enumerate((FIRST, SECOND), 1)]
+    rows += [(cve, 0.8 + 0.05 * n, 0.7, after) for n, cve in enumerate((FIRST, SECOND, OLD), 1)]
     return spark.createDataFrame(rows, EPSS_BRONZE)
 
 
@@ -103,33 +103,53 @@ def values(df, name):
 
 def test_scores_as_of_publication(silver, history):
     got = values(epss_as_of(silver, history), "f_epss_score")
-    assert got == pytest.approx({"CVE-2024-0001": 0.01, "CVE-2024-0002": 0.02, "CVE-2024-0003": 0.0})
+    assert got == pytest.approx({FIRST: 0.03, SECOND: 0.06, OLD: 0.0})
 
 
 def test_empty_history_counts_as_none(spark, silver):
-    known = silver.withColumn("epss_snapshot_date", F.lit("2024-06-10").cast("date"))
+    known = silver.withColumn("epss_snapshot_date", F.lit("2021-03-15").cast("date"))
     empty = spark.createDataFrame([], EPSS_BRONZE)
     for history in (None, empty):
         got = values(epss_as_of(known, history), "f_epss_score")
-        assert got == pytest.approx({"CVE-2024-0001": 0.0, "CVE-2024-0002": 0.1, "CVE-2024-0003": 0.0})
+        assert got == pytest.approx({FIRST: 0.0, SECOND: 0.12, OLD: 0.0})
+
+
+def test_a_repeated_id_sees_no_later_score(spark, history):
+    """The score of an id's later row must not reach its earlier one."""
+    rows = [(FIRST, date(2021, 3, 9)), (FIRST, date(2021, 10, 1)), (FIRST, None)]
+    df = spark.createDataFrame(rows, "cve_id string, published_date date")
+    got = {r["published_date"]: r["f_epss_score"] for r in epss_as_of(df, history).collect()}
+    assert got == pytest.approx({date(2021, 3, 9): 0.03, date(2021, 10, 1): 0.85, None: 0.0})
+
+
+def test_scores_without_history_or_columns(spark, silver):
+    bare = silver.select("cve_id", "published_date")
+    for history in (None, spark.createDataFrame([], EPSS_BRONZE)):
+        assert set(values(epss_as_of(bare, history), "f_epss_score").values()) == {0.0}
+
+
+def test_rows_without_a_date_stay(silver):
+    undated = silver.withColumn("published_date", F.when(F.col("cve_id") != OLD, F.col("published_date")))
+    got = values(temporal.temporal_per_row(undated), "f_cves_published_same_month")
+    assert got == {FIRST: 1, SECOND: 2, OLD: None}
 
 
 def test_scores_without_history(silver):
     assert set(values(epss_as_of(silver, None), "f_epss_score").values()) == {0.0}
-    assert values(epss_current(silver), "f_epss_score")["CVE-2024-0001"] == pytest.approx(0.9)
+    assert values(epss_current(silver), "f_epss_score")[FIRST] == pytest.approx(0.71)
 
 
 def test_counts_do_not_see_later_rows(silver):
     own = values(temporal.temporal_per_row(silver), "f_cves_published_same_month")
     fixed = values(temporal.temporal_as_of(silver), "f_cves_published_same_month")
-    assert (own["CVE-2024-0001"], fixed["CVE-2024-0001"]) == (1, 2)
+    assert (own[FIRST], fixed[FIRST]) == (1, 2)
 
 
 def test_popularity_does_not_see_later_rows(silver):
     tagged = tags.explode_tags(silver, key="cve_id", day="published_date", tags="cwe_ids")
     own = values(tags.popularity_per_row(tagged, key="cve_id", day="published_date"), tags.FEATURES[0])
     fixed = values(tags.popularity_as_of(tagged, key="cve_id", day="published_date"), tags.FEATURES[0])
-    assert (own["CVE-2024-0003"], fixed["CVE-2024-0003"]) == (1, 2)
+    assert (own[OLD], fixed[OLD]) == (1, 2)
 
 
 def test_rows_without_tags_count_zero(spark):
@@ -165,20 +185,20 @@ def test_frame_has_all_families_and_no_nulls(silver, history):
 
 
 def test_frame_keeps_rows_after_the_anchor(silver):
-    frame = feature_frame(silver, point_in_time=False, as_of=date(2024, 6, 1), include_graph=True)
+    frame = feature_frame(silver, point_in_time=False, as_of=date(2021, 3, 9), include_graph=True)
     ages = values(frame, "f_age_days")
-    assert ages == {"CVE-2024-0001": 0, "CVE-2024-0002": 0, "CVE-2024-0003": 138}
-    assert values(frame, "f_cve_year")["CVE-2024-0002"] == 0
+    assert ages == {FIRST: 0, SECOND: 0, OLD: 217}
+    assert values(frame, "f_cve_year")[SECOND] == 0
 
 
 def test_master_has_the_contract(spark, silver):
     nvd = silver.drop("epss_score", "epss_percentile", "epss_snapshot_date", "in_kev", "kev_date_added", "exploited_30d")
     kev = spark.createDataFrame([], KEV_BRONZE)
-    one = spark.createDataFrame([("CVE-2024-0001", 0.3, 0.4, date(2024, 7, 1))] * 2, EPSS_BRONZE)
+    one = spark.createDataFrame([(FIRST, 0.45, 0.6, date(2021, 5, 2))] * 2, EPSS_BRONZE)
     for epss in (None, one):
         made = build_master(nvd, kev, epss)
         assert [(f.name, f.dataType) for f in made.schema] == [(f.name, f.dataType) for f in CVE_MASTER]
         assert made.count() == 3
     scores = values(build_master(nvd, kev, one), "epss_score")
-    assert scores["CVE-2024-0001"] == pytest.approx(0.3) and scores["CVE-2024-0002"] is None
+    assert scores[FIRST] == pytest.approx(0.45) and scores[SECOND] is None
     assert made.where(F.col("exploited_30d")).count() == 0

@@ -101,6 +101,35 @@ def asof_lookup_scores(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("cve_id", "published_date", *[F.col(v).cast("double").alias(v) for v in values])
 
 
+@query(
+    f"""
+    WITH {derived.HISTORY}, points AS (
+      SELECT {derived.LINE_ID} AS cve_id, CAST(l_shipdate AS DATE) AS d, l_linenumber FROM lineitem)
+    SELECT p.cve_id, p.d, p.l_linenumber, CAST(coalesce(b.b.s, 0) AS DOUBLE) AS score, b.b.d AS seen_on FROM points p
+    LEFT JOIN (
+      SELECT p.cve_id, p.d, max(struct_pack(d := h.snapshot_date, s := h.epss_score, p := h.epss_percentile)) AS b
+      FROM (SELECT DISTINCT cve_id, d FROM points) p JOIN history h ON h.cve_id = p.cve_id AND h.snapshot_date <= p.d
+      GROUP BY p.cve_id, p.d) b ON b.cve_id = p.cve_id AND b.d = p.d
+    """
+)
+def asof_lookup_repeated_keys(spark: SparkSession, folder: str) -> DataFrame:
+    """The score known on the ship day of every line: an id has several days."""
+    points = table(spark, folder, "lineitem").select(
+        derived.cve("CVE-2024-", "l_orderkey").alias("cve_id"), F.to_date("l_shipdate").alias("d"), "l_linenumber"
+    )
+    found = asof_lookup(
+        points,
+        derived.history(spark, folder),
+        on="cve_id",
+        left_time="d",
+        right_time="snapshot_date",
+        values={"score": "epss_score", "_p": "epss_percentile"},
+        fill={"score": 0.0},
+        matched="seen_on",
+    )
+    return found.select("cve_id", "d", "l_linenumber", F.col("score").cast("double").alias("score"), "seen_on")
+
+
 _EPSS_OUT = "cve_id, CAST({s} AS DOUBLE) AS f_epss_score, CAST({p} AS DOUBLE) AS f_epss_percentile FROM master"
 _KNOWN = "CASE WHEN epss_snapshot_date <= published_date THEN coalesce({c}, 0) ELSE 0 END"
 
