@@ -5,12 +5,11 @@ from __future__ import annotations
 from dataclasses import dataclass
 from datetime import date
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from riskloom.operators.ordering import number_rows
+from riskloom.operators.ordering import number_all
 
-FLAT_HASH_ROWS = 1_000_000
 # Hex digits of the key digest that name a block, one entry per level.
 BLOCK_DIGITS = (6, 3, 0)
 # The hashed text's first line and the reported reasons.
@@ -66,7 +65,6 @@ def holdout_candidates(
 
     Rows are counted per day first, so every window is a sum over days.
     """
-    last = rows.agg(F.max(day)).scalar()
     daily = rows.groupBy(F.col(day).alias("_day")).agg(
         F.count(F.lit(1)).alias("_n"), F.sum(F.col(label).cast("int")).alias("_pos")
     )
@@ -84,7 +82,9 @@ def holdout_candidates(
         )
         for days in config.candidate_days()
     ]
-    counted = daily.withColumn("_end", last).agg(F.array(*windows).alias("_w"))
+    # One row per day, so a window over all of them is small.
+    latest = F.max("_day").over(Window.partitionBy())
+    counted = daily.withColumn("_end", latest).agg(F.array(*windows).alias("_w"))
     enough = (F.col("n_rows") >= config.min_rows) & (F.col("n_positives") >= config.min_positives)
     return (
         counted.select(F.inline("_w"))
@@ -150,12 +150,10 @@ def content_hash(
     key: str = "cve_id",
     day: str = "published_date",
     label: str = "exploited_30d",
-    flat_rows: int = FLAT_HASH_ROWS,
 ) -> DataFrame:
-    """One row: n_rows, scheme and SHA-256 over key, date and label in key order.
+    """One row: n_rows and SHA-256 over key, date and label, the same at every size.
 
-    Up to ``flat_rows`` rows the digest is that of the whole text. A larger
-    slice is hashed in 16.8 million blocks by key digest, and the block digests
+    Rows are hashed in 16.8 million blocks by key digest, and the block digests
     are combined 4096 at a time, so that no task holds more than a block.
     """
     missing = [c for c in (key, day, label) if c not in rows.columns]
@@ -171,34 +169,27 @@ def content_hash(
             F.coalesce(F.col(label).cast("int"), F.lit(0)).cast("string"),
         ).alias("_line"),
     )
-    n = lines.count()
-    if n <= flat_rows:
-        ordered = F.transform(
-            F.array_sort(F.collect_list(F.struct("_k", "_line"))), lambda item: item["_line"]
-        )
-        body = F.concat(F.array(F.lit(HASH_HEADER)), ordered)
-        digest = lines.agg(F.sha2(F.array_join(body, "\n"), 256).alias("sha256"))
-        scheme = "flat"
-    else:
-        digest, scheme = _block_hash(lines), "blocks"
-    return digest.select(
-        F.lit(n).cast("long").alias("n_rows"), F.lit(scheme).alias("scheme"), "sha256"
-    )
+    return _block_hash(lines)
 
 
 def _block_hash(lines: DataFrame) -> DataFrame:
     copies = lines.groupBy("_k", "_line").agg(F.count(F.lit(1)).alias("_n"))
     text = F.concat_ws(",", "_line", F.col("_n").cast("string"))
-    level = copies.select(F.sha2("_k", 256).alias("_block"), text.alias("_text"))
-    for digits in BLOCK_DIGITS:
-        joined = F.array_join(F.array_sort(F.collect_list("_text")), "\n")
+    level = copies.select(F.sha2("_k", 256).alias("_block"), text.alias("_text"), "_n")
+    for digits in BLOCK_DIGITS[:-1]:
         level = (
             level.withColumn("_block", F.substring("_block", 1, digits))
             .groupBy("_block")
-            .agg(F.sha2(joined, 256).alias("_hash"))
-            .select("_block", F.concat_ws(",", "_block", "_hash").alias("_text"))
+            .agg(F.sha2(_joined("_text"), 256).alias("_hash"), F.sum("_n").alias("_n"))
+            .select("_block", F.concat_ws(",", "_block", "_hash").alias("_text"), "_n")
         )
-    return level.select(F.sha2(F.concat_ws("\n", F.lit(HASH_HEADER), "_text"), 256).alias("sha256"))
+    root = level.agg(F.sha2(_joined("_text"), 256).alias("_hash"), F.coalesce(F.sum("_n"), F.lit(0)).cast("long").alias("n_rows"))
+    text = F.concat_ws("\n", F.lit(HASH_HEADER), F.concat_ws(",", F.lit(""), "_hash"))
+    return root.select("n_rows", F.sha2(text, 256).alias("sha256"))
+
+
+def _joined(texts: str) -> Column:
+    return F.array_join(F.array_sort(F.collect_list(texts)), "\n")
 
 
 @dataclass(frozen=True)
@@ -254,7 +245,7 @@ def ordered_split(
     out: str = "is_train",
 ) -> DataFrame:
     """Flag the first ``max(min_train, share * n)`` rows along a total order."""
-    numbered = number_rows(rows, [F.col(c).asc() for c in order], out="_position")
+    numbered = number_all(rows, [F.col(c).asc() for c in order], out="_position")
     # The numbered rows are stored, so counting them does not compute them again.
     cut = max(min_train, int(numbered.count() * train_share))
     return numbered.withColumn(out, F.col("_position") <= cut).drop("_position")

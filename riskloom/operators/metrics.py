@@ -15,17 +15,13 @@ from pyspark.sql import functions as F
 from riskloom.functions.scalars import clamp01
 from riskloom.operators.ordering import (
     null_safe_join,
-    number_rows,
     running_totals,
     slice_count,
     slice_edges,
 )
+from riskloom.session import cut_lineage
 
 NAN = float("nan")
-# Spark limits groups before the shuffle up to this many rows per group.
-GROUP_LIMIT = 1000
-# Largest k for which a plain top-k (k rows per task, merged) is used.
-TOP_K_LIMIT = 100_000
 
 
 def _rows(df: DataFrame, label: str, score: str, groups: Sequence[str], *extra: str) -> DataFrame:
@@ -37,10 +33,18 @@ def _rows(df: DataFrame, label: str, score: str, groups: Sequence[str], *extra:
     )
 
 
-def _by_score(rows: DataFrame, groups: Sequence[str]) -> DataFrame:
-    return rows.groupBy(*groups, "_p").agg(
-        F.sum("_y").alias("_pos"), F.count(F.lit(1)).alias("_n")
+def score_curve(
+    df: DataFrame, *, label: str, score: str, groups: Sequence[str] = (), slices: int | None = None
+) -> DataFrame:
+    """Positives and rows at each distinct score and, from the highest down, up to it.
+
+    The rows are read once: slice edges and totals come from the sums per score.
+    """
+    sums = cut_lineage(
+        _rows(df, label, score, groups).groupBy(*groups, "_p").agg(F.sum("_y").alias("_pos"), F.count(F.lit(1)).alias("_n"))
     )
+    edges = slice_edges(sums, "_p", slices if slices is not None else slice_count(df))
+    return running_totals(sums, by="_p", values=["_pos", "_n"], groups=groups, edges=edges)
 
 
 def calibration_bin(p: Column, bins: int) -> Column:
@@ -79,11 +83,11 @@ def evaluate(
     AUC-PR is the step sum over distinct thresholds; AUC-ROC gives ties half
     credit; both are NaN when a group has a single class.
     """
-    rows = _rows(df, label, score, groups)
-    edges = slice_edges(rows, "_p", slices if slices is not None else slice_count(df))
-    curve = running_totals(
-        _by_score(rows, groups), by="_p", values=["_pos", "_n"], groups=groups, edges=edges
-    )
+    return summarise(score_curve(df, label=label, score=score, groups=groups, slices=slices), groups, bins)
+
+
+def summarise(curve: DataFrame, groups: Sequence[str], bins: int = 10) -> DataFrame:
+    """The metrics of ``evaluate`` from a score curve."""
     p = clamp01(F.col("_p"))
     pos, n = F.col("_pos").cast("double"), F.col("_n").cast("double")
     cum_pos, cum_n = F.col("cum__pos").cast("double"), F.col("cum__n").cast("double")
@@ -165,18 +169,34 @@ def precision_at_k(
     groups: Sequence[str] = (),
 ) -> DataFrame:
     """Share of positives among the ``min(k, n)`` best rows of each group; NaN for ``k <= 0``."""
-    rows = _rows(df, label, score, groups, *tie_break)
-    order = [F.col("_p").desc(), *[F.col(c).asc() for c in tie_break]]
+    curve = score_curve(df, label=label, score=score, groups=groups)
+    return _top_of_curve(curve, df, label=label, score=score, k=k, tie_break=tie_break, groups=groups)
+
+
+def _top_of_curve(
+    curve: DataFrame, df: DataFrame, *, label: str, score: str, k: int, tie_break: Sequence[str], groups: Sequence[str]
+) -> DataFrame:
+    """Whole scores count from the curve; ties are only broken among rows of the score that the k-th row has."""
     if k <= 0:
-        return rows.groupBy(*groups).agg(F.lit(NAN).alias("precision_at_k"))
-    if not groups and k <= TOP_K_LIMIT:
-        best = rows.orderBy(*order).limit(k)
-    elif groups and k <= GROUP_LIMIT:
-        rank = F.row_number().over(Window.partitionBy(*groups).orderBy(*order))
-        best = rows.withColumn("_rank", rank).where(F.col("_rank") <= k)
-    else:
-        best = number_rows(rows, order, groups=groups, out="_rank").where(F.col("_rank") <= k)
-    return best.groupBy(*groups).agg(F.coalesce(F.avg("_y"), F.lit(NAN)).alias("precision_at_k"))
+        return curve.groupBy(*groups).agg(F.lit(NAN).alias("precision_at_k"))
+    whole = F.col("cum__n") <= k
+    cut = ~whole & (F.col("cum__n") - F.col("_n") < k)
+    top = curve.groupBy(*groups).agg(
+        F.coalesce(F.sum(F.when(whole, F.col("_pos"))), F.lit(0)).alias("_top_pos"),
+        F.coalesce(F.sum(F.when(whole, F.col("_n"))), F.lit(0)).alias("_top_n"),
+        F.max(F.when(cut, F.col("_p"))).alias("_edge"),
+    )
+    edge = top.where(F.col("_edge").isNotNull()).select(*groups, F.col("_edge").alias("_p"), (k - F.col("_top_n")).alias("_left"))
+    rows = _rows(df, label, score, groups, *tie_break)
+    tied = null_safe_join(rows, edge, [*groups, "_p"])
+    rank = F.row_number().over(Window.partitionBy(*groups).orderBy(*([F.col(c).asc() for c in tie_break] or [F.lit(0)])))
+    taken = tied.withColumn("_rank", rank).where((F.col("_rank") <= k) & (F.col("_rank") <= F.col("_left")))
+    ties = taken.groupBy(*groups).agg(F.sum("_y").alias("_tie_pos"), F.count(F.lit(1)).alias("_tie_n"))
+    counted = top.select(*groups, F.col("_top_pos").alias("_pos"), F.col("_top_n").alias("_n")).unionByName(
+        ties.select(*groups, F.col("_tie_pos").alias("_pos"), F.col("_tie_n").alias("_n"))
+    )
+    # At most two rows per group.
+    return counted.groupBy(*groups).agg(_ratio(F.sum("_pos"), F.sum("_n")).alias("precision_at_k"))
 
 
 def metric_bundle(
@@ -190,8 +210,9 @@ def metric_bundle(
     bins: int = 10,
 ) -> DataFrame:
     """All five metrics, one row per group."""
-    summary = evaluate(df, label=label, score=score, groups=groups, bins=bins)
-    top = precision_at_k(df, label=label, score=score, k=k, tie_break=tie_break, groups=groups)
+    curve = score_curve(df, label=label, score=score, groups=groups)
+    summary = summarise(curve, groups, bins)
+    top = _top_of_curve(curve, df, label=label, score=score, k=k, tie_break=tie_break, groups=groups)
     return null_safe_join(summary, top, groups, "left")
 
 

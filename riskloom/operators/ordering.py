@@ -17,14 +17,10 @@ from pyspark.sql.types import DataType, DateType, NumericType, TimestampNTZType,
 
 from riskloom.session import cut_lineage
 
-MAX_SLICES = 1024
-HOT_ROWS = 5_000_000
-
 
 def slice_count(df: DataFrame) -> int:
-    """As many slices as the session has shuffle partitions, within fixed limits."""
-    wanted = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(2, min(MAX_SLICES, wanted))
+    """As many slices as the session has shuffle partitions, two at least."""
+    return max(2, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
 def as_number(column: Column, dtype: DataType) -> Column:
@@ -110,54 +106,38 @@ def running_totals(
     )
 
 
-def _positions_by_range(
-    df: DataFrame, groups: Sequence[str], order: Sequence[Column], out: str
-) -> DataFrame:
-    """Row numbers from sorted range partitions; a group may span any number of them."""
-    keys = [F.col(g) for g in groups] + list(order)
+def number_all(df: DataFrame, order: Sequence[Column], out: str = "position") -> DataFrame:
+    """1..n along ``order`` (total) over all rows, as BIGINT, from sorted range partitions with counted offsets."""
     # Row order within and across partitions is fixed by the checkpoint, so the
     # numbers and the offsets counted from them cannot drift apart on a retry.
     placed = cut_lineage(
-        df.repartitionByRange(*keys)
-        .sortWithinPartitions(*keys)
-        .withColumn("_slot", F.monotonically_increasing_id())
+        df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_slot", F.monotonically_increasing_id())
     ).withColumn("_part", F.shiftright("_slot", 33))
-    # One row per (group, partition): at most groups + partitions rows.
-    parts = placed.groupBy(*groups, "_part").agg(
-        F.count(F.lit(1)).alias("_n"), F.min("_slot").alias("_lo")
-    )
-    before = Window.partitionBy(*groups).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = parts.select(
-        *groups, "_part", "_lo", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before")
-    )
-    return placed.join(offsets, [*groups, "_part"]).select(
+    # One row per partition.
+    parts = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"), F.min("_slot").alias("_lo"))
+    before = Window.partitionBy().orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = parts.select("_part", "_lo", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    return placed.join(offsets, "_part").select(
         *df.columns, (F.col("_slot") - F.col("_lo") + F.col("_before") + 1).alias(out)
     )
 
 
-def number_rows(
-    df: DataFrame,
-    order: Sequence[Column],
-    *,
-    groups: Sequence[str] = (),
-    out: str = "position",
-    hot_rows: int = HOT_ROWS,
+def number_in_groups(
+    df: DataFrame, order: Sequence[Column], *, groups: Sequence[str], slice_of: Column, out: str = "position"
 ) -> DataFrame:
-    """1..n along ``order`` (total) within each group, as BIGINT.
+    """1..n along ``order`` (total) within each group, as BIGINT; null groups count like others.
 
-    Groups above ``hot_rows`` rows are numbered from range partitions; the
-    others, and rows whose group is null, take the ordinary one-shuffle window.
+    ``slice_of`` is a whole number that never falls along the order. Each
+    (group, slice) is numbered by itself and starts from the counts of the
+    slices before it, so a group with a large share of all rows is spread over
+    as many tasks as it spans slices.
     """
-    if not groups:
-        return _positions_by_range(df, [], order, out)
-    rows = cut_lineage(df)
-    hot = rows.groupBy(*groups).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > hot_rows)
-    hot = hot.select(*groups)
-    plain = F.row_number().over(Window.partitionBy(*groups).orderBy(*order)).cast("long")
-    if hot.isEmpty():
-        return rows.withColumn(out, plain)
-    cold_rows = rows.join(hot, list(groups), "left_anti").withColumn(out, plain)
-    hot_rows_df = rows.join(hot, list(groups), "left_semi").select(*df.columns)
-    return cold_rows.select(*df.columns, out).unionByName(
-        _positions_by_range(hot_rows_df, groups, order, out)
+    rows = cut_lineage(df.withColumn("_slice", slice_of))
+    here = Window.partitionBy(*groups, "_slice").orderBy(*order)
+    before = Window.partitionBy(*groups).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    counts = rows.groupBy(*groups, "_slice").agg(F.count(F.lit(1)).alias("_n"))
+    starts = counts.select(*groups, "_slice", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    numbered = rows.withColumn("_here", F.row_number().over(here).cast("long"))
+    return null_safe_join(numbered, starts, [*groups, "_slice"]).select(
+        *df.columns, (F.col("_here") + F.col("_before")).alias(out)
     )

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from riskloom.operators.asof import asof_join, asof_lookup
 from riskloom.operators.dedup import keep_first, keep_last
-from riskloom.operators.ordering import number_rows, running_totals, slice_edges
+from riskloom.operators.ordering import number_all, number_in_groups, running_totals, slice_edges
 
 DAY0 = date(2024, 1, 1)
 
@@ -100,15 +100,16 @@ def test_null_groups_stay_whole(spark):
     df = spark.createDataFrame([(None, 0.1, 1), (None, 0.2, 2), ("a", 0.3, 4)], "g string, x double, n int")
     got = running_totals(df, by="x", values=["n"], groups=["g"], edges=[0.15])
     assert {(r["g"], r["x"]): r["cum_n"] for r in got.collect()} == {(None, 0.2): 2, (None, 0.1): 3, ("a", 0.3): 4}
-    numbered = number_rows(df, [F.col("x").asc()], groups=["g"], hot_rows=0)
+    numbered = number_in_groups(df, [F.col("x").asc()], groups=["g"], slice_of=F.floor(F.col("x") * 10))
     assert sorted((str(r["g"]), r["position"]) for r in numbered.collect()) == [("None", 1), ("None", 2), ("a", 1)]
 
 
-@pytest.mark.parametrize("hot_rows", [0, 50, 10**6])
-def test_number_rows_with_and_without_hot_groups(spark, hot_rows):
+@pytest.mark.parametrize("width", [1, 3, 1000])
+def test_numbers_in_groups_do_not_depend_on_slices(spark, width):
     rows = skewed(500, 9, 5, 4)
     df = spark.createDataFrame(rows, "i int, k string, d date, v int").repartition(6)
-    got = number_rows(df, [F.col("v").desc(), F.col("i").asc()], groups=["k"], hot_rows=hot_rows)
+    order = [F.col("v").desc(), F.col("i").asc()]
+    got = number_in_groups(df, order, groups=["k"], slice_of=-F.floor(F.col("v") / width))
     want = {}
     for key in {r[1] for r in rows}:
         ordered = sorted((r for r in rows if r[1] == key), key=lambda r: (-r[3], r[0]))
@@ -116,9 +117,9 @@ def test_number_rows_with_and_without_hot_groups(spark, hot_rows):
     assert {r["i"]: r["position"] for r in got.collect()} == want
 
 
-def test_number_rows_over_everything(spark):
+def test_numbers_over_everything(spark):
     df = spark.range(1000).repartition(7).select((F.col("id") * 37 % 1000).alias("x"))
-    got = number_rows(df, [F.col("x").asc()])
+    got = number_all(df, [F.col("x").asc()])
     assert all(r["position"] == r["x"] + 1 for r in got.collect())
 
 

@@ -58,17 +58,25 @@ def test_training_rows_and_leak(spark):
     assert leaking.n_rows == 400 and leaking.holdout_leak
 
 
-def test_content_hash_is_that_of_the_text(spark):
+def test_content_hash_is_that_of_its_blocks(spark):
+    def digest(text):
+        return hashlib.sha256(text.encode()).hexdigest()
+
     rows = daily(spark, date(2024, 1, 1), 30, 7)
-    lines = ["cve_id,published_date,exploited_30d"]
-    lines += [f"{r[0]},{r[1].isoformat()},{int(r[2])}" for r in sorted(rows.collect())]
-    want = hashlib.sha256("\n".join(lines).encode()).hexdigest()
-    assert content_hash(rows.repartition(5)).first()["sha256"] == want
+    level = [(digest(r[0]), f"{r[0]},{r[1].isoformat()},{int(r[2])},1") for r in rows.collect()]
+    for digits in (6, 3):
+        blocks = {}
+        for key, text in level:
+            blocks.setdefault(key[:digits], []).append(text)
+        level = [(key, f"{key},{digest(chr(10).join(sorted(texts)))}") for key, texts in blocks.items()]
+    root = digest("\n".join(sorted(text for _, text in level)))
+    want = digest(f"cve_id,published_date,exploited_30d\n,{root}")
+    for parts in (1, 5):
+        got = content_hash(rows.repartition(parts)).first()
+        assert (got["sha256"], got["n_rows"]) == (want, rows.count())
     assert content_hash(rows.where("exploited_30d is null")).first()["n_rows"] == 0
-    blocks = {content_hash(rows.repartition(n), flat_rows=3).first()["sha256"] for n in (1, 6)}
-    assert len(blocks) == 1
     changed = rows.withColumn("exploited_30d", ~F.col("exploited_30d"))
-    assert content_hash(changed, flat_rows=3).first()["sha256"] not in blocks
+    assert content_hash(changed).first()["sha256"] != want
     with pytest.raises(ValueError, match="exploited_30d"):
         content_hash(rows.drop("exploited_30d"))
 
@@ -97,7 +105,7 @@ def test_fold_arguments(arguments):
 
 
 def test_fold_of_nothing():
-    with pytest.raises(ValueError, match="non-empty"):
+    with pytest.raises(ValueError, match="without dates"):
         plan_folds(None, None, n_splits=1, horizon_days=1, embargo_days=0)
 
 

@@ -76,30 +76,28 @@ _LINE = "CAST(o_orderkey AS VARCHAR) || ',' || strftime(d, '%Y-%m-%d') || ',' ||
 _HASH_NAMES = {"key": "o_orderkey", **NAMES}
 
 
-@query(
-    f"""WITH {LABELLED}
-    SELECT count(*) AS n_rows, 'flat' AS scheme, sha256('cve_id,published_date,exploited_30d' || chr(10) ||
-      string_agg({_LINE}, chr(10) ORDER BY CAST(o_orderkey AS VARCHAR))) AS sha256
-    FROM labelled WHERE d >= (SELECT max(d) FROM labelled) - 89"""
-)
+def _blocks(source: str) -> str:
+    """SQL of the digest of ``source`` (o_orderkey, d, y)."""
+    return f"""WITH {LABELLED}, hashed AS ({source}),
+    b6 AS (SELECT substr(sha256(CAST(o_orderkey AS VARCHAR)), 1, 6) AS k,
+            sha256(string_agg({_LINE} || ',1', chr(10) ORDER BY {_LINE} || ',1')) AS h FROM hashed GROUP BY 1),
+    b3 AS (SELECT substr(k, 1, 3) AS k, sha256(string_agg(k || ',' || h, chr(10) ORDER BY k)) AS h FROM b6 GROUP BY 1),
+    r AS (SELECT sha256(string_agg(k || ',' || h, chr(10) ORDER BY k)) AS h FROM b3)
+    SELECT (SELECT count(*) FROM hashed) AS n_rows,
+      sha256('cve_id,published_date,exploited_30d' || chr(10) || ',' || h) AS sha256 FROM r"""
+
+
+@query(_blocks("SELECT * FROM labelled WHERE d >= (SELECT max(d) FROM labelled) - 89"))
 def holdout_hash(spark: SparkSession, folder: str) -> DataFrame:
     """Fingerprint of the selected window's rows."""
     rows = label_within_30d(spark, folder)
     return content_hash(holdout_rows(rows, find_holdout(rows, **NAMES), day="order_date"), **_HASH_NAMES)
 
 
-@query(
-    f"""WITH {LABELLED},
-    b6 AS (SELECT substr(sha256(CAST(o_orderkey AS VARCHAR)), 1, 6) AS k,
-            sha256(string_agg({_LINE} || ',1', chr(10) ORDER BY {_LINE} || ',1')) AS h FROM labelled GROUP BY 1),
-    b3 AS (SELECT substr(k, 1, 3) AS k, sha256(string_agg(k || ',' || h, chr(10) ORDER BY k)) AS h FROM b6 GROUP BY 1),
-    r AS (SELECT sha256(string_agg(k || ',' || h, chr(10) ORDER BY k)) AS h FROM b3)
-    SELECT (SELECT count(*) FROM labelled) AS n_rows, 'blocks' AS scheme,
-      sha256('cve_id,published_date,exploited_30d' || chr(10) || ',' || h) AS sha256 FROM r"""
-)
+@query(_blocks("SELECT * FROM labelled"))
 def content_hash_blocks(spark: SparkSession, folder: str) -> DataFrame:
-    """Fingerprint of all labelled orders in blocks, as used beyond the flat limit."""
-    return content_hash(label_within_30d(spark, folder), flat_rows=0, **_HASH_NAMES)
+    """Fingerprint of all labelled orders."""
+    return content_hash(label_within_30d(spark, folder), **_HASH_NAMES)
 
 
 @query(
