@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -15,13 +15,19 @@ from riskloom.functions.identifiers import CVE_EXACT, CWE_EXACT
 SEVERITIES = ("LOW", "MEDIUM", "HIGH", "CRITICAL")
 
 
+# An aggregate over the table, or a function of the table that gives a scalar subquery.
+Measure = Column | Callable[[DataFrame], Column]
+# Fixed value: elements shown as examples of a failed check.
+EXAMPLES = 5
+
+
 @dataclass(frozen=True)
 class Rule:
-    """``bad`` aggregates to the number of violations; ``detail`` to a text shown with them."""
+    """``bad`` is the number of violations; ``detail`` a text shown with them."""
 
     name: str
-    bad: Column
-    detail: Column | None = None
+    bad: Measure
+    detail: Measure | None = None
 
 
 def violations(condition: Column) -> Column:
@@ -42,13 +48,17 @@ def matches(column: str, pattern: str) -> Column:
     return violations(F.col(column).isNull() | ~F.col(column).rlike(pattern))
 
 
-def unique(column: str) -> Column:
-    """Rows beyond the first of each value; null counts as a value."""
-    return (
-        F.count(F.lit(1))
-        - F.count_distinct(F.col(column))
-        - F.least(F.count_if(F.col(column).isNull()), F.lit(1))
-    )
+def unique(column: str) -> Measure:
+    """Rows beyond the first of each value; null counts as a value.
+
+    Counted by itself over that one column, so that the other checks need not be grouped by it.
+    """
+
+    def extra(df: DataFrame) -> Column:
+        counts = df.groupBy(column).agg(F.count(F.lit(1)).alias("_n"))
+        return counts.agg(F.coalesce(F.sum(F.col("_n") - 1), F.lit(0))).scalar()
+
+    return extra
 
 
 def within(column: str, low: float, high: float) -> Column:
@@ -82,32 +92,41 @@ def elements_match(column: str, pattern: str) -> Column:
     return violations(F.coalesce(F.exists(column, lambda x: ~x.rlike(pattern)), F.lit(False)))
 
 
-def bad_element(column: str, pattern: str) -> Column:
-    """The smallest offending element, as an example."""
-    return F.min(F.get(F.array_sort(F.filter(column, lambda x: ~x.rlike(pattern))), F.lit(0)))
+def bad_elements(column: str, pattern: str) -> Measure:
+    """The first offending elements in text order, as examples."""
+
+    def examples(df: DataFrame) -> Column:
+        wrong = df.select(F.explode(F.filter(column, lambda x: ~x.rlike(pattern))).alias("_e")).distinct()
+        first = wrong.orderBy("_e").limit(EXAMPLES)
+        return first.agg(F.array_join(F.array_sort(F.collect_list("_e")), ", ")).scalar()
+
+    return examples
 
 
 def schema_errors(df: DataFrame, contract: StructType) -> list[str]:
-    """Order, presence and type differences; nothing is read."""
+    """Differences in order, presence and type."""
     errors = []
     if df.columns != contract.names:
-        errors.append(f"column order mismatch: {df.columns} vs {contract.names}")
+        errors.append(f"columns are {', '.join(df.columns)}; expected are {', '.join(contract.names)}")
     for field in contract:
         if field.name not in df.columns:
-            errors.append(f"missing column: {field.name}")
+            errors.append(f"no column {field.name}")
         elif df.schema[field.name].dataType != field.dataType:
             got = df.schema[field.name].dataType.simpleString()
-            errors.append(f"column {field.name} type {got} != {field.dataType.simpleString()}")
+            errors.append(f"{field.name} is {got}; expected is {field.dataType.simpleString()}")
     return errors
 
 
 def check(df: DataFrame, rules: Sequence[Rule]) -> DataFrame:
-    """One row per rule: check, n_rows, n_bad, passed, detail; a single pass over ``df``."""
-    counted = df.agg(
-        F.count(F.lit(1)).alias("_n"),
-        *[r.bad.cast("long").alias(f"_b{i}") for i, r in enumerate(rules)],
-        *[r.detail.cast("string").alias(f"_d{i}") for i, r in enumerate(rules) if r.detail is not None],
-    )
+    """One row per rule: check, n_rows, n_bad, passed, detail.
+
+    One pass over ``df`` for all rules but those on duplicates and examples, which read a single column each.
+    """
+    measures = {f"_b{i}": (r.bad, "long") for i, r in enumerate(rules)}
+    measures |= {f"_d{i}": (r.detail, "string") for i, r in enumerate(rules) if r.detail is not None}
+    plain = {name: m.cast(kind) for name, (m, kind) in measures.items() if isinstance(m, Column)}
+    apart = {name: m(df).cast(kind) for name, (m, kind) in measures.items() if not isinstance(m, Column)}
+    counted = df.agg(F.count(F.lit(1)).alias("_n"), *[m.alias(name) for name, m in plain.items()]).withColumns(apart)
     lines = [
         F.struct(
             F.lit(r.name).alias("check"),
@@ -151,23 +170,24 @@ def master_rules() -> list[Rule]:
         *[Rule(f"{c}_present", not_null(c)) for c in ("ref_has_exploit", "ref_has_patch", "in_kev", "exploited_30d")],
         *[Rule(f"{c}_range", within(c, 0, 1), extremes[c]) for c in ("epss_score", "epss_percentile")],
         Rule("kev_date_iff_in_kev", flag_iff_present("in_kev", "kev_date_added"), flags),
-        Rule("cwe_id_format", elements_match("cwe_ids", CWE_EXACT), bad_element("cwe_ids", CWE_EXACT)),
+        Rule("cwe_id_format", elements_match("cwe_ids", CWE_EXACT), bad_elements("cwe_ids", CWE_EXACT)),
     ]
 
 
 def validate(df: DataFrame, contract: StructType, rules: Sequence[Rule]) -> DataFrame:
-    """Rule results, or one failed row per schema error when the contract is not met."""
+    """Rule results, or one failed row per schema error when the contract is not met.
+
+    A schema error counts against every row of the table.
+    """
     errors = schema_errors(df, contract)
     if not errors:
         return check(df, rules)
-    return _schema_failures(df.sparkSession, errors)
-
-
-def _schema_failures(spark: SparkSession, errors: Sequence[str]) -> DataFrame:
-    return spark.createDataFrame(
-        [("schema", None, None, False, text) for text in errors],
-        "check string, n_rows bigint, n_bad bigint, passed boolean, detail string",
-    )
+    every = F.col("n_rows")
+    failures = [
+        F.struct(F.lit("schema").alias("check"), every, every.alias("n_bad"), F.lit(False).alias("passed"), F.lit(text).alias("detail"))
+        for text in errors
+    ]
+    return df.agg(F.count(F.lit(1)).alias("n_rows")).select(F.inline(F.array(*failures)))
 
 
 def roll_up(results: DataFrame, table: str) -> DataFrame:

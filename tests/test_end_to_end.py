@@ -18,9 +18,9 @@ from riskloom.plans.training import NotEnoughData, TrainConfig, greedy_search, s
 from riskloom.sources import bronze
 from riskloom.sources.registry import latest_run, load_latest, save_run
 
-START, DAYS = date(2023, 6, 1), 220
+START, DAYS, EVERY = date(2021, 2, 3), 260, 15
 TARGET = START + timedelta(days=DAYS + 60)
-SINCE = date(2023, 1, 1)
+SINCE = date(2021, 1, 20)
 BOOSTER = BoosterParams(max_iter=3, max_depth=2, min_instances=5, step_size=0.3)
 TRAIN = TrainConfig(
     n_splits=2,
@@ -34,31 +34,31 @@ EVAL = EvalConfig(top_k=10, booster=BOOSTER, holdout=TRAIN.holdout)
 
 
 def cve(i):
-    return f"CVE-2023-{i + 1:04d}"
+    return f"CVE-2021-{7000 + 3 * i}"
 
 
 def land(folder):
-    """One vulnerability a day, every 18th exploited five days later; scores from the day itself."""
+    """One vulnerability a day; one in every so many is listed as exploited nine days later."""
     records, marks = [], []
     for name in ("nvd", "kev", "epss"):
         (folder / name).mkdir(parents=True)
     for i in range(DAYS):
-        day, hit = START + timedelta(days=i), i % 18 == 0
-        product = ("openssl", "3.0.0") if i % 3 == 0 else ("libxml2", "2.9.10")
+        day, hit = START + timedelta(days=i), i % EVERY == 0
+        product = ("harbor", "7.4.1") if i % 4 == 0 else ("lantern", "0.9.3")
         data = {
-            "baseScore": 9.8 if hit else 7.5,
-            "baseSeverity": "CRITICAL" if hit else "HIGH",
-            "vectorString": "CVSS:3.1/AV:N/AC:L/PR:N/UI:N/S:U/C:H/I:H/A:H",
+            "baseScore": 8.8 if hit else 4.0 + i % 4,
+            "baseSeverity": "HIGH" if hit or i % 4 == 3 else "MEDIUM",
+            "vectorString": "CVSS:3.1/AV:L/AC:H/PR:L/UI:R/S:C/C:L/I:L/A:N",
         }
         records.append(
             {
                 "cve": {
                     "id": cve(i),
                     "published": f"{day}T00:00:00.000",
-                    "lastModified": f"{day + timedelta(days=1)}T00:00:00.000",
-                    "descriptions": [{"lang": "en", "value": "x" * 40}],
+                    "lastModified": f"{day + timedelta(days=6)}T08:30:00.000",
+                    "descriptions": [{"lang": "en", "value": "a fault in " + product[0] * (1 + i % 5)}],
                     "metrics": {"cvssMetricV31": [{"type": "Primary", "cvssData": data}]},
-                    "weaknesses": [{"description": [{"value": "CWE-79" if i % 2 == 0 else "CWE-22"}]}],
+                    "weaknesses": [{"description": [{"value": ("CWE-416", "CWE-190", "CWE-862")[i % 3]}]}],
                     "configurations": [
                         {"nodes": [{"cpeMatch": [{"criteria": f"cpe:2.3:a:v:{product[0]}:{product[1]}:*"}]}]}
                     ],
@@ -67,13 +67,13 @@ def land(folder):
             }
         )
         if hit:
-            marks.append({"cveID": cve(i), "dateAdded": str(day + timedelta(days=5))})
+            marks.append({"cveID": cve(i), "dateAdded": str(day + timedelta(days=9))})
     (folder / "nvd" / f"nvd_{SINCE}.json").write_text(json.dumps({"vulnerabilities": records}))
     (folder / "kev" / "kev.json").write_text(json.dumps({"vulnerabilities": marks}))
 
 
 def score_of(i):
-    return (0.85, 0.95) if i % 18 == 0 else (0.05 + (i % 10) * 0.01, 0.20 + (i % 10) * 0.02)
+    return (0.62, 0.9) if i % EVERY == 0 else (0.02 * (1 + i % 7), 0.1 + 0.05 * (i % 7))
 
 
 def land_scores(folder, day):
@@ -109,7 +109,7 @@ def test_ingest(spark, stored):
     assert result.silver and result.passed and result.epss_day == TARGET - timedelta(days=2)
     master = spark.read.parquet(f"{base}/data/silver/cve_master")
     assert master.count() == DAYS
-    assert master.where("exploited_30d and in_kev").count() == 13
+    assert master.where("exploited_30d and in_kev").count() == -(-DAYS // EVERY)
     assert master.where("epss_score is null").count() == 0
     again = daily_ingest(spark, f"{base}/landing", f"{base}/data", TARGET, nvd_since=SINCE)
     assert again == result and spark.read.parquet(f"{base}/data/silver/cve_master").count() == DAYS
@@ -183,12 +183,13 @@ def test_rank(spark, stored, frame, run):
     body = {
         "bomFormat": "CycloneDX",
         "specVersion": "1.5",
-        "components": [{"name": "openssl", "version": "3.0.0", "purl": "pkg:generic/openssl@3.0.0"}],
+        "components": [{"name": "harbor", "version": "7.4.1", "purl": "pkg:generic/harbor@7.4.1"}],
     }
     docs = spark.createDataFrame([("d", json.dumps(body))], "doc_id string, json string")
-    ranked, rejects = rank_documents(docs, master, index=index, predictions=score_frame(frame, run.model))
+    found = rank_documents(docs, master, index=index, predictions=score_frame(frame, run.model))
+    ranked, rejects = found.ranked, found.rejects
     rows = ranked.orderBy("rank").collect()
-    assert len(rows) == 74 and [r["rank"] for r in rows] == list(range(1, 75))
+    assert len(rows) == DAYS // 4 and [r["rank"] for r in rows] == list(range(1, DAYS // 4 + 1))
     assert rows[0]["in_kev"] and rows[0]["match_method"] == "product_version_exact"
     assert all(a["probability"] >= b["probability"] for a, b in zip(rows, rows[1:]))
     assert rejects.isEmpty()

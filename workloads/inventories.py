@@ -294,12 +294,12 @@ def rank_docs(spark: SparkSession, folder: str) -> DataFrame:
 )
 def rank_inventories(spark: SparkSession, folder: str) -> DataFrame:
     """Every document parsed, matched, scored and ranked in one job."""
-    ranked, _ = rank_documents(
+    ranked = rank_documents(
         documents(spark, folder),
         _part_master(spark, folder),
         index=product_index(products(spark, folder)),
         predictions=_part_predictions(spark, folder),
-    )
+    ).ranked
     return ranked.drop("match_reason").withColumn("probability", F.round("probability", 9))
 
 
