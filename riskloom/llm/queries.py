@@ -14,6 +14,7 @@ from riskloom.llm.decontaminate import contamination
 from riskloom.llm.html_extract import extract_text
 from riskloom.llm.line_dedup import dedup_lines
 from riskloom.llm.near_dedup import near_duplicates
+from riskloom.llm.neighbours import nearest
 from riskloom.llm.packing import pack_pieces, token_pieces
 from riskloom.llm.quality import quality_scores
 from riskloom.llm.substring_dedup import remove_repeated_windows
@@ -111,6 +112,10 @@ def op9_near_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return out.select("doc_id", "n_shingles", "component_id", (F.col("doc_id") == F.col("component_id")).alias("kept"))
 
 
+def op10_nearest_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    return nearest(_table(spark, folder, "embeddings"), "id % 20 = 0").select("query_id", "rank", "vec_id", "score")
+
+
 OP2_SQL = r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
 windows AS (
@@ -212,6 +217,30 @@ SELECT conv_id, count(*) AS n_turns,
 FROM e GROUP BY conv_id
 """
 
+OP9_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+    '[^\x20\x09-\x0D]+') AS w FROM documents
+),
+s AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i:i + 1], ' ') AS shingle
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w), 2))) AS i FROM d WHERE len(w) > 0)
+),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+shared AS (
+  SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b USING (shingle) WHERE a.doc_id < b.doc_id GROUP BY ALL
+),
+links AS (
+  SELECT x, y FROM shared JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * c >= 80 * (a.n + b.n - c)
+),
+both_ways AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+reach AS (SELECT x, y FROM both_ways UNION SELECT r.x, b.y FROM reach r JOIN both_ways b ON b.x = r.y),
+low AS (SELECT x AS doc_id, min(y) AS low FROM reach GROUP BY x)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, least(d.doc_id, coalesce(low, d.doc_id)) AS component_id,
+  d.doc_id <= coalesce(low, d.doc_id) AS kept
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN low USING (doc_id)
+"""
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -224,6 +253,7 @@ QUERIES = {
         op7_quality_classifier,
         op8_chat_formatting,
         op9_near_dedup,
+        op10_nearest_neighbours,
     )
 }
-ORACLES = {"op2_substring_dedup": OP2_SQL, "op4_decontamination": OP4_SQL, "op6_line_dedup": OP6_SQL, "op8_chat_formatting": OP8_SQL}
+ORACLES = {"op2_substring_dedup": OP2_SQL, "op4_decontamination": OP4_SQL, "op6_line_dedup": OP6_SQL, "op8_chat_formatting": OP8_SQL, "op9_near_dedup": OP9_SQL}
