@@ -31,10 +31,6 @@ def _lines(docs: DataFrame, min_words: int) -> DataFrame:
     return words.filter(F.size("words") >= min_words)
 
 
-def _without(words: Column, place: Column) -> Column:
-    return F.concat_ws(" ", F.slice(words, 1, place), F.slice(words, place + 2, F.size(words)))
-
-
 def _shared(lines: DataFrame, key: str) -> DataFrame:
     """Values of ``key`` that several different lines have."""
     return lines.groupBy(key).agg(F.count("*").alias("_n")).filter("_n > 1").select(key, F.lit(True).alias(f"{key}_shared"))
@@ -70,29 +66,38 @@ def _halves(candidates: DataFrame, min_words: int) -> DataFrame:
 
 def _near(candidates: DataFrame, min_words: int) -> DataFrame:
     """``id`` of each line with an earlier near line; ``candidates``: id, rank, words, and which edges are shared."""
-    lines = stored(candidates.join(_halves(candidates, min_words), "id").select("id", "rank", "words", "kinds"), "near-lines")
-    n, has = F.size("words"), lambda kind: F.array_contains("kinds", kind)
+    kinds = ("head0", "tail0", "head1", "tail1")
+    rank = F.struct("rank.doc", "rank.line_no", "rank.id").alias("rank")
+    lines = candidates.join(_halves(candidates, min_words), "id")
+    lines = stored(lines.select(rank, "words", *[F.array_contains("kinds", k).alias(k) for k in kinds]), "near-lines")
+    words, n = F.col("words"), F.size("words")
     half, less = F.floor(n / 2), F.floor((n - 1) / 2)
-    every = F.sequence(F.lit(0), n - 1)
-    changed_at = F.filter(every, lambda p: (has("head0") & (p >= half)) | (has("tail0") & (p < half)))
-    left_out = F.filter(every, lambda p: (has("head1") & (p >= less)) | (has("tail1") & (p <= less)))
-    changed_keys = F.transform(changed_at, lambda p: wide_hash(_without(F.col("words"), p), p))
-    shorter_keys = F.transform(left_out, lambda p: wide_hash(_without(F.col("words"), p), F.lit(-1)))
-    variants = lines.select("id", "rank", F.explode(changed_keys).alias("variant"))
-    first = variants.groupBy("variant").agg(F.min("rank").alias("first"), F.count("*").alias("_n")).filter("_n > 1")
-    changed = variants.join(first.drop("_n"), "variant").filter(F.col("rank") > F.col("first")).select("id", F.col("first.id").alias("other"))
-    shorter = lines.select("id", "rank", F.explode(shorter_keys).alias("variant"))
-    whole = lines.filter(has("head0") | has("tail0")).select(
-        wide_hash(F.concat_ws(" ", "words"), F.lit(-1)).alias("variant"), F.col("id").alias("_id"), F.col("rank").alias("_rank")
+
+    def variant(p: Column) -> Column:
+        return F.struct(
+            p.alias("place"),
+            wide_hash(F.slice(words, F.lit(1), p), F.slice(words, p + 2, n)).alias("variant"),
+            ((F.col("head0") & (p >= half)) | (F.col("tail0") & (p < half))).alias("changed"),
+            ((F.col("head1") & (p >= less)) | (F.col("tail1") & (p <= less))).alias("left_out"),
+        )
+
+    wanted = F.filter(
+        F.sequence(F.lit(0), n - 1),
+        lambda p: ((F.col("head0") | F.col("head1")) & (p >= less)) | ((F.col("tail0") | F.col("tail1")) & (p <= half)),
     )
+    variants = stored(lines.select("rank", F.inline(F.transform(wanted, variant))), "variants")
+    same = variants.filter("changed").select("rank", "variant", "place")
+    first = same.groupBy("variant", "place").agg(F.min("rank").alias("first"), F.count("*").alias("_n")).filter("_n > 1").drop("_n")
+    changed = same.join(first, ["variant", "place"]).filter(F.col("rank") > F.col("first")).select(F.col("rank.id").alias("id"), F.col("first.id").alias("other"))
+    whole = lines.filter("head0 or tail0").select(wide_hash(words, F.array().cast("array<string>")).alias("variant"), F.col("rank").alias("_rank"))
+    met = variants.filter("left_out").select("rank", "variant").join(whole, "variant")
     later = F.col("rank") > F.col("_rank")
-    added = shorter.join(whole, "variant").select(
-        F.when(later, F.col("id")).otherwise(F.col("_id")).alias("id"), F.when(later, F.col("_id")).otherwise(F.col("id")).alias("other")
-    )
+    mine, theirs = F.col("rank.id"), F.col("_rank.id")
+    added = met.select(F.when(later, mine).otherwise(theirs).alias("id"), F.when(later, theirs).otherwise(mine).alias("other"))
     pairs = changed.unionByName(added).distinct()
-    mine = lines.select("id", F.col("words").alias("a"))
-    theirs = lines.select(F.col("id").alias("other"), F.col("words").alias("b"))
-    return pairs.join(mine, "id").join(theirs, "other").filter(_one_edit(F.col("a"), F.col("b"))).select("id").distinct()
+    a = lines.select(F.col("rank.id").alias("id"), F.col("words").alias("a"))
+    b = lines.select(F.col("rank.id").alias("other"), F.col("words").alias("b"))
+    return pairs.join(a, "id").join(b, "other").filter(_one_edit(F.col("a"), F.col("b"))).select("id").distinct()
 
 
 def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
