@@ -6,9 +6,10 @@ i of the first with band j of the second. ``bands`` squared keys of 2 * ``rows``
 collections fails them altogether; with the defaults that happens to 4 in 10,000 pairs at exactly 0.8, and to fewer above.
 
 Documents with equal shingle sets are one node. Inside a bucket no pairs are written out: members are held against its
-smallest and largest node first. Buckets whose members have become one component need no more; the others are compared
-in blocks by their minhashes, and only pairs that may reach the similarity leave the task. A link counts only after
-the full shingle sets were compared.
+smallest and largest node first. Buckets whose members have become one component need no more. Members of the others
+are brought together once more by the bands of the first collection, compared in blocks by their minhashes, and only
+pairs of different components that may reach the similarity leave the task, each once. A link counts only after the
+full shingle sets were compared.
 """
 
 from __future__ import annotations
@@ -30,8 +31,8 @@ from riskloom.session import cut_lineage
 
 BANDS = 16
 ROWS = 4
-#: Members of a bucket that are compared at once.
-BLOCK = 512
+#: Members of a band that are compared with one another at once.
+BLOCK = 4096
 
 
 def group_sets(words: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -104,8 +105,8 @@ def run_bands(low: np.ndarray, bands: int, rows: int) -> np.ndarray:
 
 
 def least_matches(functions: int, similarity: float) -> int:
-    """Equal minhashes below which a pair is six standard deviations short of the similarity."""
-    return int(functions * similarity - 6 * (functions * similarity * (1 - similarity)) ** 0.5)
+    """Equal minhashes below which a pair is four standard deviations short of the similarity."""
+    return int(functions * similarity - 4 * (functions * similarity * (1 - similarity)) ** 0.5)
 
 
 def _alike(matches: int):
@@ -147,33 +148,49 @@ def _confirm(size: int, percent: int):
 
 
 def _blocks(matches: int, percent: int):
-    """Pairs of different components that may be near, from sorted rows (key, bi, bj, block, node, label, n, sketch)."""
-
-    def pairs(rows: pd.DataFrame) -> list[tuple[int, int]]:
-        first = rows["bi"].iat[0]
-        left = rows if rows["bj"].iat[0] == first else rows[rows["block"] == first]
-        right = rows if rows["bj"].iat[0] == first else rows[rows["block"] != first]
-        other = np.frombuffer(b"".join(right["sketch"]), np.uint8).reshape(len(right), -1)
-        nodes, labels, sizes = right["node"].to_numpy(), right["label"].to_numpy(), right["n"].to_numpy()
+    """Pairs of different components that may be near, each once.
+
+    Rows (band, bi, bj, block, at, node, label, n, sketch, a) are sorted by the first three; ``a`` are the bands of the
+    first collection and ``at`` is the place of ``band`` among them. A pair counts in the first band that both share.
+    """
+    columns = ["band", "bi", "bj", "block", "at", "node", "label", "n"]
+
+    def pairs(frame: pd.DataFrame) -> list[tuple[int, int]]:
+        band, bi, bj, block, at, node, label, n = (frame[c].to_numpy() for c in columns)
+        sketch = np.frombuffer(b"".join(frame["sketch"]), np.uint8).reshape(len(frame), -1)
+        bands = np.stack(frame["a"].to_numpy())
+        new = (band[1:] != band[:-1]) | (bi[1:] != bi[:-1]) | (bj[1:] != bj[:-1])
+        edges = np.concatenate([[0], np.flatnonzero(new) + 1, [len(frame)]])
         out = []
-        for node, label, n, sketch in zip(left["node"], left["label"], left["n"], left["sketch"]):
-            maybe = np.flatnonzero((labels != label) & (100 * np.minimum(sizes, n) >= percent * np.maximum(sizes, n)))
-            if len(maybe):
-                same = (other[maybe] == np.frombuffer(sketch, np.uint8)).sum(axis=1) >= matches
-                out.extend((min(node, int(o)), max(node, int(o))) for o in nodes[maybe[same]])
+        for a, b in zip(edges, edges[1:]):
+            if b - a < 2 or (label[a:b] == label[a]).all():
+                continue
+            within = bi[a] == bj[a]
+            for x in range(a, b):
+                if block[x] != bi[a]:
+                    continue
+                # inside one block a pair is met once, from its first row
+                others = np.arange(x + 1 if within else a, b)
+                fits = (label[others] != label[x]) & (100 * np.minimum(n[others], n[x]) >= percent * np.maximum(n[others], n[x]))
+                others = others[fits if within else fits & (block[others] != bi[a])]
+                others = others[(sketch[others] == sketch[x]).sum(axis=1) >= matches]
+                if len(others):
+                    others = others[(bands[others] == bands[x]).argmax(axis=1) == at[x]]
+                    out.extend((min(node[x], node[o]), max(node[x], node[o])) for o in others)
         return out
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held = None
         for frame in frames:
+            if not len(frame):
+                continue
             held = frame if held is None else pd.concat([held, frame], ignore_index=True)
-            ids = held[["key", "bi", "bj"]].to_numpy()
-            edges = np.flatnonzero((ids[1:] != ids[:-1]).any(axis=1)) + 1
-            if len(edges):
-                found = [p for a, b in zip(np.append(0, edges[:-1]), edges) for p in pairs(held.iloc[a:b])]
-                held = held.iloc[edges[-1] :]
-                yield pd.DataFrame(found, columns=["x", "y"]).astype("int64")
-        if held is not None and len(held):
+            last = held[["band", "bi", "bj"]].to_numpy()
+            whole = len(held) - int((last == last[-1]).all(axis=1)[::-1].cumprod().sum())
+            if whole:
+                yield pd.DataFrame(pairs(held.iloc[:whole]), columns=["x", "y"]).astype("int64")
+                held = held.iloc[whole:]
+        if held is not None:
             yield pd.DataFrame(pairs(held), columns=["x", "y"]).astype("int64")
 
     return run
@@ -276,16 +293,20 @@ def near_duplicates(
     search.confirm(cut_lineage(pairs.groupBy("y").agg(best.alias("x")).select("x", "y")))
     search.confirm(cut_lineage(search.apart(pairs)))
 
-    labelled = rest.join(search.labels, "node", "left").select("key", "members", "node", F.coalesce("label", "node").alias("label"))
+    labelled = rest.join(search.labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
     open_ = labelled.groupBy("key").agg(F.min("label").alias("_lo"), F.max("label").alias("_hi")).filter("_lo < _hi").select("key")
-    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
-    placed = labelled.join(open_, "key").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    apart = labelled.join(open_, "key").select("node", "label").distinct()
+    apart = stored(apart.join(nodes.select("node", "n", "sketch", "a"), "node"), "apart")
+    banded = apart.select("node", "label", F.posexplode("a").alias("at", "band"))
+    met = banded.groupBy("band").agg(F.count("*").alias("_n"), F.min("label").alias("_lo"), F.max("label").alias("_hi")).filter("_lo < _hi")
+    placed = banded.join(met.select("band", F.ceil(F.col("_n") / BLOCK).cast("int").alias("blocks")), "band")
+    placed = placed.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     dealt = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "key", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"), "block", "node", "label"
+        "band", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"), "block", "at", "node", "label"
     )
-    dealt = dealt.join(nodes.select("node", "n", "sketch"), "node").select("key", "bi", "bj", "block", "node", "label", "n", "sketch")
-    sorted_ = dealt.repartition("key", "bi", "bj").sortWithinPartitions("key", "bi", "bj")
-    left = sorted_.mapInPandas(_blocks(matches, percent), "x long, y long").distinct()
+    dealt = dealt.join(apart.drop("label"), "node").select("band", "bi", "bj", "block", "at", "node", "label", "n", "sketch", "a")
+    sorted_ = dealt.repartition("band", "bi", "bj").sortWithinPartitions("band", "bi", "bj")
+    left = sorted_.mapInPandas(_blocks(matches, percent), "x long, y long")
     search.confirm(cut_lineage(left.join(pairs.select("x", "y"), ["x", "y"], "left_anti")))
 
     labels = classes.join(search.labels, "node", "left").select("digest", F.coalesce("label", "node").alias("label"))
