@@ -26,7 +26,8 @@ from riskloom.llm.storage import stored
 from riskloom.llm.wordhash import leftmost_minimum, run_hashes, span_hashes, word_groups
 
 SEED = 8
-BUCKET_STRINGS = 500
+#: Different strings of a bucket that one task sorts at most (some 130 MB); beyond, the bucket is dealt out by window.
+BUCKET_STRINGS = 10_000
 
 
 def _super_kmers(width: int, seed: int):
