@@ -12,6 +12,7 @@ import html
 import re
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -37,6 +38,10 @@ FURNITURE_WORDS = frozenset(
     "modal nav navbar navigation newsletter notice notices pagination popup promo related replies reply share sharing sidebar social "
     "sponsor sponsored subscribe widget".split()
 )
+# Elements that no attribute makes furniture, that no class or id does, and that an id may.
+PAGE = frozenset("html body".split())
+WHOLE = PAGE | frozenset("main article".split())
+NAMED_BY_ID = frozenset("div section table ul ol dl details figure fieldset".split())
 CLOSES_OWN_KIND = frozenset("li dt dd option tr td th p".split())
 
 _TOKEN = re.compile(
@@ -46,9 +51,8 @@ _TOKEN = re.compile(
     r"|<[!?/][^>]*>",
     re.S | re.I,
 )
-_CLASS = re.compile(r"""\b(?:class|id)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
-_NAME = re.compile(r"""\bclass\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
-_HIDDEN = re.compile(r"""\bhidden\b|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
+_ATTRIBUTE = re.compile(r"""([^\s=/"'<>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+_UNDISPLAYED = re.compile(r"(?:^|;)\s*display\s*:\s*none", re.I)
 
 
 @dataclass(slots=True)
@@ -60,19 +64,39 @@ class Block:
     linked: int
 
 
+def _attributes(attributes: str) -> dict[str, str]:
+    """Values by name; of an attribute given twice the first counts."""
+    out: dict[str, str] = {}
+    for m in _ATTRIBUTE.finditer(attributes):
+        out.setdefault(m[1].lower(), m[2] or m[3] or m[4] or "")
+    return out
+
+
 def _step(tag: str, attributes: str) -> str:
-    name = _NAME.search(attributes) if attributes else None
-    classes = sorted({re.sub(r"\d+", "", c) for c in (name[1] or name[2] or name[3] or "").lower().split()} - {""}) if name else []
+    names = _attributes(attributes).get("class", "") if attributes else ""
+    classes = sorted({re.sub(r"\d+", "", c) for c in names.lower().split()} - {""})
     return ".".join([tag, *classes])
 
 
+def _names_furniture(token: str) -> bool:
+    """Whether a class or id says nothing but furniture: cookie-notice and ad-1, but not no-sidebar or entry-header."""
+    words = [w for w in re.split(r"[\W\d_]+", token.lower()) if w]
+    return bool(words) and FURNITURE_WORDS.issuperset(words)
+
+
+@lru_cache(maxsize=65536)
 def _furniture(tag: str, attributes: str, inside_article: bool) -> bool:
     if tag in FURNITURE and not (tag == "header" and inside_article):
         return True
-    if not attributes.strip():
+    if tag in PAGE or not attributes.strip():
+        return False
+    given = _attributes(attributes)
+    if "hidden" in given or given.get("aria-hidden", "").strip().lower() == "true" or _UNDISPLAYED.search(given.get("style", "")):
+        return True
+    if tag in WHOLE:
         return False
-    words = {w for m in _CLASS.finditer(attributes) for w in re.split(r"[^a-z]+", (m[1] or m[2] or m[3] or "").lower())}
-    return bool(words & FURNITURE_WORDS) or bool(_HIDDEN.search(attributes))
+    tokens = given.get("class", "").split() + (given.get("id", "").split() if tag in NAMED_BY_ID else [])
+    return any(_names_furniture(t) and not (inside_article and t.lower() == "header") for t in tokens)
 
 
 def blocks(page: str) -> list[Block]:
@@ -193,7 +217,8 @@ def extract_text(
 
     Blocks stand in page order, one to a line; white space inside a block is one blank; character references are
     decoded. Left out are menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and comments, by
-    element and by class. Null and empty pages give the empty string, as do pages of nothing but furniture. Pages
+    element and by class or id, if that is all the name says (``ad-1`` and ``cookie-notice``, not ``no-sidebar``). A class
+    or id makes no ``main`` or ``article`` furniture. Null and empty pages give the empty string, as do pages of nothing but furniture. Pages
     without a host (null or odd URLs) vote among themselves. A page that is cut off ends where it ends.
     """
     paths = host_paths(pages, url_col, html_col).select(F.col("host").alias("_host"), F.col("path").alias("_path"))

@@ -26,6 +26,35 @@ def test_blocks_leave_out_furniture():
     assert html_extract.text_under(found, "html>body>div.gone") == "Head & line\none two three\nfour <five> éé"
 
 
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<body class='no-sidebar comments-open'><p>%s",
+        "<body class='sidebar' aria-hidden='true'><main class='widget' id='comments'><p>%s",
+        "<article class='post has-comments'><p>%s",
+        "<article class='post comment'><p>%s",
+        "<div class='entry-header'><h1>%s</h1></div>",
+        "<article><div class='header'><h1>%s</h1></div></article>",
+        "<h2 id='related-work'>%s</h2>",
+        "<section><h2 id='comments'>%s</h2></section>",
+        "<main class='overflow-hidden' style='overflow-x:hidden'><p>%s",
+        "<div data-hidden='no' data-class='ad' title='hidden' style='x-display:none'><p>%s",
+    ],
+)
+def test_names_that_only_hold_a_furniture_word_cost_nothing(page):
+    found = html_extract.blocks("<div class='ad'>x</div>" + page % "the text")
+    assert [b.text for b in found] == ["the text"]
+    assert html_extract.text_under(found, None) == "the text"
+
+
+@pytest.mark.parametrize(
+    "attributes", ["class='x ad'", "class=ad-12", "id=comments", "class='cookie-notice'", "hidden", "HIDDEN=''", "aria-hidden='true'", "style='color:red; display : none'"]
+)
+def test_furniture_by_name_goes(attributes):
+    found = html_extract.blocks(f"<body><div {attributes}><p>gone<div>too</div></div><p>stays")
+    assert [b.text for b in found] == ["stays"]
+
+
 @pytest.mark.parametrize("page", ["", "<", "<p", "<!-- a", "<script>x", "</p></div>", "a < b & c", "<p>" * 500, "&am", "<div class=>x"])
 def test_odd_pages(page):
     html_extract.text_under(html_extract.blocks(page), None)
