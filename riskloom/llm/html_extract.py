@@ -1,9 +1,10 @@
 """Main text of web pages by a vote over each host's pages.
 
 Every page scores its containers: a paragraph or heading counts for the container it lies in and half for the one
-around that. A container is known by its path of tags and classes, with numbers left out. The path that wins most pages
-of a host is the host's; then every page is read again and gives the text under its host's path. A page without that
-path gives the text of its own best container.
+around that. The best one is widened to the containers around it that add prose or a headline. A container is known by
+its path of tags and classes, with numbers left out. The path that wins most pages of a host is the host's; then every
+page is read again and gives the text under its host's path, widened once more if the page's own best one lies there. A
+page without that path gives the text of its own best container.
 """
 
 from __future__ import annotations
@@ -31,6 +32,7 @@ BLOCKS = CONTAINERS | frozenset(
     "address aside dd details dialog dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html head li nav "
     "ol option p pre summary table tbody tfoot th thead tr ul".split()
 )
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 FURNITURE = frozenset("nav header footer aside form button select dialog menu noscript head object".split())
 FURNITURE_WORDS = frozenset(
@@ -62,6 +64,7 @@ class Block:
     text: str
     containers: tuple[str, ...]
     linked: int
+    heading: bool = False
 
 
 def _attributes(attributes: str) -> dict[str, str]:
@@ -111,7 +114,8 @@ def blocks(page: str) -> list[Block]:
         text = " ".join("".join(parts).split())
         parts.clear()
         if text and not (stack and stack[-1][2]):
-            out.append(Block(text, tuple(p for t, p, _ in stack if t in CONTAINERS), linked))
+            heading = any(t in HEADINGS for t, _, _ in stack)
+            out.append(Block(text, tuple(p for t, p, _ in stack if t in CONTAINERS), linked, heading))
         linked = 0
 
     def pop() -> None:
@@ -173,18 +177,57 @@ def best_container(found: list[Block]) -> tuple[str, float]:
     return max(scores.items(), key=lambda s: (s[1], s[0])) if scores else ("", 0.0)
 
 
+def _prose(block: Block) -> bool:
+    """Whether the block is running text: ten words, a sentence of five, or thirty characters of a script without blanks."""
+    words = block.text.split()
+    unspaced = sum(c >= "\u0e00" and c.isalpha() for c in block.text)
+    return len(words) >= 10 or (len(words) >= 5 and block.text.rstrip("\"'\u201d\u00bb)").endswith((".", "!", "?", "\u2026"))) or unspaced >= 30
+
+
+def _belongs(others: list[Block], whole: bool) -> bool:
+    """Whether ``others`` are text of the page's matter: mostly not links, and prose or headings unless in an article or main."""
+    own = [b for b in others if 2 * b.linked <= len(b.text)]
+    size = sum(len(b.text) for b in others)
+    if 2 * sum(len(b.text) for b in own) < size:
+        return False
+    if whole:
+        return True
+    rest = size - sum(len(b.text) for b in own if b.heading)
+    return 2 * sum(len(b.text) for b in own if not b.heading and _prose(b)) >= rest
+
+
+def widened(found: list[Block], path: str) -> str:
+    """The outermost container around ``path`` to which the page's matter reaches; the same path if it holds all of that."""
+    around = next((b.containers for b in found if path in b.containers), ())
+    for outer in reversed(around[: around.index(path)] if around else ()):
+        others = [b for b in found if outer in b.containers and path not in b.containers]
+        if others and _belongs(others, outer.rpartition(">")[2].partition(".")[0] in ("article", "main")):
+            path = outer
+    return path
+
+
+def main_container(found: list[Block]) -> tuple[str, float]:
+    """The path of the page's best container, widened, and the score of that container."""
+    path, score = best_container(found)
+    return widened(found, path), score
+
+
 def text_under(found: list[Block], path: str | None) -> str:
-    """The blocks under ``path``, or under the page's own best container if it has none there, one to a line."""
-    inside = [b.text for b in found if path in b.containers] if path else []
-    if not inside:
-        own = best_container(found)[0]
-        inside = [b.text for b in found if not own or own in b.containers]
-    return "\n".join(inside)
+    """The blocks under ``path``, or under the page's own container if it has none there, one to a line.
+
+    If the page's best container lies under ``path``, that is widened on this page too.
+    """
+    own = best_container(found)[0]
+    if not path or not any(path in b.containers for b in found):
+        path = own
+    if any(path in b.containers and own in b.containers for b in found):
+        path = widened(found, path)
+    return "\n".join(b.text for b in found if not path or path in b.containers)
 
 
 def _votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        best = [best_container(blocks(page)) if page else ("", 0.0) for page in batch.column(1).to_pylist()]
+        best = [main_container(blocks(page)) if page else ("", 0.0) for page in batch.column(1).to_pylist()]
         yield pa.record_batch(
             [batch.column(0), pa.array([b[0] for b in best], pa.string()), pa.array([b[1] for b in best], pa.float64())], names=["host", "path", "score"]
         )

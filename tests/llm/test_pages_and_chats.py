@@ -60,6 +60,37 @@ def test_odd_pages(page):
     html_extract.text_under(html_extract.blocks(page), None)
 
 
+LEAD = "A short lead says what happened on that day."
+STORY = "The story itself goes on for very many words and has the weight of the page. " * 4
+ABOVE = [
+    ("<article><h1>Headline</h1><p>%s</p><div class=content><p>%s</p></div></article>", ["Headline", LEAD, STORY]),
+    ("<article><header><h1>Headline</h1></header><p>%s</p><div><div class=c><p>%s</p></div></div></article>", ["Headline", LEAD, STORY]),
+    ("<main><section class=intro><p>%s</p></section><section class=body><p>%s</p></section></main>", [LEAD, STORY]),
+    ("<div class=page><section class=intro><p>%s</p></section><section class=body><h2>Two</h2><p>%s</p></section></div>", [LEAD, "Two", STORY]),
+    ("<h1>Headline</h1><div class=lead>%s</div><div class=body><p>%s</p></div><div>Imprint</div>", ["Headline", LEAD, STORY, "Imprint"]),
+    ("<div class=top><a href='/'>Home of all the news there is, and more of it, and more.</a></div><div><p>%s</p><div class=body><p>%s</p></div></div>", [LEAD, STORY]),
+]
+
+
+@pytest.mark.parametrize("page, want", ABOVE)
+def test_headline_lead_and_sections_come_along(page, want):
+    found = html_extract.blocks("<html><body><nav>menu</nav>" + page % (LEAD, STORY) + "<footer>foot</footer></body></html>")
+    path = html_extract.best_container(found)[0]
+    text = "\n".join(w.strip() for w in want)
+    assert html_extract.text_under(found, path) == html_extract.text_under(found, None) == text
+
+
+def test_the_vote_is_on_the_wider_container(spark):
+    page, want = ABOVE[0]
+    plain = "<html><body><div class=box><p>%s</p></div>%s</body></html>"
+    bodies = [plain % ("x " * 3, page % (LEAD, STORY)) for _ in range(3)] + [plain % (STORY * 3, page % (LEAD, LEAD))]
+    rows = spark.createDataFrame([(i, "http://a.org/x", b) for i, b in enumerate(bodies)], "page_id long, url string, html string")
+    got = html_extract.host_paths(rows).collect()
+    assert [(r.path, r.votes) for r in got] == [("html>body>article", 3)]
+    texts = {r.page_id: r.text for r in html_extract.extract_text(rows).collect()}
+    assert texts[0] == texts[2] == "\n".join(w.strip() for w in want)
+
+
 def test_hosts_vote(spark):
     body = "<html><body><div class='story'><p>%s</div><div class='extra'><p>%s</div></body></html>"
     long, short = "many words of a story " * 5, "few words"
