@@ -3,8 +3,9 @@
 Equal vectors are one node. The graph starts from two rounds of random blocks, in each of which every node meets all
 others of its block. Then neighbours of neighbours are joined: a node's list and a bounded draw of those that list it
 are brought together with their vectors, every pair of them of which one is fresh is compared, and the best are offered
-to both ends. This goes on until few lists change. Vectors get one more component that makes their lengths equal, so
-that the nearest by angle are the nearest by inner product.
+to both ends. This goes on until few lists change. Every node has two lists: its nearest by angle, which connect nodes of
+all lengths, and its best by plain inner product, which lead to long vectors. Nodes of like direction have like best
+ones, so the same joins find both.
 
 A search starts at given nodes and keeps the best ``beam`` nodes met. Each step expands the nearest ones not expanded
 yet, all queries at once: links are joined by node, new nodes are scored where the vectors lie (dealt in blocks of
@@ -27,6 +28,7 @@ from riskloom.llm.storage import stored
 from riskloom.llm.wordhash import mix
 
 LINKS = 40
+PLAIN = 20
 REVERSE = 40
 OFFERS = 10
 BLOCK = 1024
@@ -63,41 +65,52 @@ def _whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield held
 
 
-def _lists(size: int):
-    """The best ``size`` of each node's candidates: rows (node, links, scores, fresh) of sorted rows (v, w, score, fresh)."""
+def _lists(size: int, plain_size: int):
+    """Each node's best by angle and by inner product: two sets of lists, of sorted rows (v, w, score, fresh, plain)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _whole_groups(batches):
-            v, w, s, fresh = (table.column(i).to_numpy() for i in range(4))
-            order = np.lexsort((fresh, w, v))  # of equal pairs the known one comes first
-            v, w, s, fresh = v[order], w[order], s[order], fresh[order]
-            new = np.ones(len(v), bool)
-            new[1:] = (v[1:] != v[:-1]) | (w[1:] != w[:-1])
-            v, w, s, fresh = v[new], w[new], s[new], fresh[new]
-            order = np.lexsort((w, -s, v))
-            v, w, s, fresh = v[order], w[order], s[order], fresh[order]
-            best = np.arange(len(v)) - np.searchsorted(v, v) < size
-            v, w, s, fresh = v[best], w[best], s[best], fresh[best]
-            nodes, at = np.unique(v, return_index=True)
-            offsets = pa.array(np.append(at, len(v)).astype(np.int32))
-            lists = [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (w, s.astype(np.float32), fresh)]
-            yield pa.record_batch([pa.array(nodes), *lists], names=["node", "links", "scores", "fresh"])
+            *columns, plain = (table.column(i).to_numpy() for i in range(5))
+            nodes, lists = np.unique(columns[0]), []
+            for of_kind, most in ((~plain, size), (plain, plain_size)):
+                v, w, s, fresh = (c[of_kind] for c in columns)
+                order = np.lexsort((fresh, w, v))  # of equal pairs the known one comes first
+                v, w, s, fresh = v[order], w[order], s[order], fresh[order]
+                new = np.ones(len(v), bool)
+                new[1:] = (v[1:] != v[:-1]) | (w[1:] != w[:-1])
+                v, w, s, fresh = v[new], w[new], s[new], fresh[new]
+                order = np.lexsort((w, -s, v))
+                v, w, s, fresh = v[order], w[order], s[order], fresh[order]
+                best = np.arange(len(v)) - np.searchsorted(v, v) < most
+                v, w, s, fresh = v[best], w[best], s[best], fresh[best]
+                offsets = pa.array(np.append(np.searchsorted(v, nodes), len(v)).astype(np.int32))
+                lists += [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (w, s, fresh)]
+            yield pa.record_batch([pa.array(nodes), *lists], names=["node", "links", "scores", "fresh", "plain", "plain_scores", "plain_fresh"])
 
     return run
 
 
-def _vectors(column: pa.ChunkedArray) -> np.ndarray:
-    rows = column.to_pylist()
-    return np.frombuffer(b"".join(rows), np.float16).reshape(len(rows), -1).astype(np.float32)
+def _vectors(rows: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Directions and lengths."""
+    raw = np.frombuffer(b"".join(rows), np.uint8).reshape(len(rows), -1)
+    return raw[:, 8:].copy().view(np.float32), raw[:, :8].copy().view(np.float64)[:, 0]
+
+
+def _best(scores: np.ndarray, take: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, column and score of the ``take`` highest of each row, without those of minus infinity."""
+    top = np.argpartition(-scores, take - 1, axis=1)[:, :take]
+    best = np.take_along_axis(scores, top, 1)
+    row, at = np.nonzero(best > -np.inf)
+    return row, top[row, at], best[row, at]
 
 
 def _offers(size: int):
-    """Pairs worth offering: rows (v, w, score) of rows (u, v, fresh, low, code) sorted by u."""
+    """Pairs worth offering: rows (v, w, score, plain) of rows (u, v, fresh, low, plain_low, code) sorted by u."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _whole_groups(batches):
-            u, v, fresh, low = (table.column(i).to_numpy() for i in range(4))
-            x = _vectors(table.column(4))
+            u, v, fresh, *lows = (table.column(i).to_numpy() for i in range(5))
+            x, length = _vectors(table.column(5).to_pylist())
             found = []
             for a, b in zip(edges := np.append(np.flatnonzero(np.append(True, u[1:] != u[:-1])), len(u)), edges[1:]):
                 ids, first = np.unique(v[a:b], return_index=True)
@@ -105,91 +118,103 @@ def _offers(size: int):
                     continue
                 own, new = x[a:b][first], np.zeros(len(ids), bool)
                 np.logical_or.at(new, np.searchsorted(ids, v[a:b]), fresh[a:b])
-                scores = own @ own.T
-                np.fill_diagonal(scores, -np.inf)
-                scores[np.ix_(~new, ~new)] = -np.inf
-                scores[scores <= low[a:b][first][:, None]] = -np.inf
-                take = min(size, len(ids) - 1)
-                top = np.argpartition(-scores, take - 1, axis=1)[:, :take]
-                best = np.take_along_axis(scores, top, 1)
-                row, column = np.nonzero(best > -np.inf)
-                found.append((ids[row], ids[top[row, column]], best[row, column]))
+                cosines = (own @ own.T).astype(np.float64)
+                for plain, low in enumerate(lows):
+                    scores = cosines * length[a:b][first] if plain else cosines.copy()
+                    np.fill_diagonal(scores, -np.inf)
+                    scores[np.ix_(~new, ~new)] = -np.inf
+                    scores[scores <= low[a:b][first][:, None]] = -np.inf
+                    row, column, best = _best(scores, min(size, len(ids) - 1))
+                    found.append((ids[row], ids[column], best, np.full(len(row), bool(plain))))
             if found:
-                yield pa.record_batch([pa.array(np.concatenate(c)) for c in zip(*found)], names=["v", "w", "score"])
+                yield pa.record_batch([pa.array(np.concatenate(c)) for c in zip(*found)], names=["v", "w", "score", "plain"])
 
     return run
 
 
-def _block(size: int):
-    """Each node's best of its block."""
+def _block(size: int, plain_size: int):
+    """Each node's best of its block, by angle and by inner product."""
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         ids = frame["node"].to_numpy()
-        if len(ids) < 2:
-            return pd.DataFrame({"v": pd.Series([], dtype="int64"), "w": pd.Series([], dtype="int64"), "score": pd.Series([], dtype="float32")})
-        x = np.frombuffer(b"".join(frame["code"]), np.float16).reshape(len(ids), -1).astype(np.float32)
-        scores = x @ x.T
-        np.fill_diagonal(scores, -np.inf)
-        take = min(size, len(ids) - 1)
-        top = np.argpartition(-scores, take - 1, axis=1)[:, :take]
-        return pd.DataFrame({"v": np.repeat(ids, take), "w": ids[top].ravel(), "score": np.take_along_axis(scores, top, 1).ravel()})
+        x, length = _vectors(frame["code"].tolist())
+        cosines = (x @ x.T).astype(np.float64)
+        parts = []
+        for plain, most in enumerate((size, plain_size)):
+            scores = cosines * length if plain else cosines.copy()
+            np.fill_diagonal(scores, -np.inf)
+            row, column, best = _best(scores, min(most, max(1, len(ids) - 1)))
+            parts.append(pd.DataFrame({"v": ids[row], "w": ids[column], "score": best, "plain": bool(plain)}))
+        return pd.concat(parts)
 
     return run
 
 
-def _codes(longest: float):
-    """Half-precision vectors of length one, with the component that fills them up."""
+def _codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Lengths in double, then directions in single precision."""
+    for batch in batches:
+        if batch.num_rows:
+            x = np.array(batch.column(1).to_pylist())
+            largest = np.abs(x).max(axis=1, keepdims=True)
+            scaled = np.linalg.norm(x / largest, axis=1, keepdims=True)
+            rows = zip((largest * scaled).astype(np.float64), (x / largest / scaled).astype(np.float32))
+            yield pa.record_batch([batch.column(0), pa.array([n.tobytes() + r.tobytes() for n, r in rows], pa.binary())], names=["node", "code"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                x = np.array(batch.column(1).to_pylist()) / longest
-                x = np.column_stack([x, np.sqrt(np.maximum(0, 1 - (x**2).sum(axis=1)))]).astype(np.float16)
-                yield pa.record_batch([batch.column(0), pa.array([r.tobytes() for r in x], pa.binary())], names=["node", "code"])
 
-    return run
+def _merged(candidates: DataFrame, codes: DataFrame, links: int, plain: int, name: str) -> DataFrame:
+    """Stored lists of rows (v, w, score, fresh, plain), with the codes of their nodes."""
+    rows = candidates.select("v", "w", "score", "fresh", "plain").repartition("v").sortWithinPartitions("v")
+    schema = "node long, links array<long>, scores array<double>, fresh array<boolean>, plain array<long>, plain_scores array<double>, plain_fresh array<boolean>"
+    return stored(rows.mapInArrow(_lists(links, plain), schema).join(codes, "node"), name)
+
+
+def _edges(graph: DataFrame) -> DataFrame:
+    """``v``, ``w``, ``score``, ``fresh``, ``plain``: the entries of both lists of every node."""
 
+    def of(plain: bool) -> DataFrame:
+        names = [F.col(f"plain_{n}" if plain else n).alias(n) for n in ("scores", "fresh")]
+        lists = graph.select("node", F.col("plain" if plain else "links").alias("w"), *names)
+        rows = lists.select(F.col("node").alias("v"), F.explode(F.arrays_zip("w", "scores", "fresh")).alias("e"))
+        return rows.select("v", "e.w", F.col("e.scores").alias("score"), "e.fresh", F.lit(plain).alias("plain"))
 
-def _merged(candidates: DataFrame, codes: DataFrame, links: int, name: str) -> DataFrame:
-    """Stored lists of rows (v, w, score, fresh), with the codes of their nodes."""
-    rows = candidates.select("v", "w", F.col("score").cast("float").alias("score"), "fresh").repartition("v").sortWithinPartitions("v")
-    lists = rows.mapInArrow(_lists(links), "node long, links array<long>, scores array<float>, fresh array<boolean>")
-    return stored(lists.join(codes, "node"), name)
+    return of(False).unionByName(of(True))
 
 
 def build_graph(
-    nodes: DataFrame, links: int = LINKS, reverse: int = REVERSE, offers: int = OFFERS, block: int = BLOCK, quiet: float = 0.05, rounds: int = 12
+    nodes: DataFrame, links: int = LINKS, reverse: int = REVERSE, offers: int = OFFERS, block: int = BLOCK, quiet: float = 0.05, rounds: int = 12, plain: int = PLAIN
 ) -> DataFrame:
-    """``node``, ``links`` (its best neighbours and at most ``reverse`` of the nodes that list it) of ``nodes`` (node, vec).
+    """``node``, ``links`` of ``nodes`` (node, vec): the nearest by angle, at most ``reverse`` of the nodes that list it, and the ``plain`` best by inner product.
 
     Rounds end when less than ``quiet`` of all list entries are new, or after ``rounds``.
     """
-    facts = nodes.agg(F.count("*").alias("n"), F.max(F.sqrt(F.aggregate("vec", F.lit(0.0), lambda a, x: a + x * x))).alias("longest")).first()
-    codes = stored(nodes.mapInArrow(_codes(facts["longest"] or 1.0), "node long, code binary"), "codes")
-    blocks = max(1, -(-facts["n"] // block))
+    codes = stored(nodes.mapInArrow(_codes, "node long, code binary"), "codes")
+    blocks = max(1, -(-codes.count() // block))
     starts = [
-        codes.withColumn("block", F.pmod(F.xxhash64("node", F.lit(r)), F.lit(blocks))).groupBy("block").applyInPandas(_block(links // 2), "v long, w long, score float")
+        codes.withColumn("block", F.pmod(F.xxhash64("node", F.lit(r)), F.lit(blocks)))
+        .groupBy("block").applyInPandas(_block(links // 2, plain), "v long, w long, score double, plain boolean")
         for r in (1, 2)
-    ]
-    graph = _merged(starts[0].unionByName(starts[1]).withColumn("fresh", F.lit(True)), codes, links, "graph")
+    ]
+    graph = _merged(starts[0].unionByName(starts[1]).withColumn("fresh", F.lit(True)), codes, links, plain, "graph")
     listed = W.partitionBy("u").orderBy(F.desc("fresh"), F.xxhash64("u", "v"))
     for round_ in range(rounds):
-        forward = graph.select(F.col("node").alias("u"), F.explode(F.arrays_zip("links", "fresh")).alias("e")).select("u", F.col("e.links").alias("v"), "e.fresh")
-        backward = forward.select(F.col("v").alias("u"), F.col("u").alias("v"), "fresh").withColumn("_r", F.row_number().over(listed))
+        known = _edges(graph)
+        forward = known.select(F.col("v").alias("u"), F.col("w").alias("v"), "fresh")
+        backward = known.filter("not plain").select(F.col("w").alias("u"), "v", "fresh").withColumn("_r", F.row_number().over(listed))
         met = forward.unionByName(backward.filter(F.col("_r") <= reverse).drop("_r"))
-        low = F.when(F.size("links") >= links, F.element_at("scores", -1)).otherwise(F.lit(float("-inf"))).cast("float")
-        ends = graph.select(F.col("node").alias("v"), low.alias("low"), "code")
-        brought = met.join(ends, "v").select("u", "v", "fresh", "low", "code").repartition("u").sortWithinPartitions("u")
-        offered = brought.mapInArrow(_offers(offers), "v long, w long, score float").withColumn("fresh", F.lit(True))
-        known = graph.select(F.col("node").alias("v"), F.explode(F.arrays_zip("links", "scores")).alias("e"))
-        known = known.select("v", F.col("e.links").alias("w"), F.col("e.scores").alias("score"), F.lit(False).alias("fresh"))
-        graph = _merged(known.unionByName(offered), codes, links, f"graph-{round_}")
-        changed = graph.agg(F.avg(F.size(F.filter("fresh", lambda f: f)) / F.size("links"))).first()[0]
-        if changed is None or changed < quiet:
+        lows = [
+            F.when(F.size(at) >= most, F.element_at(scores, -1)).otherwise(F.lit(float("-inf"))).alias(low)
+            for at, scores, most, low in (("links", "scores", links, "low"), ("plain", "plain_scores", plain, "plain_low"))
+        ]
+        ends = graph.select(F.col("node").alias("v"), *lows, "code")
+        brought = met.join(ends, "v").select("u", "v", "fresh", "low", "plain_low", "code").repartition("u").sortWithinPartitions("u")
+        offered = brought.mapInArrow(_offers(offers), "v long, w long, score double, plain boolean").withColumn("fresh", F.lit(True))
+        graph = _merged(known.withColumn("fresh", F.lit(False)).unionByName(offered), codes, links, plain, f"graph-{round_}")
+        changed = [graph.agg(F.avg(F.size(F.filter(fresh, lambda f: f)) / F.size(fresh))).first()[0] for fresh in ("fresh", "plain_fresh")]
+        if all(c is None or c < quiet for c in changed):
             break
-    forward = graph.select(F.col("node").alias("u"), F.explode("links").alias("v"))
-    backward = forward.select(F.col("v").alias("u"), F.col("u").alias("v")).withColumn("_r", F.row_number().over(W.partitionBy("u").orderBy(F.xxhash64("u", "v"))))
-    both = forward.unionByName(backward.filter(F.col("_r") <= reverse).drop("_r"))
+    forward = _edges(graph).select(F.col("v").alias("u"), F.col("w").alias("v"), "plain")
+    backward = forward.filter("not plain").select(F.col("v").alias("u"), F.col("u").alias("v")).withColumn("_r", F.row_number().over(W.partitionBy("u").orderBy(F.xxhash64("u", "v"))))
+    both = forward.drop("plain").unionByName(backward.filter(F.col("_r") <= reverse).drop("_r"))
     return stored(both.groupBy(F.col("u").alias("node")).agg(F.collect_set("v").alias("links")), "links")
 
 

@@ -6,9 +6,10 @@ import math
 import random
 
 import numpy as np
+import pandas as pd
 
 from riskloom.llm import queries
-from riskloom.llm.neighbours import nearest
+from riskloom.llm.neighbours import BLOCK, nearest
 
 
 def brute(rows, k, every=20):
@@ -44,6 +45,26 @@ def test_recall(spark):
     assert all(math.isclose(s, exact[q][i], rel_tol=1e-12, abs_tol=1e-15) for q, v in got.items() for i, s in v)
 
 
+def test_recall_of_uneven_lengths(spark):
+    """Clusters of vectors of lognormal length and one that is 10,000 times as long, in ten times as many rows as a block holds."""
+    rng = np.random.default_rng(5)
+    n, d = 10 * BLOCK, 32
+    x = rng.normal(size=(n // 100, d))[rng.integers(0, n // 100, n)] + 0.6 * rng.normal(size=(n, d))
+    x *= (rng.lognormal(0, 0.5, n) / np.linalg.norm(x, axis=1))[:, None]
+    x[7] *= 10_000
+    table = spark.createDataFrame(pd.DataFrame({"vec_id": np.arange(n), "embedding": x.tolist()}))
+    got = lists(nearest(table, "id % 40 = 0"))
+    hits = []
+    for begin in range(0, n, 4096):
+        for q in range(-(-begin // 40) * 40, min(begin + 4096, n), 40):
+            scores = x @ x[q]
+            scores[q] = -np.inf
+            want = set(np.argpartition(-scores, 20)[:20].tolist())
+            hits.append(len({i for i, _ in got[q]} & want) / 20)
+    print("recall", np.mean(hits), "lowest", min(hits))
+    assert len(hits) == len(got) and np.mean(hits) >= 0.97 and min(hits) >= 0.5
+
+
 def test_ties_copies_and_odd_vectors(spark):
     rng = random.Random(4)
     good = [(i, [round(rng.gauss(0, 1), 1) for _ in range(4)]) for i in range(60)]
