@@ -29,11 +29,11 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Takes out lines that repeat or nearly repeat an earlier line.
+    """Takes out lines of any length that repeat an earlier line, and those that nearly repeat one.
 
     ``n_chars`` follows the text. A document that loses all its words is dropped; one that had none stays.
     """
-    out = dedup_lines(docs)
+    out = dedup_lines(docs, every_line=True)
     emptied = (F.col("n_removed") > 0) & ~F.col("text").rlike(r"[^\x20\x09-\x0D]")
     changed = F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))
     return out.filter(~F.coalesce(emptied, F.lit(False))).withColumn("n_chars", changed).select(*docs.columns)

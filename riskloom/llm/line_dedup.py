@@ -22,18 +22,32 @@ from riskloom.llm.storage import stored
 
 MIN_WORDS = 8
 EDGE = 4
+# All but letters of scripts that are written without blanks.
+UNSPACED = r"[^\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}]"
 
 
-def _lines(docs: DataFrame, min_words: int) -> DataFrame:
-    """``doc``, ``tkey``, ``line_no``, ``words`` of every line long enough to judge."""
+def _units(line: Column, min_words: int, every_line: bool) -> Column:
+    """The words of a line; with ``every_line``, the characters of one with too few words but long in a script without blanks."""
+    words = words_between(line, SPACES)
+    if not every_line:
+        return words
+    unspaced = F.length(F.regexp_replace(line, UNSPACED, "")) >= 2 * min_words
+    characters = F.regexp_extract_all(F.regexp_replace(line, SPACES, ""), F.lit("(?s)."), F.lit(0))
+    return F.when((F.size(words) < min_words) & unspaced, characters).otherwise(words)
+
+
+def _lines(docs: DataFrame, min_words: int, every_line: bool) -> DataFrame:
+    """``doc``, ``tkey``, ``line_no``, ``whole``, ``words`` of every line to judge; ``whole`` has its words between single blanks."""
     lines = docs.select("doc", "tkey", F.posexplode(F.split("_t", "\n")).alias("line_no", "_line"))
-    words = compute_once(lines, ["doc", "tkey", "line_no"], words_between(F.col("_line"), SPACES), "words")
-    return words.filter(F.size("words") >= min_words)
+    whole = F.array_join(words_between(F.col("_line"), SPACES), " ").alias("whole")
+    both = F.struct(whole, _units(F.col("_line"), min_words, every_line).alias("words"))
+    units = compute_once(lines, ["doc", "tkey", "line_no"], both, "u").select("doc", "tkey", "line_no", "u.whole", "u.words")
+    return units.filter(F.size("words") >= (1 if every_line else min_words))
 
 
 def _shared(lines: DataFrame, key: str) -> DataFrame:
     """Values of ``key`` that several different lines have."""
-    return lines.groupBy(key).agg(F.count("*").alias("_n")).filter("_n > 1").select(key, F.lit(True).alias(f"{key}_shared"))
+    return lines.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("_n")).filter("_n > 1").select(key, F.lit(True).alias(f"{key}_shared"))
 
 
 def _one_edit(a: Column, b: Column) -> Column:
@@ -100,22 +114,26 @@ def _near(candidates: DataFrame, min_words: int) -> DataFrame:
     return pairs.join(a, "id").join(b, "other").filter(_one_edit(F.col("a"), F.col("b"))).select("id").distinct()
 
 
-def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
+def repeated_lines(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, every_line: bool = False
+) -> DataFrame:
     """``doc``, ``tkey`` and ``line_nos`` (from 0) of the lines that an equal or near line precedes.
 
     Lines are ordered by document id, then line number, and judged on the input: a removed line still removes later
-    ones. Documents without an id, and lines of fewer than ``min_words`` words, take no part.
+    ones. Documents without an id take no part, nor do lines of fewer than ``min_words`` words; with ``every_line`` only
+    blank lines take none, and of lines with fewer words those with at least twice as many letters of scripts without
+    blanks are near by characters, the rest only removed if equal.
     """
     if min_words < 2 * EDGE:
         raise ValueError(f"lines of fewer than {2 * EDGE} words can't be compared by their edges")
     texts = docs.select(F.col(id_col).alias("doc"), text_key(F.col(text_col)).alias("tkey"), F.col(text_col).alias("_t")).filter("doc is not null and _t is not null")
-    words = F.col("words")
+    words, near = F.col("words"), F.size("words") >= min_words
     seen = stored(
-        _lines(texts, min_words).select(
+        _lines(texts, min_words, every_line).select(
             "doc", "tkey", "line_no",
-            wide_hash(F.concat_ws(" ", words)).alias("id"),
-            F.xxhash64(F.slice(words, 1, EDGE)).alias("head"),
-            F.xxhash64(F.slice(words, -EDGE, EDGE)).alias("tail"),
+            wide_hash(F.col("whole")).alias("id"),
+            F.when(near, F.xxhash64(F.slice(words, 1, EDGE))).alias("head"),
+            F.when(near, F.xxhash64(F.slice(words, -EDGE, EDGE))).alias("tail"),
         ),
         "lines",
     )
@@ -136,7 +154,7 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     candidates = (
         texts.join(wanted, ["doc", "tkey"])
         .select(F.split("_t", "\n").alias("_lines"), F.explode("wanted").alias("w"))
-        .select("w.*", words_between(F.get("_lines", F.col("w.line_no")), SPACES).alias("words"))
+        .select("w.*", _units(F.get("_lines", F.col("w.line_no")), min_words, every_line).alias("words"))
         .select("id", "rank", "words", "head_shared", "tail_shared")
     )
     candidates = stored(candidates, "candidates")
@@ -146,16 +164,19 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return seen.join(judged, "id").filter(later).groupBy("doc", "tkey").agg(F.collect_set("line_no").alias("line_nos"))
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
+def dedup_lines(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_words: int = MIN_WORDS, every_line: bool = False
+) -> DataFrame:
     """The documents, all columns kept, their text without repeated lines; ``n_lines`` and ``n_removed`` are added.
 
     A line goes if an equal line, or one that a single word edit turns into it, precedes it (smaller id, or same
     document and smaller line number). Words are separated by white space and compared as they are. Lines of fewer than
-    ``min_words`` words stay. Null texts stay null with no lines; the empty text is one empty line. Rows repeated with
+    ``min_words`` words stay, unless ``every_line``: then equal lines of any length but blank ones go, and long lines
+    without blanks are compared by characters. Null texts stay null with no lines; the empty text is one empty line. Rows repeated with
     id and text remain and are judged alike; documents without an id neither lose lines nor cost others theirs.
     Added columns replace columns of the same names.
     """
-    gone = repeated_lines(docs, id_col, text_col, min_words).withColumnsRenamed({"doc": "_doc", "tkey": "_tkey", "line_nos": "_gone"})
+    gone = repeated_lines(docs, id_col, text_col, min_words, every_line).withColumnsRenamed({"doc": "_doc", "tkey": "_tkey", "line_nos": "_gone"})
     rows = docs.withColumn("_key", text_key(F.col(text_col)))
     joined = rows.join(gone.hint("shuffle_hash"), (F.col(id_col) == F.col("_doc")) & (F.col("_key") == F.col("_tkey")), "left")
     lines = F.split(text_col, "\n")

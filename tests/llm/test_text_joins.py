@@ -107,6 +107,24 @@ def test_line_dedup(spark, seed):
     assert {r.key for r in got} == {"k"}
 
 
+def test_every_line_is_deduplicated(spark):
+    import corpus_pipeline
+
+    han = "".join(chr(0x4E00 + 7 * i) for i in range(20))
+    thai = "".join(chr(0x0E01 + i) for i in range(24))
+    rare = "\U00020000\U00020001" * 9
+    docs = [
+        (1, f"}}\n\nshort line\n{han}\n{thai}\n{rare}\n短い"),
+        (2, f"}}\n\nshort  line\nother line\n{han[:5]}新{han[6:]}\n{thai[:-1]}\n短い\n短く"),
+        (3, f"}}\nshort lines\n{han[:9]}加{han[9:]}\n{han[::-1]}\nnew {thai[:12]}\n{rare[:4]}\U00020005{rare[5:]}\n{rare[:3]}\U00020005\U00020006{rare[5:]}"),
+    ]
+    table = spark.createDataFrame([(d, t, "x", 0) for d, t in docs], "doc_id long, text string, source string, n_chars long")
+    want = {1: docs[0][1], 2: "\nother line\n短く", 3: f"short lines\n{han[::-1]}\nnew {thai[:12]}\n{rare[:3]}\U00020005\U00020006{rare[5:]}"}
+    assert {r.doc_id: r.text for r in dedup_lines(table, every_line=True).collect()} == want
+    got = corpus_pipeline.lines(spark, table, "")
+    assert {r.doc_id: (r.text, r.n_chars) for r in got.collect()} == {d: (t, 0 if d == 1 else len(t)) for d, t in want.items()}
+
+
 def test_line_dedup_of_repeated_rows_and_rows_without_id(spark):
     line = "one two three four five six seven eight"
     got = dedup_lines(frame(spark, [(1, line), (1, line), (None, line), (2, line)])).collect()
