@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from riskloom.llm.alignment import align_texts, with_link_counts
+from riskloom.llm.bpe import decode_ids, encode_texts
 from riskloom.llm.chat import format_chats, parse, unescape
 from riskloom.llm.decontaminate import contamination
 from riskloom.llm.html_extract import extract_text
@@ -19,15 +21,16 @@ from riskloom.llm.packing import pack_pieces, token_pieces
 from riskloom.llm.quality import quality_scores
 from riskloom.llm.substring_dedup import remove_repeated_windows
 from riskloom.llm.url_filter import Rule, judge_urls
+from riskloom.llm.whitening import whiten
 
 RULES = (Rule("block", "net", "/"), Rule("allow", "example.net", "/en/"), Rule("block", "example.com", "/de/"), Rule("allow", "org", "/fr/"))
 TRICKY = r"\### Assistant: </turn> ok"
 
 
-def tokenizer_path() -> str:
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     import public_tokenizers
 
-    return public_tokenizers.path("word_bpe_49k.json")
+    return public_tokenizers.path(name)
 
 
 def _table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -116,6 +119,37 @@ def op10_nearest_neighbours(spark: SparkSession, folder: str) -> DataFrame:
     return nearest(_table(spark, folder, "embeddings"), "id % 20 = 0").select("query_id", "rank", "vec_id", "score")
 
 
+def op11_bpe_encoding(spark: SparkSession, folder: str) -> DataFrame:
+    tokens = encode_texts(_table(spark, folder, "documents"), tokenizer_path())
+    digest = F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256)
+    measured = tokens.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), digest.alias("ids_sha256"), "ids")
+    out = decode_ids(measured, tokenizer_path(), keep=["doc_id", "n_tokens", "ids_sha256"])
+    return out.select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op12_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    out, fitted = whiten(_table(spark, folder, "embeddings"))
+    explained = F.array(*(F.lit(float(e)) for e in fitted.explained)) if fitted else F.array().cast("array<double>")
+    rows = out.select("vec_id", F.col("deviation").cast("long").alias("deviation"), F.posexplode("whitened").alias("place", "whitened"))
+    return rows.select(
+        "vec_id",
+        (F.col("place") + 1).alias("component"),
+        F.lit(fitted.n if fitted else 0).cast("long").alias("n"),
+        "deviation",
+        "whitened",
+        F.get(explained, F.col("place")).alias("explained"),
+        F.lit(fitted.identity_error if fitted else 0.0).alias("identity_error"),
+    )
+
+
+def op13_token_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    documents = _table(spark, folder, "documents")
+    aligned = align_texts(documents, tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"))
+    digest = F.when(F.col("groups") == "", "").otherwise(F.sha2("groups", 256))
+    counted = with_link_counts(aligned.select("doc_id", "n_a", "n_b", "n_groups", "n_links", digest.alias("groups_sha256"), "links"))
+    return counted.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
+
+
 OP2_SQL = r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
 windows AS (
@@ -254,6 +288,9 @@ QUERIES = {
         op8_chat_formatting,
         op9_near_dedup,
         op10_nearest_neighbours,
+        op11_bpe_encoding,
+        op12_whitening,
+        op13_token_alignment,
     )
 }
 ORACLES = {"op2_substring_dedup": OP2_SQL, "op4_decontamination": OP4_SQL, "op6_line_dedup": OP6_SQL, "op8_chat_formatting": OP8_SQL, "op9_near_dedup": OP9_SQL}
