@@ -28,8 +28,8 @@ from riskloom.llm.ragged import as_lists, chosen, joined, places, starts_of, tex
 #: Symbols of the longest word that is scanned.
 SHORT = 48
 #: Texts are encoded in groups of about so many bytes, tokens decoded in groups of about so many.
-GROUP_BYTES = 8 << 20
-GROUP_TOKENS = 4 << 20
+GROUP_BYTES = 2 << 20
+GROUP_TOKENS = 1 << 20
 #: The rank of parts that can't be merged.
 NEVER = np.int32(2**31 - 1)
 
