@@ -8,22 +8,21 @@ the open window whose remaining capacity is the smallest that suffices. A segmen
 from __future__ import annotations
 
 import os
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from riskloom.llm.bpe import GROUP_BYTES, Vocabulary, encode_batch, vocabulary
+from riskloom.llm.ragged import starts_of, text_slices
 from riskloom.llm.storage import stored
 
 WINDOW = 4096
 GROUP_PIECES = 20_000
-#: Words whose ids a worker remembers before it starts afresh.
-REMEMBERED_WORDS = 400_000
 
 
 @lru_cache(maxsize=2)
@@ -31,45 +30,54 @@ def _tokenizer(path: str):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
-    return Tokenizer.from_file(path)
+    own = Tokenizer.from_file(path)
+    own.no_truncation()
+    own.no_padding()
+    return own
 
 
-class _Encoder:
-    """Ids of whole texts as bytes (little-endian, 32 bits each).
-
-    For tokenizers that never join characters across a blank or a line feed and drop both: what lies between is
-    encoded by itself and remembered.
-    """
-
-    def __init__(self, path: str):
-        self.tokenizer, self.known = _tokenizer(path), {"": b""}
-
-    def encode(self, texts: list[str | None]) -> Iterator[bytes]:
-        if len(self.known) > REMEMBERED_WORDS:
-            self.known = {"": b""}
-        pieces = [t.replace("\n", " ").split(" ") if t else [] for t in texts]
-        new = list({w for words in pieces for w in words if w not in self.known})
-        for word, code in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False)):
-            self.known[word] = np.asarray(code.ids, "<u4").tobytes()
-        for words in pieces:
-            yield b"".join(map(self.known.__getitem__, words))
+@lru_cache(maxsize=2)
+def _rank_arrays(path: str) -> Vocabulary | None:
+    """The tokenizer as rank arrays, which encode each distinct word of a batch once; none for kinds they don't know."""
+    try:
+        return vocabulary(path)
+    except ValueError:
+        return None
+
+
+def _ids(path: str, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Flat ids of whole texts and the offsets of each text's ids."""
+    known = _rank_arrays(path)
+    if known is not None:
+        return encode_batch(known, texts)
+    codes = _tokenizer(path).encode_batch([t or "" for t in texts.to_pylist()], add_special_tokens=False)
+    return np.fromiter((i for c in codes for i in c.ids), np.int32), starts_of(np.array([len(c.ids) for c in codes], np.int64))
+
+
+def _pieces(ids: np.ndarray, offsets: np.ndarray, end_id: int, window: int) -> tuple[np.ndarray, list[pa.Array]]:
+    """Which text each piece is of, and start, length, ids and number of tokens of its text, with the end token."""
+    ends = offsets[1:] + np.arange(len(offsets) - 1)
+    whole = np.full(len(ids) + len(ends), end_id, "<u4")
+    inside = np.ones(len(whole), bool)
+    inside[ends] = False
+    whole[inside] = ids
+    tokens = np.diff(offsets) + 1
+    counts = -(-tokens // window)
+    text = np.repeat(np.arange(len(tokens)), counts)
+    start = (np.arange(len(text)) - np.repeat(starts_of(counts)[:-1], counts)) * window
+    length = np.minimum(tokens[text] - start, window)
+    places = pa.py_buffer((4 * starts_of(length)).astype(np.int32))
+    raw = pa.Array.from_buffers(pa.binary(), len(text), [None, places, pa.py_buffer(whole)])
+    return text, [pa.array(start), pa.array(length), raw, pa.array(tokens[text])]
 
 
 def _cut(path: str, end_id: int, window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end, width = _Encoder(path), np.asarray([end_id], "<u4").tobytes(), 4 * window
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                docs = batch.column(0).slice(at, 256).to_pylist()
-                out: tuple[list, ...] = ([], [], [], [], [])
-                for doc, ids in zip(docs, encoder.encode(batch.column(1).slice(at, 256).to_pylist())):
-                    ids += end
-                    for start in range(0, len(ids), width):
-                        piece = ids[start : start + width]
-                        for column, value in zip(out, (doc, start // 4, len(piece) // 4, piece, len(ids) // 4)):
-                            column.append(value)
-                types = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int64())
-                yield pa.record_batch([pa.array(v, t) for v, t in zip(out, types)], names=["doc", "start", "length", "ids", "doc_tokens"])
+            for at, texts in text_slices(batch.column(1), GROUP_BYTES):
+                text, columns = _pieces(*_ids(path, texts.fill_null("")), end_id, window)
+                docs = batch.column(0).slice(at, len(texts)).take(pa.array(text))
+                yield pa.record_batch([docs, *columns], names=["doc", "start", "length", "ids", "doc_tokens"])
 
     return run
 
@@ -80,7 +88,8 @@ def token_pieces(
     """Pieces of at most ``window`` tokens: id, ``start``, ``length``, ``ids`` (little-endian 32 bits each), ``doc_tokens``.
 
     ``tokenizer`` is the path of a tokenizer file every worker can read. Each text ends with ``end_id``; null and empty
-    texts have it alone. Every row of ``docs`` is a document of its own, whatever its id. Further columns are ignored.
+    texts have it alone. Files of the kinds that ``bpe`` reads are encoded there, with the ids the tokenizers library gives;
+    others by that library, text by text. Every row of ``docs`` is a document of its own, whatever its id. Further columns are ignored.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
     schema = "doc long, start long, length long, ids binary, doc_tokens long"
@@ -139,20 +148,30 @@ def best_fit(lengths: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
     return numbers, offsets
 
 
+def _unused(columns: Sequence[str], name: str) -> str:
+    while name.lower() in {c.lower() for c in columns}:
+        name = f"_{name}"
+    return name
+
+
 def pack_pieces(pieces: DataFrame, window: int = WINDOW, group_pieces: int = GROUP_PIECES, length_col: str = "length") -> DataFrame:
     """``pieces``, all columns kept, with ``sequence_id`` and ``offset``; offsets of a sequence follow one another from 0.
 
     ``pieces`` is stored first, so that a lost executor can't change what is dealt where. Lengths lie between 1 and
-    ``window``. An empty table gives an empty table. Ties in length are taken in the order of storage.
+    ``window``. An empty table gives an empty table. Ties in length are taken in the order of storage. Columns named
+    ``sequence_id`` or ``offset`` give way to the new ones.
     """
-    rows = stored(pieces.withColumn("_piece", F.monotonically_increasing_id()), "pieces")
+    kept = pieces.drop(*[c for c in pieces.columns if c.lower() in ("sequence_id", "offset")])
+    piece, group = _unused(kept.columns, "_piece"), _unused(kept.columns, "_group")
+    rows = stored(kept.withColumn(piece, F.monotonically_increasing_id()), "pieces")
     groups = max(1, -(-rows.count() // group_pieces))
 
-    def pack(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values([length_col, "_piece"], ascending=[False, True])
-        numbers, offsets = best_fit(frame[length_col].to_numpy(), window)
-        return frame.drop(columns=["_piece", "_group"]).assign(sequence_id=numbers * groups + frame["_group"].to_numpy(), offset=offsets)
+    def pack(table: pa.Table) -> pa.Table:
+        table = table.sort_by([(length_col, "descending"), (piece, "ascending")])
+        numbers, offsets = best_fit(table[length_col].to_numpy(), window)
+        numbers = numbers * groups + table[group].to_numpy()
+        return table.drop_columns([piece, group]).append_column("sequence_id", pa.array(numbers)).append_column("offset", pa.array(offsets))
 
-    grouped = rows.withColumn("_group", F.pmod(F.xxhash64("_piece"), F.lit(groups)))
-    schema = T.StructType([*pieces.schema, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
-    return grouped.groupBy("_group").applyInPandas(pack, schema)
+    grouped = rows.withColumn(group, F.pmod(F.xxhash64(piece), F.lit(groups)))
+    schema = T.StructType([*kept.schema, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
+    return grouped.groupBy(group).applyInArrow(pack, schema)

@@ -250,3 +250,34 @@ def test_whitening_query(spark, tmp_path, rows):
     out = queries.op12_whitening(spark, str(tmp_path)).collect()
     assert sorted((r["vec_id"], r["component"]) for r in out) == [(i, c) for i, v in rows if v for c in (1, 2, 3)]
     assert all(r["identity_error"] < 1e-9 and r["n"] == 30 for r in out)
+
+
+# -- packing on top of the encoder
+
+
+def test_packing_keeps_columns_of_any_name(spark):
+    from riskloom.llm.packing import pack_pieces
+
+    rows = [(i, 5, 9, 9, "p", "g") for i in range(10)] + [(None, 3, 1, 1, None, None), (2**60 + 1, 4, 0, 0, "x", "y")]
+    table = spark.createDataFrame(rows, "doc_id long, length long, offset int, sequence_id int, _piece string, _group string")
+    out = pack_pieces(table, window=8)
+    assert out.columns == ["doc_id", "length", "_piece", "_group", "sequence_id", "offset"]
+    got = out.collect()
+    assert sorted(str(r["doc_id"]) for r in got) == sorted(str(r[0]) for r in rows)
+    assert {r["_piece"] for r in got if r["doc_id"] is not None and r["doc_id"] < 10} == {"p"} and len({(r["sequence_id"], r["offset"]) for r in got}) == 12
+
+
+def test_packing_with_other_tokenizers(spark, tmp_path):
+    """One that joins across blanks, and a byte-level one: ids are the library's."""
+    from riskloom.llm.packing import token_pieces
+
+    spec = json.load(open(BYTE, encoding="utf-8"))
+    spec["pre_tokenizer"] = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
+    path = tmp_path / "joins.json"
+    path.write_text(json.dumps(spec), encoding="utf-8")
+    texts = odd_texts(21, 40)
+    for file in (str(path), BYTE):
+        own = Tokenizer.from_file(file)
+        got = {r["doc_id"]: bytes(r["ids"]) for r in token_pieces(frame(spark, texts), file, window=10**6).collect()}
+        for i, text in enumerate(texts):
+            assert got[i] == np.asarray([*own.encode(text or "", add_special_tokens=False).ids, 2], "<u4").tobytes()
