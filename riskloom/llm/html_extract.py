@@ -35,22 +35,31 @@ BLOCKS = CONTAINERS | frozenset(
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 hgroup".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 FURNITURE = frozenset("nav header footer aside form button select dialog menu noscript head object".split())
-FURNITURE_WORDS = frozenset(
-    "ad ads advert advertisement advertising banner breadcrumb breadcrumbs comment comments cookie cookies disclaimer footer header menu "
-    "modal nav navbar navigation newsletter notice notices pagination popup promo related replies reply share sharing sidebar social "
-    "sponsor sponsored subscribe widget".split()
+REMARKS = frozenset("comment comments disqus".split())
+ADVERTS = frozenset("ad ads advert advertisement advertising promo sponsor sponsored".split())
+FRAMES = frozenset(
+    "banner breadcrumb breadcrumbs cookie cookies disclaimer footer modal nav navbar navigation newsletter notice notices pagination popup "
+    "sidebar subscribe".split()
 )
-# Elements that no attribute makes furniture, that no class or id does, and that an id may.
+BESIDES = frozenset("header menu related replies reply share sharing social widget".split())
+FURNITURE_WORDS = REMARKS | ADVERTS | FRAMES | BESIDES
+# Words around these that speak of a state of the page, not of what an element is.
+STATES = frozenset("has hide is no not show with without closed count disabled enabled off on open".split())
+ROLES = frozenset("alert alertdialog complementary contentinfo dialog form menu menubar navigation search toolbar".split())
+# Elements that no attribute makes furniture, that no class or id does, that hold text of their own, and that an id may.
 PAGE = frozenset("html body".split())
 WHOLE = PAGE | frozenset("main article".split())
+TEXTUAL = HEADINGS | frozenset("p li dd dt td blockquote figcaption".split())
 NAMED_BY_ID = frozenset("div section table ul ol dl details figure fieldset".split())
 CLOSES_OWN_KIND = frozenset("li dt dd option tr td th p".split())
 
+# A tag ends before the next "<" outside quotes, so that one without its ">" is told at once.
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(script|style|textarea|title|svg|iframe|template|math|canvas)\b[^>]*>.*?(?:</\1\s*>|\Z)"
-    r"|<(/?)([a-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>"
-    r"|<[!?/][^>]*>",
+    r"|<(script|style|textarea|title|svg|iframe|template|math|canvas)\b(?:[^<>\"']++|\"[^\"]*+\"|'[^']*+')*+>.*?(?:</\1\s*>|\Z)"
+    r"|<(/?)([a-z][^\s/<>]*+)((?:[^<>\"']++|\"[^\"]*+\"|'[^']*+'|[\"'](?=[^<>\"']*+>))*+)>"
+    r"|<[!?/][^<>]*+>"
+    r"|<[!?/a-z][^<>]*+(?=<|\Z)",
     re.S | re.I,
 )
 _ATTRIBUTE = re.compile(r"""([^\s=/"'<>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
@@ -59,12 +68,73 @@ _UNDISPLAYED = re.compile(r"(?:^|;)\s*display\s*:\s*none", re.I)
 
 @dataclass(slots=True)
 class Block:
-    """A run of text without a block element in it, and the containers around it, outermost first."""
+    """A run of text without a block element in it; ``container`` is the number of the innermost container's path."""
 
     text: str
-    containers: tuple[str, ...]
+    container: int
     linked: int
     heading: bool = False
+    prose: bool = False
+    named: int = -1
+
+
+class Blocks(list):
+    """The blocks of a page, and its paths of elements as a tree: of each path its parent, last step and next container out."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.parent: list[int] = []
+        self.step: list[str] = []
+        self.outer: list[int] = []  # the container a path's own elements lie in
+        self.is_container: list[bool] = []
+        self.child: dict[tuple[int, str], int] = {}
+
+    def enter(self, parent: int, step: str, outer: int, container: bool) -> int:
+        number = self.child.setdefault((parent, step), len(self.step))
+        if number == len(self.step):
+            self.parent.append(parent)
+            self.step.append(step)
+            self.outer.append(outer)
+            self.is_container.append(container)
+        return number
+
+    def path(self, number: int) -> str:
+        steps = []
+        while number >= 0:
+            steps.append(self.step[number])
+            number = self.parent[number]
+        return ">".join(reversed(steps))
+
+    def find(self, path: str) -> int:
+        """The number of a path, -1 if the page doesn't have it."""
+        number = -1
+        for step in path.split(">"):
+            number = self.child.get((number, step), -2)
+            if number < 0:
+                return -1
+        return number
+
+    def within(self, number: int) -> list[bool]:
+        """Of each path whether it is ``number`` or lies inside it; an outer path has the smaller number."""
+        out = [False] * len(self.step)
+        for i in range(number, len(out)):
+            out[i] = i == number or (self.parent[i] >= 0 and out[self.parent[i]])
+        return out
+
+    def sums(self) -> list[list[int]]:
+        """Of each container the blocks in it: how many, their length, and of unlinked ones length, headings' and prose's."""
+        out = [[0] * 5 for _ in self.step]
+        for b in self:
+            if b.container >= 0:
+                n, own, mine = len(b.text), 2 * b.linked <= len(b.text), out[b.container]
+                for k, v in enumerate((1, n, n * own, n * (own and b.heading), n * (own and not b.heading and b.prose))):
+                    mine[k] += v
+        for i in range(len(out) - 1, -1, -1):
+            if self.is_container[i] and self.outer[i] >= 0:
+                outside = out[self.outer[i]]
+                for k, v in enumerate(out[i]):
+                    outside[k] += v
+        return out
 
 
 def _attributes(attributes: str) -> dict[str, str]:
@@ -75,68 +145,139 @@ def _attributes(attributes: str) -> dict[str, str]:
     return out
 
 
+@lru_cache(maxsize=65536)
 def _step(tag: str, attributes: str) -> str:
     names = _attributes(attributes).get("class", "") if attributes else ""
-    classes = sorted({re.sub(r"\d+", "", c) for c in names.lower().split()} - {""})
+    classes = sorted({re.sub(r"[\d>]+", "", c) for c in names.lower().split()} - {""})
     return ".".join([tag, *classes])
 
 
-def _names_furniture(token: str) -> bool:
-    """Whether a class or id says nothing but furniture: cookie-notice and ad-1, but not no-sidebar or entry-header."""
+def _said_by(token: str) -> str | None:
+    """What kind of furniture a class or id names: ``cookie-notice`` and ``ad-1`` say nothing else (*all*).
+
+    ``comment-list`` and ``top-ad`` do so at one of their ends; ``no-sidebar`` and ``comments-open`` tell a state.
+    """
     words = [w for w in re.split(r"[\W\d_]+", token.lower()) if w]
-    return bool(words) and FURNITURE_WORDS.issuperset(words)
+    if not words or words[0] in STATES or words[-1] in STATES:
+        return None
+    if FURNITURE_WORDS.issuperset(words):
+        return "remark" if REMARKS & set(words) else "advert" if ADVERTS & set(words) else "all"
+    for kind, known in (("remark", REMARKS), ("advert", ADVERTS), ("frame", FRAMES), ("beside", BESIDES)):
+        if words[0] in known or words[-1] in known:
+            return kind
+    return None
 
 
 @lru_cache(maxsize=65536)
-def _furniture(tag: str, attributes: str, inside_article: bool) -> bool:
+def _furniture(tag: str, attributes: str, inside_article: bool) -> str | None:
+    """*hard* if the element is furniture whatever it holds, or a kind that is judged by what it turns out to hold."""
     if tag in FURNITURE and not (tag == "header" and inside_article):
-        return True
+        return "hard"
     if tag in PAGE or not attributes.strip():
-        return False
+        return None
     given = _attributes(attributes)
     if "hidden" in given or given.get("aria-hidden", "").strip().lower() == "true" or _UNDISPLAYED.search(given.get("style", "")):
-        return True
+        return "hard"
     if tag in WHOLE:
-        return False
-    tokens = given.get("class", "").split() + (given.get("id", "").split() if tag in NAMED_BY_ID else [])
-    return any(_names_furniture(t) and not (inside_article and t.lower() == "header") for t in tokens)
+        return None
+    role = given.get("role", "").strip().lower()
+    if role in ROLES:
+        return "hard"
+    kinds = {"beside"} if role == "banner" and not inside_article else set()
+    for token in given.get("class", "").split() + (given.get("id", "").split() if tag in NAMED_BY_ID else []):
+        kind = _said_by(token)
+        if kind and not (inside_article and token.lower() == "header"):
+            whole = FURNITURE_WORDS.issuperset(w for w in re.split(r"[\W\d_]+", token.lower()) if w)
+            if tag not in TEXTUAL:
+                kinds.add("hard" if whole else kind)
+            elif whole:
+                kinds.add(kind if kind in ("remark", "advert") else "text")
+    return next((k for k in ("hard", "remark", "advert", "frame", "beside", "text") if k in kinds), None)
+
+
+@dataclass(slots=True)
+class Named:
+    """An element whose name may make it furniture, and what it holds."""
+
+    kind: str
+    around: int
+    core: bool = False
+    size: int = 0
+    linked: int = 0
+    prose: int = 0
+    heading: bool = False
 
 
-def blocks(page: str) -> list[Block]:
-    """The text blocks of a page in its order, without furniture and without markup."""
-    out: list[Block] = []
-    stack: list[tuple[str, str, bool]] = []  # tag, path, furniture
+def _judge(found: Blocks, named: list[Named]) -> None:
+    """Take out the blocks of named elements that are furniture.
+
+    None is that holds an article, a main element or a first-level heading. Comments and adverts are, other frames of the
+    page if they hold no more than half of its prose, and the rest if they are mostly links or neither prose nor headings.
+    """
+    total = sum(len(b.text) for b in found if b.prose)
+    for b in found:
+        if b.named >= 0:
+            own = named[b.named]
+            own.size += len(b.text)
+            own.linked += b.linked
+            own.prose += len(b.text) * (b.prose and 2 * b.linked <= len(b.text))
+            own.heading |= b.heading
+    for own in reversed(named):
+        if own.around >= 0:
+            outside = named[own.around]
+            outside.core |= own.core
+            outside.size, outside.linked, outside.prose = outside.size + own.size, outside.linked + own.linked, outside.prose + own.prose
+            outside.heading |= own.heading
+    gone = []
+    for own in named:
+        links = 2 * own.linked > own.size
+        furniture = {
+            "remark": True,
+            "advert": True,
+            "frame": 2 * own.prose <= total,
+            "beside": links or not (own.prose or own.heading),
+            "text": links or not own.prose,
+        }[own.kind]
+        gone.append((furniture and not own.core) or (own.around >= 0 and gone[own.around]))
+    found[:] = [b for b in found if b.named < 0 or not gone[b.named]]
+
+
+def blocks(page: str) -> Blocks:
+    """The text blocks of a page in its order, without furniture and without markup, in one walk over it."""
+    out = Blocks()
+    stack: list[tuple[str, int, int, bool, int]] = []  # tag, path, innermost container, hard furniture, named element
+    opened: dict[str, int] = {}
+    named: list[Named] = []
     parts: list[str] = []
-    at = linked = links = articles = 0
+    at = linked = headings = 0
 
     def flush() -> None:
         nonlocal linked
         text = " ".join("".join(parts).split())
         parts.clear()
-        if text and not (stack and stack[-1][2]):
-            heading = any(t in HEADINGS for t, _, _ in stack)
-            out.append(Block(text, tuple(p for t, p, _ in stack if t in CONTAINERS), linked, heading))
+        if text and not (stack and stack[-1][3]):
+            out.append(Block(text, stack[-1][2] if stack else -1, linked, headings > 0, _prose(text), stack[-1][4] if stack else -1))
         linked = 0
 
     def pop() -> None:
-        nonlocal links, articles
+        nonlocal headings
         tag = stack.pop()[0]
-        links -= tag == "a"
-        articles -= tag == "article"
+        opened[tag] -= 1
+        headings -= tag in HEADINGS
 
     for token in _TOKEN.finditer(page):
         if token.start() > at:
             raw = page[at : token.start()]
             raw = html.unescape(raw) if "&" in raw else raw
             parts.append(raw)
-            if links:
+            if opened.get("a"):
                 linked += len(raw)
         at = token.end()
         tag = (token[3] or "").lower()
         if not tag:
             continue
         if token[2]:
-            if any(s[0] == tag for s in stack):
+            if opened.get(tag):
                 if tag in BLOCKS:
                     flush()
                 while stack[-1][0] != tag:
@@ -147,7 +288,7 @@ def blocks(page: str) -> list[Block]:
             continue
         if tag in BLOCKS:
             flush()
-            if any(s[0] == "p" for s in stack):
+            if opened.get("p"):
                 while stack[-1][0] != "p":
                     pop()
                 pop()
@@ -158,71 +299,92 @@ def blocks(page: str) -> list[Block]:
         attributes = token[4] or ""
         if tag in VOID or attributes.endswith("/"):
             continue
-        path = f"{stack[-1][1]}>{_step(tag, attributes)}" if stack else _step(tag, attributes)
-        stack.append((tag, path, (bool(stack) and stack[-1][2]) or _furniture(tag, attributes, articles > 0)))
-        links += tag == "a"
-        articles += tag == "article"
+        _, above, container, hard, name = stack[-1] if stack else ("", -1, -1, False, -1)
+        number = out.enter(above, _step(tag, attributes), container, tag in CONTAINERS)
+        kind = None if hard else _furniture(tag, attributes, bool(opened.get("article")))
+        if kind and kind != "hard":
+            named.append(Named(kind, name))
+            name = len(named) - 1
+        if name >= 0 and tag in ("article", "main", "h1"):
+            named[name].core = True
+        stack.append((tag, number, number if tag in CONTAINERS else container, hard or kind == "hard", name))
+        opened[tag] = opened.get(tag, 0) + 1
+        headings += tag in HEADINGS
     parts.append(html.unescape(page[at:]))
     flush()
+    if named:
+        _judge(out, named)
     return out
 
 
-def best_container(found: list[Block]) -> tuple[str, float]:
-    """Path and score of the container with the most text of its own; the empty path without containers."""
-    scores: dict[str, float] = {}
+def _best(found: Blocks) -> tuple[int, float]:
+    """Number and score of the path of the container with the most text of its own, the first of equals; -1 without any."""
+    scores: dict[int, float] = {}
     for block in found:
-        weight = len(block.text) - 2 * block.linked
-        for share, path in zip((1.0, 0.5), reversed(block.containers)):
-            scores[path] = scores.get(path, 0.0) + share * weight
-    return max(scores.items(), key=lambda s: (s[1], s[0])) if scores else ("", 0.0)
-
-
-def _prose(block: Block) -> bool:
-    """Whether the block is running text: ten words, a sentence of five, or thirty characters of a script without blanks."""
-    words = block.text.split()
-    unspaced = sum(c >= "\u0e00" and c.isalpha() for c in block.text)
-    return len(words) >= 10 or (len(words) >= 5 and block.text.rstrip("\"'\u201d\u00bb)").endswith((".", "!", "?", "\u2026"))) or unspaced >= 30
-
-
-def _belongs(others: list[Block], whole: bool) -> bool:
-    """Whether ``others`` are text of the page's matter: mostly not links, and prose or headings unless in an article or main."""
-    own = [b for b in others if 2 * b.linked <= len(b.text)]
-    size = sum(len(b.text) for b in others)
-    if 2 * sum(len(b.text) for b in own) < size:
-        return False
-    if whole:
-        return True
-    rest = size - sum(len(b.text) for b in own if b.heading)
-    return 2 * sum(len(b.text) for b in own if not b.heading and _prose(b)) >= rest
+        weight, number = len(block.text) - 2 * block.linked, block.container
+        for share in (1.0, 0.5):
+            if number >= 0:
+                scores[number] = scores.get(number, 0.0) + share * weight
+                number = found.outer[number]
+    if not scores:
+        return -1, 0.0
+    top = max(scores.values())
+    return min(n for n, s in scores.items() if s == top), top
+
+
+def best_container(found: Blocks) -> tuple[str, float]:
+    """Path and score of the container with the most text of its own; the empty path without containers."""
+    number, score = _best(found)
+    return found.path(number), score
+
 
+def _prose(text: str) -> bool:
+    """Whether a block is running text: ten words, a sentence of five, or thirty characters of a script without blanks."""
+    words = text.count(" ") + 1
+    if words >= 10 or (words >= 5 and text.rstrip("\"'\u201d\u00bb)").endswith((".", "!", "?", "\u2026"))):
+        return True
+    return not text.isascii() and sum(c >= "\u0e00" and c.isalpha() for c in text) >= 30
 
-def widened(found: list[Block], path: str) -> str:
-    """The outermost container around ``path`` to which the page's matter reaches; the same path if it holds all of that."""
-    around = next((b.containers for b in found if path in b.containers), ())
-    for outer in reversed(around[: around.index(path)] if around else ()):
-        others = [b for b in found if outer in b.containers and path not in b.containers]
-        if others and _belongs(others, outer.rpartition(">")[2].partition(".")[0] in ("article", "main")):
-            path = outer
-    return path
 
+def _widened(found: Blocks, number: int) -> int:
+    """The outermost container around a path to which the page's matter reaches; the same path if it holds all of that.
 
-def main_container(found: list[Block]) -> tuple[str, float]:
+    What lies in an outer container besides must be mostly no links, and prose or headings, unless that is an article or
+    main element.
+    """
+    if number < 0:
+        return number
+    sums, outer = found.sums(), found.outer[number]
+    if not sums[number][0]:
+        return number
+    while outer >= 0:
+        count, size, own, heading, prose = (a - b for a, b in zip(sums[outer], sums[number]))
+        whole = found.step[outer].partition(".")[0] in ("article", "main")
+        if count and 2 * own >= size and (whole or 2 * prose >= size - heading):
+            number = outer
+        outer = found.outer[outer]
+    return number
+
+
+def main_container(found: Blocks) -> tuple[str, float]:
     """The path of the page's best container, widened, and the score of that container."""
-    path, score = best_container(found)
-    return widened(found, path), score
+    number, score = _best(found)
+    return found.path(_widened(found, number)), score
 
 
-def text_under(found: list[Block], path: str | None) -> str:
+def text_under(found: Blocks, path: str | None) -> str:
     """The blocks under ``path``, or under the page's own container if it has none there, one to a line.
 
     If the page's best container lies under ``path``, that is widened on this page too.
     """
-    own = best_container(found)[0]
-    if not path or not any(path in b.containers for b in found):
-        path = own
-    if any(path in b.containers and own in b.containers for b in found):
-        path = widened(found, path)
-    return "\n".join(b.text for b in found if not path or path in b.containers)
+    own = _best(found)[0]
+    number = found.find(path) if path else -1
+    if number < 0 or not found.sums()[number][0]:
+        number = own
+    if number >= 0 and (found.within(number)[own] or found.within(own)[number]):
+        number = _widened(found, number)
+    inside = found.within(number) if number >= 0 else []
+    return "\n".join(b.text for b in found if number < 0 or (b.container >= 0 and inside[b.container]))
 
 
 def _votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
