@@ -26,23 +26,48 @@ EDGE = 4
 UNSPACED = r"[^\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}]"
 
 
-def _units(line: Column, min_words: int, every_line: bool) -> Column:
-    """The words of a line; with ``every_line``, the characters of one with too few words but long in a script without blanks."""
-    words = words_between(line, SPACES)
-    if not every_line:
-        return words
-    unspaced = F.length(F.regexp_replace(line, UNSPACED, "")) >= 2 * min_words
-    characters = F.regexp_extract_all(F.regexp_replace(line, SPACES, ""), F.lit("(?s)."), F.lit(0))
-    return F.when((F.size(words) < min_words) & unspaced, characters).otherwise(words)
+def _between_blanks(line: Column) -> Column:
+    """The words of a line between single blanks; most lines are written so already and are not split for it."""
+    odd = F.startswith(line, F.lit(" ")) | F.endswith(line, F.lit(" "))
+    for space in ("  ", "\t", "\x0b", "\x0c", "\r"):
+        odd = odd | F.contains(line, F.lit(space))
+    return F.when(odd, F.array_join(words_between(line, SPACES), " ")).otherwise(line)
+
+
+def _many(whole: Column, min_words: int) -> Column:
+    return F.substring_index(whole, " ", min_words - 1) != whole
+
+
+def _unspaced(whole: Column, min_words: int) -> Column:
+    """Whether a line has few words but twice as many letters, three bytes each at least, of scripts without blanks."""
+    wide = F.octet_length(whole) - F.length(whole) >= 4 * min_words
+    return ~_many(whole, min_words) & wide & (F.length(F.regexp_replace(whole, UNSPACED, "")) >= 2 * min_words)
+
+
+def _characters(whole: Column) -> Column:
+    return F.regexp_extract_all(F.replace(whole, F.lit(" "), F.lit("")), F.lit("(?s)."), F.lit(0))
+
+
+def _units(whole: Column, min_words: int) -> Column:
+    """What a line that is judged for near ones is compared by: its words, or its characters."""
+    return F.when(_many(whole, min_words), F.split(whole, " ")).otherwise(_characters(whole))
+
+
+def _edges(whole: Column, min_words: int, every_line: bool) -> tuple[Column, Column]:
+    """Hashes of the first and the last few units of a line that is judged for near ones, else null."""
+    many, few = _many(whole, min_words), F.lit(every_line) & _unspaced(whole, min_words)
+    ends = []
+    for side, at in ((1, 1), (-1, -EDGE)):
+        words = F.substring_index(whole, " ", side * EDGE)
+        ends.append(F.xxhash64(F.when(many, words).otherwise(F.array_join(F.slice(_characters(whole), at, EDGE), " "))))
+    return tuple(F.when(many | few, e) for e in ends)
 
 
 def _lines(docs: DataFrame, min_words: int, every_line: bool) -> DataFrame:
-    """``doc``, ``tkey``, ``line_no``, ``whole``, ``words`` of every line to judge; ``whole`` has its words between single blanks."""
+    """``doc``, ``tkey``, ``line_no`` and ``whole`` of every line to judge; ``whole`` has its words between single blanks."""
     lines = docs.select("doc", "tkey", F.posexplode(F.split("_t", "\n")).alias("line_no", "_line"))
-    whole = F.array_join(words_between(F.col("_line"), SPACES), " ").alias("whole")
-    both = F.struct(whole, _units(F.col("_line"), min_words, every_line).alias("words"))
-    units = compute_once(lines, ["doc", "tkey", "line_no"], both, "u").select("doc", "tkey", "line_no", "u.whole", "u.words")
-    return units.filter(F.size("words") >= (1 if every_line else min_words))
+    whole = compute_once(lines, ["doc", "tkey", "line_no"], _between_blanks(F.col("_line")), "whole")
+    return whole.filter(F.col("whole") != "" if every_line else _many(F.col("whole"), min_words))
 
 
 def _shared(lines: DataFrame, key: str) -> DataFrame:
@@ -50,15 +75,22 @@ def _shared(lines: DataFrame, key: str) -> DataFrame:
     return lines.filter(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("_n")).filter("_n > 1").select(key, F.lit(True).alias(f"{key}_shared"))
 
 
+def _alike(a: Column, b: Column) -> Column:
+    """How many units both have in common from the start."""
+    first = F.array_position(F.zip_with(a, b, lambda x, y: x.eqNullSafe(y)), False)
+    return F.when(first == 0, F.least(F.size(a), F.size(b))).otherwise(first - 1)
+
+
 def _one_edit(a: Column, b: Column) -> Column:
-    """Whether one changed, added or left-out word turns ``a`` into ``b``."""
-    long, short = F.when(F.size(a) >= F.size(b), a).otherwise(b), F.when(F.size(a) >= F.size(b), b).otherwise(a)
-    changed = F.size(F.filter(F.zip_with(a, b, lambda x, y: x != y), lambda d: d))
-    added = F.exists(
-        F.sequence(F.lit(0), F.size(short)),
-        lambda p: F.concat(F.slice(long, F.lit(1), p), F.slice(long, p + 2, F.size(long))) == short,
-    )
-    return F.when(F.size(a) == F.size(b), changed <= 1).otherwise((F.size(long) == F.size(short) + 1) & added)
+    """Whether one changed, added or left-out unit turns ``a`` into ``b``: what they share at both ends leaves no more."""
+    shared = _alike(a, b) + _alike(F.reverse(a), F.reverse(b))
+    return (F.abs(F.size(a) - F.size(b)) <= 1) & (shared >= F.greatest(F.size(a), F.size(b)) - 1)
+
+
+def _running(words: Column, seed: int, shift: int) -> Column:
+    """For each place the combined hash of the units before it, each hashed with its place less ``shift``."""
+    hashes = F.transform(words, lambda w, i: F.xxhash64(F.lit(seed), w, i - F.lit(shift)))
+    return F.aggregate(hashes, F.array(F.lit(0).cast("long")), lambda done, h: F.concat(done, F.array(F.element_at(done, -1).bitwiseXOR(h))))
 
 
 def _halves(candidates: DataFrame, min_words: int) -> DataFrame:
@@ -86,11 +118,19 @@ def _near(candidates: DataFrame, min_words: int) -> DataFrame:
     lines = stored(lines.select(rank, "words", *[F.array_contains("kinds", k).alias(k) for k in kinds]), "near-lines")
     words, n = F.col("words"), F.size("words")
     half, less = F.floor(n / 2), F.floor((n - 1) / 2)
+    # A unit's hash knows its place, so a line without one unit has the hash of what precedes that unit, combined with that
+    # of what follows it moved up by one place.
+    hashes = F.struct(*(_running(words, seed, shift).alias(f"{name}{seed}") for seed in (1, 2) for shift, name in enumerate(("own", "moved"))))
+    lines = compute_once(lines, lines.columns, hashes, "hashes")
+
+    def without(p: Column, seed: int) -> Column:
+        own, moved = F.col(f"hashes.own{seed}"), F.col(f"hashes.moved{seed}")
+        return F.get(own, p).bitwiseXOR(F.get(moved, n)).bitwiseXOR(F.get(moved, p + 1))
 
     def variant(p: Column) -> Column:
         return F.struct(
             p.alias("place"),
-            wide_hash(F.slice(words, F.lit(1), p), F.slice(words, p + 2, n)).alias("variant"),
+            F.struct(without(p, 1).alias("a"), without(p, 2).alias("b")).alias("variant"),
             ((F.col("head0") & (p >= half)) | (F.col("tail0") & (p < half))).alias("changed"),
             ((F.col("head1") & (p >= less)) | (F.col("tail1") & (p <= less))).alias("left_out"),
         )
@@ -103,7 +143,8 @@ def _near(candidates: DataFrame, min_words: int) -> DataFrame:
     same = variants.filter("changed").select("rank", "variant", "place")
     first = same.groupBy("variant", "place").agg(F.min("rank").alias("first"), F.count("*").alias("_n")).filter("_n > 1").drop("_n")
     changed = same.join(first, ["variant", "place"]).filter(F.col("rank") > F.col("first")).select(F.col("rank.id").alias("id"), F.col("first.id").alias("other"))
-    whole = lines.filter("head0 or tail0").select(wide_hash(words, F.array().cast("array<string>")).alias("variant"), F.col("rank").alias("_rank"))
+    as_they_are = F.struct(F.get("hashes.own1", n).alias("a"), F.get("hashes.own2", n).alias("b"))
+    whole = lines.filter("head0 or tail0").select(as_they_are.alias("variant"), F.col("rank").alias("_rank"))
     met = variants.filter("left_out").select("rank", "variant").join(whole, "variant")
     later = F.col("rank") > F.col("_rank")
     mine, theirs = F.col("rank.id"), F.col("_rank.id")
@@ -127,13 +168,10 @@ def repeated_lines(
     if min_words < 2 * EDGE:
         raise ValueError(f"lines of fewer than {2 * EDGE} words can't be compared by their edges")
     texts = docs.select(F.col(id_col).alias("doc"), text_key(F.col(text_col)).alias("tkey"), F.col(text_col).alias("_t")).filter("doc is not null and _t is not null")
-    words, near = F.col("words"), F.size("words") >= min_words
+    head, tail = _edges(F.col("whole"), min_words, every_line)
     seen = stored(
         _lines(texts, min_words, every_line).select(
-            "doc", "tkey", "line_no",
-            wide_hash(F.col("whole")).alias("id"),
-            F.when(near, F.xxhash64(F.slice(words, 1, EDGE))).alias("head"),
-            F.when(near, F.xxhash64(F.slice(words, -EDGE, EDGE))).alias("tail"),
+            "doc", "tkey", "line_no", wide_hash(F.col("whole")).alias("id"), head.alias("head"), tail.alias("tail")
         ),
         "lines",
     )
@@ -154,7 +192,7 @@ def repeated_lines(
     candidates = (
         texts.join(wanted, ["doc", "tkey"])
         .select(F.split("_t", "\n").alias("_lines"), F.explode("wanted").alias("w"))
-        .select("w.*", _units(F.get("_lines", F.col("w.line_no")), min_words, every_line).alias("words"))
+        .select("w.*", F.transform(F.array(_between_blanks(F.get("_lines", F.col("w.line_no")))), lambda w: _units(w, min_words))[0].alias("words"))
         .select("id", "rank", "words", "head_shared", "tail_shared")
     )
     candidates = stored(candidates, "candidates")
@@ -176,15 +214,16 @@ def dedup_lines(
     id and text remain and are judged alike; documents without an id neither lose lines nor cost others theirs.
     Added columns replace columns of the same names.
     """
-    gone = repeated_lines(docs, id_col, text_col, min_words, every_line).withColumnsRenamed({"doc": "_doc", "tkey": "_tkey", "line_nos": "_gone"})
-    rows = docs.withColumn("_key", text_key(F.col(text_col)))
-    joined = rows.join(gone.hint("shuffle_hash"), (F.col(id_col) == F.col("_doc")) & (F.col("_key") == F.col("_tkey")), "left")
-    lines = F.split(text_col, "\n")
-    kept = F.filter(lines, lambda line, i: ~F.array_contains("_gone", i))
-    text = F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n"))
-    added = {
-        text_col: text,
-        "n_lines": F.when(F.col(text_col).isNull(), F.lit(0)).otherwise(F.size(lines)).cast("long"),
-        "n_removed": F.coalesce(F.size("_gone"), F.lit(0)).cast("long"),
-    }
-    return joined.withColumns(added).drop("_key", "_doc", "_tkey", "_gone")
+    gone = repeated_lines(docs, id_col, text_col, min_words, every_line).withColumnsRenamed({"doc": "g_doc", "tkey": "g_key"})
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
+    rows = docs.select(row, F.col(id_col).alias("doc"), F.col(text_col).alias("t"), text_key(F.col(text_col)).alias("tkey"))
+    joined = rows.join(gone.hint("shuffle_hash"), (F.col("doc") == F.col("g_doc")) & (F.col("tkey") == F.col("g_key")), "left")
+    lines = F.split("t", "\n")
+    kept = F.filter(lines, lambda line, i: ~F.array_contains("line_nos", i))
+    text = F.when(F.col("line_nos").isNull(), F.col("t")).otherwise(F.array_join(kept, "\n"))
+    own = [text.alias(c) if c == text_col else F.col("row")[c].alias(c) for c in docs.columns if c not in ("n_lines", "n_removed")]
+    return joined.select(
+        *own,
+        F.when(F.col("t").isNull(), F.lit(0)).otherwise(F.size(lines)).cast("long").alias("n_lines"),
+        F.coalesce(F.size("line_nos"), F.lit(0)).cast("long").alias("n_removed"),
+    )

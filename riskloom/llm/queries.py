@@ -71,7 +71,7 @@ def op5_packing(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op6_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
-    out = dedup_lines(_table(spark, folder, "documents"))
+    out = dedup_lines(_table(spark, folder, "documents"), every_line=True)
     return out.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
 
 
@@ -207,7 +207,11 @@ WITH l AS (
     FROM (SELECT doc_id, string_split(text, chr(10)) AS lines FROM documents WHERE text IS NOT NULL))
 ),
 judged AS (
-  SELECT doc_id, i, w, array_to_string(w, ' ') AS norm, doc_id * 1000000 + i AS rank FROM l WHERE len(w) >= 8
+  SELECT doc_id, i, array_to_string(w, ' ') AS norm, doc_id * 1000000 + i AS rank,
+    CASE WHEN len(w) >= 8 THEN w
+      WHEN len(regexp_extract_all(line, '[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}]')) >= 16
+      THEN regexp_extract_all(array_to_string(w, ''), '(?s).') END AS w
+  FROM l WHERE len(w) >= 1
 ),
 firsts AS (SELECT norm, min(rank) AS rank, any_value(w) AS w FROM judged GROUP BY norm),
 pairs AS (

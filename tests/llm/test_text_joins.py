@@ -162,3 +162,55 @@ def test_drop_near_duplicates_keeps_one_of_each_group(spark):
     assert sorted(str(r.doc_id) for r in got) == ["3", "3", "7", "8", "None", "None"]
     assert got[0].words == "w"
     assert drop_near_duplicates(frame(spark, [])).collect() == []
+
+
+def kept_of_any_length(docs):
+    """{id: kept text}: equal lines of any length but blank ones go, near ones from eight words on."""
+    lines = sorted((d, i, brute.WORD.findall(line)) for d, t in docs if t is not None for i, line in enumerate(t.split("\n")))
+    gone = set()
+    for k, (d, i, w) in enumerate(lines):
+        if w and any(o == w or (min(len(w), len(o)) >= 8 and brute.edits(w, o) <= 1) for _, _, o in lines[:k]):
+            gone.add((d, i))
+    return {d: t and "\n".join(x for i, x in enumerate(t.split("\n")) if (d, i) not in gone) for d, t in docs}
+
+
+@pytest.mark.parametrize("seed", [15, 16, 17])
+def test_lines_of_every_length(spark, seed):
+    rng = random.Random(seed)
+    pool = [sentence(rng, rng.randrange(1, 12)).split(" ") for _ in range(9)]
+    docs = []
+    for i in range(25):
+        own = []
+        for _ in range(rng.randrange(7)):
+            words = list(rng.choice(pool))
+            if rng.random() < 0.4:
+                words[rng.randrange(len(words))] = rng.choice(["changed", "the", "é"])
+            if rng.random() < 0.3:
+                words.insert(rng.randrange(len(words) + 1), words[0])
+            own.append(rng.choice([" ", " ", "  ", "\t", " \r"]).join(words) + rng.choice(["", "", " ", "\x0b"]))
+        docs.append((i, "\n".join(own)))
+    got = {r.doc_id: r.text for r in dedup_lines(frame(spark, docs), every_line=True).collect()}
+    assert got == kept_of_any_length(docs)
+
+
+def test_a_very_long_line(spark):
+    rng = random.Random(3)
+    words = [f"w{rng.randrange(5000)}" for _ in range(20_000)]
+    other = [*words[:7000], "changed", *words[7001:]]
+    far = [*other[:9000], "changed", "too", *other[9002:]]
+    less = words[:15_000] + words[15_001:]
+    docs = [(i, " ".join(w)) for i, w in enumerate((words, other, far, less, words))]
+    got = {r.doc_id: r.n_removed for r in dedup_lines(frame(spark, docs)).collect()}
+    assert got == {0: 0, 1: 1, 2: 0, 3: 1, 4: 1}
+
+
+def test_columns_named_like_helpers_stay(spark):
+    names = ["_doc", "_key", "_tk", "_gone", "row", "doc", "tkey", "t", "line_nos", "gone_doc", "g_doc", "n_removed"]
+    line = "one two three four five six seven eight"
+    rows = [(i, line if i < 3 else "x", *range(len(names))) for i in range(4)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, " + ", ".join(f"{n} int" for n in names))
+    out = dedup_lines(table)
+    assert [c for c in out.columns if c not in ("n_lines", "n_removed")] == table.columns[:-1]
+    assert all(tuple(r[n] for n in names[:-1]) == tuple(range(len(names) - 1)) for r in out.collect())
+    kept = drop_near_duplicates(table)
+    assert kept.columns == table.columns and sorted(r.doc_id for r in kept.collect()) == [0, 3]
