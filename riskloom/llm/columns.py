@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import string
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SPACES = r"[\x20\x09-\x0D]+"
@@ -29,3 +29,16 @@ def text_key(text: Column) -> Column:
 def wide_hash(*parts: Column) -> Column:
     """128 bits of hash as two numbers, so that chance equality can be left out of account."""
     return F.struct(F.xxhash64(F.lit(1), *parts).alias("a"), F.xxhash64(F.lit(2), *parts).alias("b"))
+
+
+def packed(df: DataFrame, name: str = "row") -> Column:
+    """All columns of ``df`` as one, so that helper columns can't clash with them."""
+    return F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias(name)
+
+
+def without(docs: DataFrame, gone: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The rows of ``docs``, all columns as they are, whose id and ``text_key`` are not among ``gone``; null ids are equal."""
+    keyed = docs.select(packed(docs), F.col(id_col).alias("doc"), text_key(F.col(text_col)).alias("tkey"))
+    drop = gone.select(F.col(id_col).alias("gone_doc"), F.col("text_key").alias("gone_key")).distinct()
+    kept = keyed.join(drop, F.col("doc").eqNullSafe(F.col("gone_doc")) & (F.col("tkey") == F.col("gone_key")), "left_anti")
+    return kept.select(*(F.col("row")[c].alias(c) for c in docs.columns))

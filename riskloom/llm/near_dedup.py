@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.llm.columns import text_key
+from riskloom.llm.columns import text_key, without
 from riskloom.llm.components import smallest_reachable
 from riskloom.llm.storage import stored
 from riskloom.llm.wordhash import Words, mix, run_hashes, word_groups
@@ -323,6 +323,4 @@ def drop_near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, i
     See ``near_duplicates``. Rows without an id stay.
     """
     found = near_duplicates(docs, shingle, percent, id_col, text_col)
-    dropped = found.filter(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("_doc"), F.col("text_key").alias("_key"))
-    keyed = docs.withColumn("_tk", text_key(F.col(text_col)))
-    return keyed.join(dropped, (F.col(id_col) == F.col("_doc")) & (F.col("_tk") == F.col("_key")), "left_anti").drop("_tk")
+    return without(docs, found.filter(F.col(id_col) != F.col("component_id")), id_col, text_col)

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from riskloom.llm.columns import text_key
+from riskloom.llm.columns import text_key, without
 from riskloom.llm.storage import stored
 from riskloom.llm.wordhash import Words, run_hashes, word_groups
 
@@ -213,6 +213,4 @@ def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
 
 def keep_good(docs: DataFrame, labels: DataFrame, least: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` whose score is at least ``least``; all columns as they are."""
-    bad = quality_scores(docs, labels, id_col, text_col).filter(F.col("score") < least).select(F.col(id_col).alias("_doc"), F.col("text_key").alias("_key"))
-    keyed = docs.withColumn("_tk", text_key(F.col(text_col)))
-    return keyed.join(bad.distinct(), F.col(id_col).eqNullSafe(F.col("_doc")) & (F.col("_tk") == F.col("_key")), "left_anti").drop("_tk")
+    return without(docs, quality_scores(docs, labels, id_col, text_col).filter(F.col("score") < least), id_col, text_col)

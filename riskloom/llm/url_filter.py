@@ -123,27 +123,24 @@ def judge_urls(
     and are judged by the trees like others. With labels of one kind only, that kind is the verdict; without any,
     URLs are allowed. Every row gives one row; the same URL always has the same verdict.
     """
-    named = pages.withColumns({"_url": F.col(url_col), "host": host_of(F.col(url_col)), "path": path_of(F.col(url_col))})
-    ruled = named.withColumn("_rule", fitting_rule(F.col("host"), F.col("path"), rules))
-    plain = ruled.select(F.col("_url").alias("url"), "host", "path", F.col("_rule.verdict").alias("verdict"))
+    keep = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict", "by_rule")]
+    row = F.struct(*(F.col(f"`{c}`") for c in keep)).alias("row")
+    named = pages.select(row, F.col(url_col).alias("url"), host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"))
+    ruled = named.withColumn("fit", fitting_rule(F.col("host"), F.col("path"), rules))
+    plain = ruled.select("url", "host", "path", F.col("fit.verdict").alias("verdict"))
     if labelled is None:
         learn = lexical_features(plain).filter("verdict is not null")
     else:
         told = labelled.select("url", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"), "verdict")
         learn = lexical_features(told).filter("verdict is not null")
     model = fit_filter(learn, train_rows)
-    keep = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict", "by_rule")]
     if model is None or isinstance(model, str):
-        guess = F.lit(model or "allow")
-        rows = ruled
+        guess, rows = F.lit(model or "allow"), ruled
     else:
-        packed = ruled.select(F.struct(*keep).alias("_row"), F.col("_url").alias("url"), "host", "path", "_rule")
-        rows = lexical_features(packed)
-        rows = VectorAssembler(inputCols=list(FEATURES), outputCol="_x").transform(rows)
-        rows = model.setFeaturesCol("_x").setPredictionCol("_p").setRawPredictionCol("").setProbabilityCol("").transform(rows)
-        rows = rows.select("_row.*", "host", "path", "_rule", "_p")
-        guess = F.when(F.col("_p") == 1, "block").otherwise("allow")
+        rows = VectorAssembler(inputCols=list(FEATURES), outputCol="x").transform(lexical_features(ruled))
+        rows = model.setFeaturesCol("x").setPredictionCol("p").setRawPredictionCol("").setProbabilityCol("").transform(rows)
+        guess = F.when(F.col("p") == 1, "block").otherwise("allow")
     return rows.select(
-        *keep, "host", "path", F.col("_rule.rule").alias("rule"),
-        F.coalesce("_rule.verdict", guess).alias("verdict"), F.col("_rule").isNotNull().alias("by_rule"),
+        *(F.col("row")[c].alias(c) for c in keep), "host", "path", F.col("fit.rule").alias("rule"),
+        F.coalesce("fit.verdict", guess).alias("verdict"), F.col("fit").isNotNull().alias("by_rule"),
     )
