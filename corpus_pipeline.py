@@ -14,7 +14,7 @@ from riskloom.llm.line_dedup import dedup_lines
 from riskloom.llm.near_dedup import drop_near_duplicates
 from riskloom.llm.packing import pack_pieces, token_pieces
 from riskloom.llm.quality import keep_good
-from riskloom.llm.columns import text_key
+from riskloom.llm.columns import without
 from riskloom.llm.queries import tokenizer_path
 from riskloom.llm.storage import stored
 
@@ -47,9 +47,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents that hold ten consecutive words, or all words, of a benchmark item."""
     found = contamination(docs, _table(spark, sf_dir, "benchmark")).filter("n_hit > 0")
-    hit = found.select(F.col("doc_id").alias("_doc"), F.col("text_key").alias("_key"))
-    keyed = docs.withColumn("_tk", text_key(F.col("text")))
-    return keyed.join(hit, F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("_tk") == F.col("_key")), "left_anti").drop("_tk")
+    return without(docs, found, "doc_id", "text")
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -66,7 +64,7 @@ STAGES = [
     ("packing", packing),
 ]
 
-#: Learned scores and best fit are beyond SQL; tests compare the stages with brute force.
+#: Learned scores and best fit are beyond SQL; ``tests/llm/test_pipeline.py`` compares every stage and ``run`` with brute force.
 ORACLE_SQL = None
 
 
