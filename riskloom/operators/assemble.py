@@ -42,7 +42,7 @@ def epss_as_of(master: DataFrame, history: DataFrame | None) -> DataFrame:
     if history is None:
         return master.select("*", *[value.alias(f) for f, value in current.items()])
     # Whether there is a history at all is a scalar subquery of the same plan.
-    empty = history.agg(F.count(F.lit(1)) == 0).scalar()
+    empty = history.select("cve_id").limit(1).agg(F.count(F.lit(1)) == 0).scalar()
     # Drop the master's current scores first, so that nothing later can be picked up.
     held = master.withColumns({f"_own_{f}": F.when(empty, value) for f, value in current.items()})
     found = asof_lookup(

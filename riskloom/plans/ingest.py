@@ -9,9 +9,11 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.plans.silver import build_silver, validate_master
+from riskloom.plans.incremental import read_master, update_master
+from riskloom.plans.silver import build_silver, validate_master, validate_rows
 from riskloom.schemas import EPSS_BRONZE, KEV_BRONZE, NVD_BRONZE
 from riskloom.sources import bronze, landing
+from riskloom.sources.versioned import latest_version
 
 SOURCES = ("nvd", "epss", "kev")
 
@@ -44,6 +46,18 @@ def _land_epss(spark: SparkSession, landing_dir: str, bronze_dir: str, day: date
     raise landing.FeedError(f"no score file for the two days before {day}") from failure
 
 
+def _update_silver(spark: SparkSession, bronze_dir: str, root: str, landed: str | None) -> int:
+    """Bring the versioned master table up to date with the bronze tables, of which the folder ``landed`` is new."""
+    nvd = bronze.read_nvd_bronze(spark, f"{bronze_dir}/nvd")
+    if latest_version(spark, root):
+        new = bronze.read_or_none(spark, f"{bronze_dir}/nvd/{landed}", NVD_BRONZE) if landed else None
+        # Of an id that landed, the row that counts may still be that of another folder.
+        nvd = nvd.join(new.select("cve_id").distinct(), "cve_id", "left_semi") if new is not None else None
+    history = bronze.read_or_none(spark, f"{bronze_dir}/epss")
+    epss = bronze.latest_snapshot(history) if history is not None else None
+    return update_master(spark, root, nvd, bronze.read_kev_bronze(spark, f"{bronze_dir}/kev"), epss)
+
+
 def daily_ingest(
     spark: SparkSession,
     landing_dir: str,
@@ -54,10 +68,13 @@ def daily_ingest(
     nvd_lines: bool = False,
     sources: tuple[str, ...] = SOURCES,
     skip_silver: bool = False,
+    incremental: bool = False,
 ) -> IngestResult:
     """One run; running it again for the same day replaces what it wrote.
 
-    ``nvd_lines`` reads record files with one record a line, which split across tasks.
+    ``nvd_lines`` reads record files with one record a line, which split across tasks. With ``incremental`` the master
+    table is the versioned one under ``silver/cve_master_versions``, of which only buckets with changed ids are rewritten
+    and which readers see as it was until the run has published it; else it is rebuilt in place.
     """
     bronze_dir, silver = f"{data_dir}/bronze", f"{data_dir}/silver/cve_master"
     since = epss_day = passed = None
@@ -75,9 +92,13 @@ def daily_ingest(
         bronze.read_or_none(spark, f"{bronze_dir}/{name}") is not None for name in ("nvd", "kev")
     )
     if ready:
-        build_silver(spark, bronze_dir, silver)
-        passed = validate_master(spark, silver, f"{data_dir}/validation").select(
-            F.col("passed")
-        ).first()["passed"]
+        if incremental:
+            silver = f"{data_dir}/silver/cve_master_versions"
+            _update_silver(spark, bronze_dir, silver, f"since={since.isoformat()}" if since else None)
+            summary = validate_rows(spark, read_master(spark, silver), silver, f"{data_dir}/validation")
+        else:
+            build_silver(spark, bronze_dir, silver)
+            summary = validate_master(spark, silver, f"{data_dir}/validation")
+        passed = summary.select(F.col("passed")).first()["passed"]
     fell_back = epss_day is not None and epss_day < target - timedelta(days=1)
     return IngestResult(since, epss_day, "kev" in sources, ready, passed, fell_back)

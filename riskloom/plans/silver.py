@@ -13,7 +13,7 @@ from riskloom.operators.quality import master_rules, roll_up, validate
 from riskloom.schemas import CVE_MASTER, conform
 from riskloom.sources import bronze
 
-_FROM_NVD = CVE_MASTER.names[:12]
+FROM_NVD = CVE_MASTER.names[:12]
 
 
 def build_master(
@@ -24,7 +24,7 @@ def build_master(
     ``epss`` is one snapshot; without it the score columns are typed nulls.
     Both joins are on the id, so the vulnerability rows shuffle at most once.
     """
-    base = nvd.select(*_FROM_NVD)
+    base = nvd.select(*FROM_NVD)
     if epss is not None:
         # One row per id; between rows of one day the larger score counts.
         newest = keep_last(epss, ["cve_id"], ["snapshot_date", "epss_score", "epss_percentile"])
@@ -56,15 +56,19 @@ def build_silver(
 
 def validate_master(spark: SparkSession, silver_path: str, result_path: str | None = None) -> DataFrame:
     """Summary of all checks on the stored master table, optionally written as JSON."""
-    table = bronze.read_or_none(spark, silver_path)
+    return validate_rows(spark, bronze.read_or_none(spark, silver_path), silver_path, result_path)
+
+
+def validate_rows(spark: SparkSession, table: DataFrame | None, name: str, result_path: str | None = None) -> DataFrame:
+    """The same on rows at hand; without any table the check is that it is missing."""
     if table is None:
         results = spark.createDataFrame(
-            [("present", 0, 1, False, f"missing table: {silver_path}")],
+            [("present", 0, 1, False, f"missing table: {name}")],
             "check string, n_rows bigint, n_bad bigint, passed boolean, detail string",
         )
     else:
         results = validate(table, CVE_MASTER, master_rules())
-    summary = roll_up(results, silver_path)
+    summary = roll_up(results, name)
     if result_path:
         summary.write.mode("overwrite").json(result_path)
     return summary
