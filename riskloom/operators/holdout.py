@@ -8,7 +8,7 @@ from datetime import date
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from riskloom.operators.ordering import number_all
+from riskloom.operators.ordering import at_or_before, order_statistic
 
 # Hex digits of the key digest that name a block, one entry per level.
 BLOCK_DIGITS = (6, 3, 0)
@@ -244,8 +244,14 @@ def ordered_split(
     min_train: int = 10,
     out: str = "is_train",
 ) -> DataFrame:
-    """Flag the first ``max(min_train, share * n)`` rows along a total order."""
-    numbered = number_all(rows, [F.col(c).asc() for c in order], out="_position")
-    # The numbered rows are stored, so counting them does not compute them again.
-    cut = max(min_train, int(numbered.count() * train_share))
-    return numbered.withColumn(out, F.col("_position") <= cut).drop("_position")
+    """Flag the first ``max(min_train, share * n)`` rows along a total order.
+
+    The last row to be flagged is found by counting, days first and ids of its day after that; rows are not sorted.
+    Rows that are equal in the order are flagged alike.
+    """
+    n = rows.count()
+    cut = max(min_train, int(n * train_share))
+    if n <= cut:
+        return rows.withColumn(out, F.lit(True))
+    bound = order_statistic(rows, cut, order)
+    return rows.withColumn(out, at_or_before(bound, order, rows.schema))

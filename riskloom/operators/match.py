@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,12 +35,19 @@ def product_index(nvd: DataFrame) -> DataFrame | None:
         versions = F.transform(tidy, lambda v: F.lower(v))
     else:
         versions = F.lit(None).cast("array<string>")
-    return (
-        nvd.select("cve_id", versions.alias("versions"), F.explode("products").alias("_p"))
-        .where(F.col("_p").isNotNull())
-        .select(F.lower("_p").alias("product"), "cve_id", "versions")
-        .distinct()
-    )
+    # Names repeat within a row only, as the table holds an id once; so nothing is shuffled to tell them apart.
+    products = F.array_distinct(F.transform(F.filter("products", lambda p: p.isNotNull()), lambda p: F.lower(p)))
+    return nvd.select(F.explode(products).alias("product"), "cve_id", versions.alias("versions"))
+
+
+def version_pairs(index: DataFrame) -> DataFrame:
+    """(product, version, cve_id) of every version that an index row lists."""
+    return index.select("product", F.explode("versions").alias("_version"), "cve_id")
+
+
+def unversioned(index: DataFrame) -> DataFrame:
+    """(product, cve_id) of index rows that list no version, so that no version can confirm or refute them."""
+    return index.where(F.coalesce(F.size("versions"), F.lit(0)) == 0).select("product", "cve_id")
 
 
 def inline_matches(components: DataFrame, inline: DataFrame) -> DataFrame:
@@ -65,7 +74,9 @@ def inline_matches(components: DataFrame, inline: DataFrame) -> DataFrame:
 def index_matches(components: DataFrame, index: DataFrame) -> DataFrame:
     """Matches by product name, confirmed or ruled out by version where both sides have one.
 
-    The version test runs once per distinct (name, version), not per component.
+    Each distinct (name, version) is looked up once, in three parts: with a version by name and version at once and by
+    name among entries without versions, without a version by name alone. A name whose versions don't fit yields no row
+    on the way, so a product with very many vulnerabilities costs no more than its matches.
     """
     parts = compute_once(
         components, ["doc_id", "pos", "purl", "name", "version"], purl_parts(F.col("purl")), "_u"
@@ -78,16 +89,15 @@ def index_matches(components: DataFrame, index: DataFrame) -> DataFrame:
         F.lower(F.coalesce(none_if_empty(F.col("_u.name")), F.col("name"))).alias("product"),
         F.coalesce(F.lower(version), F.lit("")).alias("_version"),
     ).where(F.col("product") != "")
-    comparable = (F.col("_version") != "") & (F.coalesce(F.size("versions"), F.lit(0)) > 0)
-    confirmed = comparable & F.array_contains("versions", F.col("_version"))
-    resolved = (
-        wanted.select("product", "_version")
-        .distinct()
-        .join(index, "product")
-        .withColumn("match_method", F.when(confirmed, EXACT).when(~comparable, NAME))
-        .where(F.col("match_method").isNotNull())
-        .select("product", "_version", "cve_id", "match_method")
+    asked = wanted.select("product", "_version").distinct()
+    versioned, bare = asked.where("_version <> ''"), asked.where("_version = ''")
+    parts = (
+        (versioned.join(version_pairs(index).where("_version <> ''"), ["product", "_version"]), EXACT),
+        (versioned.join(unversioned(index), "product"), NAME),
+        (bare.join(index.select("product", "cve_id"), "product"), NAME),
     )
+    found = [part.select("product", "_version", "cve_id", F.lit(method).alias("match_method")) for part, method in parts]
+    resolved = reduce(DataFrame.unionByName, found).distinct()
     exact = F.format_string(EXACT_REASON, "product", "_version")
     by_name = F.format_string(NAME_REASON, "product")
     return wanted.join(resolved, ["product", "_version"]).select(

@@ -11,9 +11,9 @@ from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.ml.feature import Bucketizer
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DataType, DateType, NumericType, TimestampNTZType, TimestampType
+from pyspark.sql.types import DataType, DateType, NumericType, StructType, TimestampNTZType, TimestampType
 
 from riskloom.session import cut_lineage
 
@@ -141,3 +141,61 @@ def number_in_groups(
     return null_safe_join(numbered, starts, [*groups, "_slice"]).select(
         *df.columns, (F.col("_here") + F.col("_before")).alias(out)
     )
+
+
+def number_along(df: DataFrame, order: Sequence[Column], *, groups: Sequence[str], out: str = "position") -> DataFrame:
+    """1..n along ``order`` (total) within each group, as BIGINT; null groups count like others.
+
+    Rows are dealt by ranges of the group and the whole order, so that a group with a large share of all rows is spread
+    over many tasks even where its leading values are equal. Within a range rows are numbered as they are stored, and each
+    range starts from the counts of the group in the ranges before it.
+    """
+    along = [*[F.col(g).asc() for g in groups], *order]
+    placed = cut_lineage(
+        df.repartitionByRange(*along).sortWithinPartitions(*along).withColumn("_slot", F.monotonically_increasing_id())
+    ).withColumn("_part", F.shiftright("_slot", 33))
+    # One row per group and range.
+    parts = placed.groupBy(*groups, "_part").agg(F.count(F.lit(1)).alias("_n"), F.min("_slot").alias("_lo"))
+    before = Window.partitionBy(*groups).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = parts.select(*groups, "_part", "_lo", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    return null_safe_join(placed, starts, [*groups, "_part"]).select(
+        *df.columns, (F.col("_slot") - F.col("_lo") + F.col("_before") + 1).alias(out)
+    )
+
+
+def order_statistic(df: DataFrame, place: int, order: Sequence[str]) -> Row | None:
+    """The row number ``place`` (from 1) along the columns of ``order``, nulls first; ``None`` beyond the last row.
+
+    Rows are counted per value of the first column; only those of the value that holds the place go on to the next
+    column. So no more is sorted than the rows that share all leading values.
+    """
+    first, rest = order[0], order[1:]
+    counts = df.groupBy(first).agg(F.count(F.lit(1)).alias("_n"))
+    numbered = cut_lineage(number_all(counts, [F.col(first).asc()], "_place"))
+    # Running totals over ranges of the numbers, whose sums are carried from range to range.
+    ranged = numbered.withColumn("_range", F.floor(F.col("_place") / 100_000))
+    sums = ranged.groupBy("_range").agg(F.sum("_n").alias("_sum"))
+    before = Window.partitionBy().orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    carried = sums.select("_range", F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_before"))
+    here = Window.partitionBy("_range").orderBy("_place").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    totals = ranged.join(carried, "_range").withColumn("_upto", F.col("_before") + F.sum("_n").over(here))
+    held = totals.where(F.col("_upto") >= place).agg(F.min_by(F.struct(first, "_n", "_upto"), "_upto").alias("_v")).first()["_v"]
+    if held is None:
+        return None
+    value, count, upto = held
+    if not rest or count == 1:
+        own = df.where(F.col(first).eqNullSafe(F.lit(value).cast(df.schema[first].dataType)))
+        return own.select(*order).first()
+    inside = df.where(F.col(first).eqNullSafe(F.lit(value).cast(df.schema[first].dataType)))
+    later = order_statistic(inside.select(*rest), place - (upto - count), rest)
+    return Row(**{first: value, **later.asDict()})
+
+
+def at_or_before(bound: Row, order: Sequence[str], schema: StructType) -> Column:
+    """Whether a row's columns of ``order`` come no later than ``bound``'s, nulls first."""
+    name = order[0]
+    value, column = bound[name], F.col(name)
+    same = column.eqNullSafe(F.lit(value).cast(schema[name].dataType))
+    less = F.lit(False) if value is None else column.isNull() | (column < F.lit(value).cast(schema[name].dataType))
+    less = F.coalesce(less, F.lit(False))
+    return less | (same & at_or_before(bound, order[1:], schema)) if len(order) > 1 else less | same

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskloom.functions.scalars import clamp01
-from riskloom.operators.ordering import number_in_groups
+from riskloom.operators.ordering import number_along
 
 Kind = Literal["residual", "probability"]
 
@@ -90,17 +90,15 @@ def rank_matches(
     doc: str = "doc_id",
     key: str = "cve_id",
     ties: Sequence[str] = ("tier", "pos"),
-    slices: int = 256,
 ) -> DataFrame:
     """Add ``rank``: probability, then base score (null as 0), both descending, then id and ``ties``.
 
-    A document's rows are ranked in ``slices`` equal spans of probability, so that a very long one is shared by many tasks.
+    A very long document is shared by many tasks, by ranges of that whole order, whatever its probabilities.
     """
-    step = F.floor(F.coalesce(F.col("probability"), F.lit(-1.0)) * slices)
     order = [
         F.col("probability").desc(),
         F.coalesce("cvss_v3_base_score", F.lit(0.0)).desc(),
         F.col(key).asc(),
         *[F.col(c).asc() for c in ties],
     ]
-    return number_in_groups(scored, order, groups=[doc], slice_of=-step, out="rank")
+    return number_along(scored, order, groups=[doc], out="rank")

@@ -14,6 +14,7 @@ from riskloom.operators.flatten import flatten_nvd
 from riskloom.operators.once import compute_once
 from riskloom.schemas import EPSS_BRONZE, KEV_BRONZE, NVD_BRONZE, conform
 from riskloom.session import spread
+from riskloom.sources.pages import page_records
 
 # Catalog field names and their columns.
 KEV_FIELDS = {
@@ -44,8 +45,10 @@ class FeedError(RuntimeError):
     """A landed feed is malformed or holds no usable row."""
 
 
-def _entries(spark: SparkSession, path: str) -> DataFrame:
+def _entries(spark: SparkSession, path: str, split_pages: bool = False) -> DataFrame:
     """One row per element of each file's ``vulnerabilities`` list, as raw JSON text."""
+    if split_pages:
+        return page_records(spark, path)
     files = spark.read.text(path, wholetext=True).select(
         F.col("_metadata.file_name").alias("_file"),
         F.from_json("value", "vulnerabilities array<string>").alias("_doc"),
@@ -69,9 +72,9 @@ def kev_rows(entries: DataFrame, text: str = "_json", order: tuple[str, ...] = (
     return conform(keep_first(usable, ["cve_id"], places), KEV_BRONZE)
 
 
-def read_kev(spark: SparkSession, path: str) -> DataFrame:
-    """Exploit catalog files; an absent list or no usable row is an error."""
-    rows = kev_rows(_entries(spark, path))
+def read_kev(spark: SparkSession, path: str, *, split_pages: bool = False) -> DataFrame:
+    """Exploit catalog files; an absent list or no usable row is an error. ``split_pages``: see ``read_nvd``."""
+    rows = kev_rows(_entries(spark, path, split_pages))
     if rows.isEmpty():
         raise FeedError(f"no usable catalog entries in {path}")
     return rows
@@ -128,11 +131,11 @@ def nvd_rows(
     return conform(keep_first(flat, ["cve_id"], places), NVD_BRONZE)
 
 
-def read_nvd(spark: SparkSession, path: str, *, lines: bool = False) -> DataFrame:
+def read_nvd(spark: SparkSession, path: str, *, lines: bool = False, split_pages: bool = False) -> DataFrame:
     """Vulnerability records from page files (a ``vulnerabilities`` list) or one per line.
 
-    Line files split across tasks; page files are read one task each. Files
-    without a single usable record are an error.
+    Line files split across tasks; page files are read one task each, or with ``split_pages`` by byte range, for files
+    too large for one task. Files without a single usable record are an error.
     """
     if lines:
         entries = spark.read.text(path).select(
@@ -143,7 +146,7 @@ def read_nvd(spark: SparkSession, path: str, *, lines: bool = False) -> DataFram
             F.col("value").alias("_json"),
         )
     else:
-        entries = _entries(spark, path)
+        entries = _entries(spark, path, split_pages)
     rows = nvd_rows(entries)
     if rows.isEmpty():
         raise FeedError(f"no usable vulnerability records in {path}")

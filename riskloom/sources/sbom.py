@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskloom.functions.identifiers import component_purl, cve_id_in
 from riskloom.functions.scalars import none_if_empty
 from riskloom.operators.once import compute_once
-from riskloom.session import spread
+from riskloom.session import cut_lineage, spread
 
 _ENVELOPE = "bomFormat string, specVersion string, components string, vulnerabilities string, _broken string"
 _COMPONENT = "struct<type:string,`bom-ref`:string,name:string,version:string,purl:string>"
@@ -55,12 +55,24 @@ def parse_documents(documents: DataFrame, *, doc: str = "doc_id", text: str = "j
         .when(~listed & ~absent, "components is not a list")
     )
     judged = opened.withColumn("reason", reason)
-    accepted = judged.where("reason is null")
-    # Elements stay text until they are rows, so one odd element cannot spoil its list.
-    elements = accepted.select(
-        "doc_id", F.posexplode(F.from_json("components", "array<string>")).alias("pos", "_e")
-    ).where(F.startswith(F.trim("_e"), F.lit("{")))
-    parsed = compute_once(elements, ["doc_id", "pos"], F.from_json("_e", _COMPONENT), "_c")
+    # Elements stay text until they are rows, so one odd element cannot spoil its list. They are stored once, as rows of
+    # all kinds, so that components, stated matches and rejects come from one pass over the documents.
+    element = "array<struct<kind:string,pos:int,text:string>>"
+
+    def listed_as(kind: str, column: str) -> Column:
+        texts = F.from_json(column, "array<string>")
+        rows = F.transform(texts, lambda e, i: F.struct(F.lit(kind).alias("kind"), i.alias("pos"), e.alias("text")))
+        return F.coalesce(rows.cast(element), F.array().cast(element))
+
+    refused = F.array(F.struct(F.lit("reject").alias("kind"), F.lit(0).alias("pos"), F.col("reason").alias("text"))).cast(element)
+    every = F.when(F.col("reason").isNotNull(), refused).otherwise(F.concat(listed_as("component", "components"), listed_as("finding", "vulnerabilities")))
+    elements = cut_lineage(judged.select("doc_id", F.explode(every).alias("_x")).select("doc_id", "_x.*"))
+
+    def of_kind(kind: str) -> DataFrame:
+        return elements.where(F.col("kind") == kind).select("doc_id", "pos", F.col("text").alias("_e"))
+
+    objects = of_kind("component").where(F.startswith(F.trim("_e"), F.lit("{")))
+    parsed = compute_once(objects, ["doc_id", "pos"], F.from_json("_e", _COMPONENT), "_c")
     entry = parsed.select(
         "doc_id",
         "pos",
@@ -73,14 +85,11 @@ def parse_documents(documents: DataFrame, *, doc: str = "doc_id", text: str = "j
         none_if_empty(F.col("_c.bom-ref")).alias("_ref"),
     )
     components = entry.withColumn("bom_ref", F.coalesce("_ref", "purl")).drop("_ref")
-    listing = accepted.select(
-        "doc_id", F.explode(F.from_json("vulnerabilities", "array<string>")).alias("_e")
-    )
-    findings = compute_once(listing, ["doc_id"], F.from_json("_e", _VULNERABILITY), "_v")
+    findings = compute_once(of_kind("finding"), ["doc_id"], F.from_json("_e", _VULNERABILITY), "_v")
     affected = findings.select(
         "doc_id", cve_id_in(F.col("_v.id")).alias("cve_id"), F.explode("_v.affects").alias("_a")
     )
     stated = compute_once(
         affected, ["doc_id", "cve_id"], F.from_json("_a", "ref string")["ref"], "ref"
     ).where("cve_id is not null and ref is not null")
-    return Inventory(components, stated, judged.where("reason is not null").select("doc_id", "reason"))
+    return Inventory(components, stated, of_kind("reject").select("doc_id", F.col("_e").alias("reason")))

@@ -24,12 +24,15 @@ EPSS_LANDED = StructType(
 
 
 def score_file_stream(spark: SparkSession, landing_dir: str, files_per_batch: int = 1000) -> DataFrame:
-    """Rows of newly landed score files; the day comes from the file's path."""
+    """Rows of newly landed score files; the day comes from the file's path.
+
+    The first three columns are read, whatever follows them; where they are not id, score and percentile the batch fails
+    on the first score that is no number.
+    """
     raw = (
         spark.readStream.schema(EPSS_CSV)
         .option("header", True)
         .option("comment", "#")
-        .option("enforceSchema", False)
         .option("maxFilesPerTrigger", files_per_batch)
         .option("recursiveFileLookup", True)
         .csv(landing_dir)
