@@ -7,14 +7,16 @@ from dataclasses import dataclass
 from typing import Literal
 
 from pyspark.ml import PipelineModel
-from pyspark.ml.classification import GBTClassifier, LogisticRegression
+from pyspark.ml.classification import GBTClassificationModel, GBTClassifier, LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import GBTRegressor, IsotonicRegression
-from pyspark.sql import Column, DataFrame
+from pyspark.ml.regression import GBTRegressionModel, GBTRegressor
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskloom.functions.scalars import clamp01
+from riskloom.operators.isotonic import isotonic_blocks, isotonic_value
+from riskloom.plans.leafwise import bin_edges, fit_leafwise, with_bins
 
 Task = Literal["regression", "classification"]
 VECTOR = "_features"
@@ -22,10 +24,11 @@ VECTOR = "_features"
 
 @dataclass(frozen=True)
 class BoosterParams:
-    """Booster settings. Trees grow level by level, so there is no leaf count to set."""
+    """Booster settings. Trees grow best leaf first up to ``num_leaves``, or level by level if that is 0."""
 
     max_iter: int = 50
     max_depth: int = 6
+    num_leaves: int = 31
     min_instances: int = 50
     step_size: float = 0.05
     subsampling: float = 0.8
@@ -62,41 +65,82 @@ def fit_booster(
     target: str,
     params: BoosterParams,
     task: Task = "regression",
+    edges: Sequence[Sequence[float]] | None = None,
 ):
     """Fit on rows that carry the assembled vector; validation only stops the boosting early.
 
-    The validation error of every round is read off one full fit. If an
-    earlier round was best, the ensemble is fitted again with that many rounds:
-    rounds do not depend on the later ones, so these are the same trees.
+    The validation error of every round is known from one fit; the ensemble is cut after the best one. With ``edges`` the
+    rows have been binned by them already.
     """
     low, high = train.agg(F.min(target), F.max(target)).first()
     if low is None or low == high:
         raise DegenerateTarget(f"target '{target}' is constant or empty; nothing to fit")
-    kind = GBTRegressor if task == "regression" else GBTClassifier
-
-    def estimator(rounds: int):
-        return kind(
-            featuresCol=VECTOR,
-            labelCol=target,
-            maxIter=rounds,
-            maxDepth=params.max_depth,
-            minInstancesPerNode=params.min_instances,
-            stepSize=params.step_size,
-            subsamplingRate=params.subsampling,
-            featureSubsetStrategy=str(params.feature_share) if params.feature_share < 1 else "all",
-            maxBins=params.max_bins,
+    if params.num_leaves:
+        if edges is None:
+            edges = bin_edges(train, VECTOR, params.max_bins)
+            train = with_bins(train, VECTOR, edges)
+            valid = with_bins(valid, VECTOR, edges) if valid is not None else None
+        return fit_leafwise(
+            train,
+            valid,
+            edges,
+            target=target,
+            vector=VECTOR,
+            task=task,
+            rounds=params.max_iter,
+            leaves=params.num_leaves,
+            depth=params.max_depth,
+            min_instances=params.min_instances,
+            step_size=params.step_size,
+            subsampling=params.subsampling,
+            feature_share=params.feature_share,
+            patience=params.patience,
             seed=params.seed,
         )
-
-    model = estimator(params.max_iter).fit(train)
+    model = level_booster(target, params, task).fit(train)
     if valid is None or valid.isEmpty():
         return model
     if task == "regression":
         errors = model.evaluateEachIteration(valid, "squared")
     else:
         errors = model.evaluateEachIteration(valid)
-    keep = _best_round(errors, params.patience)
-    return model if keep == params.max_iter else estimator(keep).fit(train)
+    return first_rounds(model, _best_round(errors, params.patience))
+
+
+def level_booster(target: str, params: BoosterParams, task: Task = "regression"):
+    """Spark ML's own booster, whose trees grow level by level."""
+    kind = GBTRegressor if task == "regression" else GBTClassifier
+    return kind(
+        featuresCol=VECTOR,
+        labelCol=target,
+        maxIter=params.max_iter,
+        maxDepth=params.max_depth,
+        minInstancesPerNode=params.min_instances,
+        stepSize=params.step_size,
+        subsamplingRate=params.subsampling,
+        featureSubsetStrategy=str(params.feature_share) if params.feature_share < 1 else "all",
+        maxBins=params.max_bins,
+        seed=params.seed,
+    )
+
+
+def first_rounds(model, rounds: int):
+    """The ensemble of the first trees and weights; trees do not depend on later ones, so a shorter fit gives the same."""
+    trees, weights = model._java_obj.trees(), model._java_obj.treeWeights()
+    if rounds >= len(trees):
+        return model
+    spark = SparkSession.active()
+    jvm, gateway = spark._jvm, spark.sparkContext._gateway
+    kept_trees = gateway.new_array(jvm.org.apache.spark.ml.regression.DecisionTreeRegressionModel, rounds)
+    kept_weights = gateway.new_array(jvm.double, rounds)
+    for i in range(rounds):
+        kept_trees[i], kept_weights[i] = trees[i], weights[i]
+    uid, size = f"{model.uid}_first_{rounds}", model.numFeatures
+    if isinstance(model, GBTRegressionModel):
+        made = GBTRegressionModel(jvm.org.apache.spark.ml.regression.GBTRegressionModel(uid, kept_trees, kept_weights))
+    else:
+        made = GBTClassificationModel(jvm.org.apache.spark.ml.classification.GBTClassificationModel(uid, kept_trees, kept_weights, size, 2))
+    return model._copyValues(made)
 
 
 def predicted(model, rows: DataFrame, *, task: Task = "regression", out: str = "predicted") -> DataFrame:
@@ -115,9 +159,16 @@ def as_pipeline(features: Sequence[str], model) -> PipelineModel:
 
 
 def importances(model, features: Sequence[str]) -> dict[str, float]:
-    """Gain share per feature."""
-    values = model.featureImportances.toArray()
-    return {name: float(value) for name, value in zip(features, values)}
+    """Gain per feature: how much its splits lower the sum of squares that each tree was fitted to."""
+    gains = [0.0] * len(features)
+    for tree in model._java_obj.trees():
+        open_nodes = [tree.rootNode()]
+        while open_nodes:
+            node = open_nodes.pop()
+            if node.getClass().getSimpleName() == "InternalNode":
+                gains[node.split().featureIndex()] += node.gain() * node.impurityStats().count()
+                open_nodes += [node.leftChild(), node.rightChild()]
+    return dict(zip(features, gains))
 
 
 class Calibrator:
@@ -132,9 +183,7 @@ class Calibrator:
         if self.model is None:
             return df.withColumn(out, clamp01(F.col(score)))
         if self.method == "isotonic":
-            return self.model.transform(df.withColumn("_x", F.col(score).cast("double"))).select(
-                *df.columns, clamp01(F.col("prediction")).alias(out)
-            )
+            return isotonic_value(df, self.model, score=score, out=out)
         rows = VectorAssembler(inputCols=[score], outputCol="_x").transform(df)
         return self.model.transform(rows).select(*df.columns, vector_to_array("probability")[1].alias(out))
 
@@ -144,7 +193,7 @@ def fit_calibrator(
 ) -> Calibrator:
     """Isotonic or logistic map from score to probability; identity when there is one class.
 
-    Rows are added up per (score, label) first and fitted with weights.
+    Rows are added up per score and label first. The isotonic map stays a table of blocks.
     """
     y: Column = F.col(label).cast("double")
     weighted = (
@@ -155,8 +204,7 @@ def fit_calibrator(
     if n is None or low == high:
         return Calibrator("identity")
     if method == "isotonic":
-        fitted = IsotonicRegression(featuresCol="_x", labelCol="_y", weightCol="_w").fit(weighted)
-        return Calibrator(method, fitted)
+        return Calibrator(method, isotonic_blocks(df, score=score, label=label))
     if method == "sigmoid":
         rows = VectorAssembler(inputCols=["_x"], outputCol="_v").transform(weighted)
         # A ridge of 1/n on the mean loss is a unit ridge on the summed loss.

@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import hashlib
 import json
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterable, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import asdict, dataclass, field, replace
 from datetime import date, datetime, timezone
 from functools import reduce
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import PipelineModel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskloom.operators.assemble import feature_names
@@ -28,6 +30,7 @@ from riskloom.plans.boosting import (
     importances,
     predicted,
 )
+from riskloom.plans.leafwise import bin_edges, with_bins
 from riskloom.session import cut_lineage, kept
 
 MODEL_VERSION = "gbt@v0.1.0"
@@ -52,7 +55,10 @@ class TrainConfig:
     holdout: HoldoutConfig = HoldoutConfig()
     booster: BoosterParams = BoosterParams()
     depth_grid: tuple[int, ...] = (6, 8, 12)
+    leaves_grid: tuple[int, ...] = (31, 63, 127)
     min_instances_grid: tuple[int, ...] = (20, 50, 150)
+    #: Fits that run side by side, each in a scheduler pool of its own; 1 runs them one after another.
+    parallel_fits: int = 4
 
 
 class NotEnoughData(RuntimeError):
@@ -79,24 +85,50 @@ def blended(df: DataFrame, *, baseline: str = BASELINE, out: str = "score") -> D
 
 
 def greedy_search(
-    start: BoosterParams, grid: dict[str, tuple[int, ...]], gain: Callable[[BoosterParams], float]
+    start: BoosterParams,
+    grid: dict[str, tuple[int, ...]],
+    gain: Callable[[BoosterParams], float],
+    each: Callable[[Callable, list], Iterable] = map,
 ) -> BoosterParams:
-    """Settle one parameter after the other; of equal values the first wins, NaN loses."""
-    seen: dict[BoosterParams, float] = {}
-
-    def value(params: BoosterParams) -> float:
-        if params not in seen:
-            result = gain(params)
-            seen[params] = result if result == result else -1.0
-        return seen[params]
+    """Settle one parameter after the other; of equal values the first wins, NaN loses.
 
+    ``each`` maps over the choices of one parameter, which do not depend on one another.
+    """
+    seen: dict[BoosterParams, float] = {}
     best = start
     for name, choices in grid.items():
         if choices:
-            best = max((replace(best, **{name: choice}) for choice in choices), key=value)
+            tried = [replace(best, **{name: choice}) for choice in choices]
+            new = [p for p in dict.fromkeys(tried) if p not in seen]
+            seen.update((p, v if v == v else -1.0) for p, v in zip(new, each(gain, new)))
+            best = max(tried, key=seen.__getitem__)
     return best
 
 
+def side_by_side(spark: SparkSession, workers: int, label: str) -> Callable[[Callable, list], list]:
+    """A ``map`` that runs calls at once, each in a scheduler pool of its own; results keep the order of the inputs.
+
+    With the scheduler in FAIR mode the jobs of the pools share the executors.
+    """
+
+    def each(function: Callable, inputs: list) -> list:
+        def call(number: int, value):
+            before = spark.sparkContext.getLocalProperty("spark.scheduler.pool")
+            spark.sparkContext.setLocalProperty("spark.scheduler.pool", f"{label}-{number}")
+            try:
+                return function(value)
+            finally:
+                spark.sparkContext.setLocalProperty("spark.scheduler.pool", before)
+
+        inputs = list(inputs)
+        if workers < 2 or len(inputs) < 2:
+            return [function(value) for value in inputs]
+        with ThreadPoolExecutor(min(workers, len(inputs))) as pool:
+            return [f.result() for f in [pool.submit(inheritable_thread_target(call), i, v) for i, v in enumerate(inputs)]]
+
+    return each
+
+
 def run_id(content: str, config: TrainConfig, now: datetime) -> str:
     """Digest of the training content and the settings, with a readable time."""
     text = content + json.dumps(asdict(config), sort_keys=True, default=str)
@@ -147,8 +179,10 @@ def _train_closed(closed: DataFrame, features: list[str], config: TrainConfig) -
     data = assembler(features).transform(with_residual(rows.frame)).select(
         "cve_id", DAY, LABEL, BASELINE, "_target", VECTOR
     )
-    with kept(data) as stored:
-        tuned, models, per_fold, average = _run_folds(stored, folds, config)
+    # Binned once for all folds and settings: the edges are quantiles of all rows before the holdout.
+    edges = bin_edges(data, VECTOR, config.booster.max_bins)
+    with kept(with_bins(data, VECTOR, edges)) as stored:
+        tuned, models, per_fold, average = _run_folds(stored, edges, folds, config)
 
     # The last fold's fit is the final fit: same rows, same settings, same seed.
     last = max(models)
@@ -189,7 +223,7 @@ def _train_closed(closed: DataFrame, features: list[str], config: TrainConfig) -
     return TrainingRun(as_pipeline(features, final), metadata)
 
 
-def _run_folds(data: DataFrame, folds: Sequence[Fold], config: TrainConfig):
+def _run_folds(data: DataFrame, edges: list[list[float]], folds: Sequence[Fold], config: TrainConfig):
     """Tuned settings and model of every usable fold, metrics per fold, and their means."""
     summary = fold_summary(assign_folds(data.select(DAY, LABEL), folds, day=DAY), day=DAY, label=LABEL)
     # At most two rows per fold.
@@ -200,11 +234,17 @@ def _run_folds(data: DataFrame, folds: Sequence[Fold], config: TrainConfig):
         if positives.get((f.number, "train"), 0) >= 1 and positives.get((f.number, "valid"), 0) >= 1
     ]
     _guard(bool(usable), "no usable fold; check the label balance")
-    tuned, models, scored = {}, {}, []
+    spark = data.sparkSession
+
+    def fit(fold: Fold):
+        return _fit_fold(*fold_rows(data, fold, day=DAY), edges, config, f"fold-{fold.number}")
+
+    fitted = side_by_side(spark, config.parallel_fits, "fold")(fit, usable)
+    tuned = {fold.number: params for fold, (params, _) in zip(usable, fitted)}
+    models = {fold.number: model for fold, (_, model) in zip(usable, fitted)}
+    scored = []
     for fold in usable:
-        train_rows, valid = fold_rows(data, fold, day=DAY)
-        tuned[fold.number], models[fold.number] = _fit_fold(train_rows, valid, config)
-        made = blended(predicted(models[fold.number], valid))
+        made = blended(predicted(models[fold.number], fold_rows(data, fold, day=DAY)[1]))
         scored.append(made.select(F.lit(fold.number).alias("fold"), "cve_id", LABEL, "score"))
     # The metrics read the scores several times; the models run once.
     every = cut_lineage(reduce(DataFrame.unionByName, scored))
@@ -217,18 +257,20 @@ def _run_folds(data: DataFrame, folds: Sequence[Fold], config: TrainConfig):
     return tuned, models, per_fold, average
 
 
-def _fit_fold(train_rows: DataFrame, valid: DataFrame, config: TrainConfig):
-    grid = {"max_depth": config.depth_grid, "min_instances": config.min_instances_grid}
+def _fit_fold(train_rows: DataFrame, valid: DataFrame, edges: list[list[float]], config: TrainConfig, label: str):
+    grid = {"max_depth": config.depth_grid, "num_leaves": config.leaves_grid, "min_instances": config.min_instances_grid}
+    if not config.booster.num_leaves:
+        del grid["num_leaves"]
     fitted = {}
 
     def gain(params: BoosterParams) -> float:
-        fitted[params] = fit_booster(train_rows, valid, target="_target", params=params)
+        fitted[params] = fit_booster(train_rows, valid, target="_target", params=params, edges=edges)
         rows = cut_lineage(blended(predicted(fitted[params], valid)).select(LABEL, "score"))
         return evaluate(rows, label=LABEL, score="score").first()["auc_pr"]
 
-    best = greedy_search(config.booster, grid, gain)
+    best = greedy_search(config.booster, grid, gain, side_by_side(train_rows.sparkSession, config.parallel_fits, label))
     if best not in fitted:
-        fitted[best] = fit_booster(train_rows, valid, target="_target", params=best)
+        fitted[best] = fit_booster(train_rows, valid, target="_target", params=best, edges=edges)
     return best, fitted[best]
 
 

@@ -17,6 +17,7 @@ DEFAULTS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.parquet.compression.codec": "zstd",
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
+    "spark.scheduler.mode": "FAIR",
     "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
 }
 

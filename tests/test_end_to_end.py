@@ -27,6 +27,7 @@ TRAIN = TrainConfig(
     top_k=10,
     booster=BOOSTER,
     depth_grid=(2,),
+    leaves_grid=(4,),
     min_instances_grid=(5,),
     holdout=HoldoutConfig(holdout_days=60, min_rows=40),
 )
