@@ -11,6 +11,7 @@ from workloads import (  # noqa: F401
     labels,
     models,
     quality,
+    runs,
     storage,
 )
 from workloads.registry import ORACLES, QUERIES  # noqa: F401

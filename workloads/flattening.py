@@ -102,7 +102,7 @@ def nvd_records(spark: SparkSession, folder: str) -> DataFrame:
     return parts.select(F.col("p_partkey").alias("_pos"), text.alias("_json"))
 
 
-_NVD_FLAT = f"""
+NVD_FLAT = f"""
 SELECT {derived.cve_sql("CVE-2023-", "p_partkey")} AS cve_id, pub AS published_date,
   greatest(mod, pub) AS last_modified_date,
   CAST(CAST(CASE WHEN p_partkey % 3 = 1 THEN p_size / 5.0 WHEN p_partkey % 4 <> 0 THEN p_size / 10.0 END
@@ -129,7 +129,7 @@ FROM (SELECT *,
 """
 
 
-def _joined_lists(df: DataFrame) -> DataFrame:
+def joined_lists(df: DataFrame) -> DataFrame:
     for name, dtype in df.dtypes:
         if dtype == "array<string>":
             df = df.withColumn(name, F.array_join(name, "|"))
@@ -138,10 +138,10 @@ def _joined_lists(df: DataFrame) -> DataFrame:
     return df
 
 
-@query(_NVD_FLAT)
+@query(NVD_FLAT)
 def nvd_flatten(spark: SparkSession, folder: str) -> DataFrame:
     """Nested records to flat rows."""
-    return _joined_lists(flatten_nvd(nvd_records(spark, folder), "_json"))
+    return joined_lists(flatten_nvd(nvd_records(spark, folder), "_json"))
 
 
 @query(

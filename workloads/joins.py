@@ -79,24 +79,30 @@ as_of AS (
     GROUP BY nvd.cve_id, nvd.published_date))"""
 
 
-@query(
-    f"""
+AS_OF_SQL = f"""
     WITH {derived.NVD}, {derived.HISTORY}, {_AS_OF}
     SELECT cve_id, published_date, CAST(coalesce(epss_score, 0) AS DOUBLE) AS f_epss_score,
       CAST(coalesce(epss_percentile, 0) AS DOUBLE) AS f_epss_percentile FROM as_of
     """
-)
+
+
+@query(AS_OF_SQL)
 def asof_lookup_scores(spark: SparkSession, folder: str) -> DataFrame:
     """The score known at publication for every vulnerability."""
+    return scores_as_of(derived.nvd(spark, folder), derived.history(spark, folder))
+
+
+def scores_as_of(nvd: DataFrame, history: DataFrame, right_unique: bool = False) -> DataFrame:
     values = {"f_epss_score": "epss_score", "f_epss_percentile": "epss_percentile"}
     found = asof_lookup(
-        derived.nvd(spark, folder).select("cve_id", "published_date"),
-        derived.history(spark, folder),
+        nvd.select("cve_id", "published_date"),
+        history,
         on="cve_id",
         left_time="published_date",
         right_time="snapshot_date",
         values=values,
         fill=dict.fromkeys(values, 0.0),
+        right_unique=right_unique,
     )
     return found.select("cve_id", "published_date", *[F.col(v).cast("double").alias(v) for v in values])
 

@@ -69,7 +69,7 @@ def censor_counts(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-@query(
+SILVER_SQL = (
     derived.WITH_MASTER
     + """
     SELECT cve_id, published_date, last_modified_date, CAST(cvss_v3_base_score AS DOUBLE) AS cvss_v3_base_score,
@@ -79,9 +79,17 @@ def censor_counts(spark: SparkSession, folder: str) -> DataFrame:
     FROM master
     """
 )
+
+
+@query(SILVER_SQL)
 def silver_build(spark: SparkSession, folder: str) -> DataFrame:
     """The master table: latest score, first catalog entry and label per vulnerability."""
-    made = derived.master(spark, folder).withColumn("cwe_ids", F.array_join("cwe_ids", "|"))
+    return plain_master(derived.master(spark, folder))
+
+
+def plain_master(master: DataFrame) -> DataFrame:
+    """The master table in types that both engines print alike."""
+    made = master.withColumn("cwe_ids", F.array_join("cwe_ids", "|"))
     for name in ("cvss_v3_base_score", "epss_score", "epss_percentile"):
         made = made.withColumn(name, F.col(name).cast("double"))
     return made

@@ -8,14 +8,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskloom.operators.dedup import keep_last
+from riskloom.operators.ordering import slice_count
 from riskloom.plans.features import write_tabular_features, write_tag_features, write_temporal_features
+from riskloom.plans.incremental import read_master, update_master
 from riskloom.schemas import EPSS_BRONZE, KEV_BRONZE, NVD_BRONZE
 from riskloom.session import scratch_path
-from riskloom.sources import bronze, landing
+from riskloom.sources import bronze, buckets, landing
 from riskloom.streaming.ingest import ingest_scores
-from workloads import derived
+from workloads import derived, flattening, joins
 from workloads.features import _CALENDAR, _RATED_ALL, _TABULAR, _TAGGED, _counts, _plain, _summary
 from workloads.flattening import nvd_records
+from workloads.labels import SILVER_SQL, plain_master
 from workloads.registry import query, table
 
 # Scores dated by ship month, so that the number of daily files stays small at any scale.
@@ -124,6 +127,59 @@ def _stored_history(spark: SparkSession, folder: str) -> DataFrame:
     return bronze.read_epss_history(spark, path)
 
 
+def land_pages(records: DataFrame, path: str, pages: int) -> str:
+    """Write records (``_pos``, ``_json``) as that many page files, each one JSON object over many lines."""
+    page = F.pmod(F.col("_pos"), F.lit(pages)).alias("page")
+    first = F.min("_pos").alias("_first")
+    body = records.select(page, F.col("_pos").alias("_line"), F.concat(F.lit(","), "_json").alias("value"), F.lit(1).alias("_part"))
+    opening = F.lit('{"format": "a \\"vulnerabilities\\": [{ b", "more": {"a": [{"b": [1, "}"]}, 3]}, "vulnerabilities" : [ "none"')
+    ends = records.groupBy(page).agg(first).select("page", F.explode(F.array(F.lit(0), F.lit(2))).alias("_part"))
+    frame = ends.select(
+        "page", F.lit(0).cast("long").alias("_line"), F.when(F.col("_part") == 0, opening).otherwise('], "others": [{"cve": {"id": "CVE-1999-1"}}]}').alias("value"), "_part"
+    )
+    rows = body.unionByName(frame).repartition(pages, "page").sortWithinPartitions("page", "_part", "_line")
+    rows.select("page", "value").write.partitionBy("page").text(path)
+    return path
+
+
+@query(flattening.NVD_FLAT)
+def nvd_pages(spark: SparkSession, folder: str) -> DataFrame:
+    """Records out of large page files that are read by byte range."""
+    path = land_pages(nvd_records(spark, folder), scratch_path(spark, "pages"), 3)
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(256 * 1024))
+    try:
+        rows = landing.read_nvd(spark, path, split_pages=True)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    return flattening.joined_lists(rows)
+
+
+@query(joins.AS_OF_SQL)
+def asof_bucketed_scores(spark: SparkSession, folder: str) -> DataFrame:
+    """The score known at publication, from a history stored in buckets by id in two runs."""
+    path = scratch_path(spark, "buckets")
+    rows = derived.history(spark, folder)
+    early = F.col("snapshot_date") < F.lit(date(1996, 1, 1))
+    for part in (rows.where(early), rows.where(~early)):
+        buckets.store_history(part, path, buckets=max(8, slice_count(rows)))
+    return joins.scores_as_of(derived.nvd(spark, folder), buckets.read_history(spark, path), right_unique=True)
+
+
+@query(SILVER_SQL)
+def incremental_master(spark: SparkSession, folder: str) -> DataFrame:
+    """The master table published twice: first with stale rows, an older catalog and older scores, then by what changed."""
+    root = scratch_path(spark, "master")
+    nvd, kev, history = derived.nvd(spark, folder), derived.kev(spark, folder), derived.history(spark, folder)
+    stale = F.col("ref_has_exploit") & (F.col("vendor_count") == 0)
+    before = nvd.withColumn("description_len", F.when(stale, 1).otherwise(F.col("description_len")))
+    known = before.where(~stale | (F.col("product_count") > 0))
+    old_scores = history.where(F.col("snapshot_date") < F.lit(date(1998, 1, 1)))
+    update_master(spark, root, known, kev.where(F.col("date_added") < F.lit(date(1994, 1, 1))), old_scores, buckets=32)
+    update_master(spark, root, nvd.where(stale), kev, history)
+    return plain_master(read_master(spark, root))
+
+
 @query(
     f"""SELECT {derived.cve_sql("CVE-2023-", "p_partkey")} AS cve_id,
       CASE WHEN p_partkey % 5 = 0 THEN '' ELSE p_name END || CASE WHEN p_partkey % 2 = 0 THEN ' (revised)' ELSE '' END
