@@ -233,7 +233,9 @@ class _Ensemble:
         tree, value = self.jvm.org.apache.spark.ml.tree, _value(node) * self.unit * self.halved
         if node.left is None:
             return tree.LeafNode(value, 0.0, self._stats(node.sums.n, value))
-        split = tree.ContinuousSplit(node.feature, float(self.edges[node.feature][node.cut]))
+        own = self.edges[node.feature]
+        # Beyond the last edge only NaN goes right.
+        split = tree.ContinuousSplit(node.feature, float(own[node.cut]) if node.cut < len(own) else math.inf)
         gain = node.gain * self.unit**2 / UNITS / max(node.sums.n, 1)
         return tree.InternalNode(value, 0.0, gain, self._node(node.left), self._node(node.right), split, self._stats(node.sums.n, value))
 
@@ -245,7 +247,7 @@ class _Ensemble:
         kind = ml.regression.DecisionTreeRegressionModel
         trees = self.gateway.new_array(kind, len(roots))
         for i, root in enumerate(roots):
-            trees[i] = kind(f"tree_{i}", root, len(self.edges))
+            trees[i] = kind(f"tree_{i}", root, len(self.edges)).setFeaturesCol(vector)
         if task == "regression":
             made = GBTRegressionModel(ml.regression.GBTRegressionModel("leafwise", trees, self._doubles(weights)))
         else:

@@ -76,10 +76,10 @@ def test_odd_page_files(spark, tmp_path, small_ranges):
 
 def test_feeds_read_by_range_are_the_same(spark, tmp_path, small_ranges):
     records = [
-        {"cve": {"id": f"CVE-2020-{i % 40}", "published": "2020-01-02T00:00:00", "descriptions": [{"lang": "en", "value": f"}} no {i} {{"}]}}
+        {"cve": {"id": f"CVE-2020-{7000 + i % 40}", "published": "2020-01-02T00:00:00", "lastModified": "2020-02-02T00:00:00", "descriptions": [{"lang": "en", "value": f"}} no {i} {{"}]}}
         for i in range(50)
     ]
-    marks = [{"cveID": f"CVE-2020-{i}", "dateAdded": "2020-02-03", "notes": '"}'} for i in range(30)]
+    marks = [{"cveID": f"CVE-2020-{7000 + i}", "dateAdded": "2020-02-03", "notes": '"}'} for i in range(30)]
     for name, own in (("nvd", records), ("kev", marks)):
         (tmp_path / name).mkdir()
         for part in range(2):
