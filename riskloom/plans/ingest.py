@@ -72,7 +72,8 @@ def daily_ingest(
 ) -> IngestResult:
     """One run; running it again for the same day replaces what it wrote.
 
-    ``nvd_lines`` reads record files with one record a line, which split across tasks. With ``incremental`` the master
+    Page files of records and of the catalog are read by byte range, whatever their size; ``nvd_lines`` reads record files
+    with one record a line instead. With ``incremental`` the master
     table is the versioned one under ``silver/cve_master_versions``, of which only buckets with changed ids are rewritten
     and which readers see as it was until the run has published it; else it is rebuilt in place.
     """
@@ -80,11 +81,11 @@ def daily_ingest(
     since = epss_day = passed = None
     if "nvd" in sources:
         since = nvd_since or target - timedelta(days=365)
-        rows = landing.read_nvd(spark, f"{landing_dir}/nvd/*{since.isoformat()}*.json", lines=nvd_lines)
+        rows = landing.read_nvd(spark, f"{landing_dir}/nvd/*{since.isoformat()}*.json", lines=nvd_lines, split_pages=True)
         # A folder per start date: later folders win when ids repeat.
         bronze.write_table(rows, f"{bronze_dir}/nvd/since={since.isoformat()}", NVD_BRONZE)
     if "kev" in sources:
-        rows = landing.read_kev(spark, f"{landing_dir}/kev")
+        rows = landing.read_kev(spark, f"{landing_dir}/kev", split_pages=True)
         bronze.write_table(rows, f"{bronze_dir}/kev", KEV_BRONZE)
     if "epss" in sources:
         epss_day = _land_epss(spark, landing_dir, bronze_dir, target)

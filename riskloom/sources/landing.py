@@ -56,8 +56,8 @@ def _entries(spark: SparkSession, path: str, split_pages: bool = False) -> DataF
     return spread(files.select("_file", F.posexplode("_doc.vulnerabilities").alias("_pos", "_json")))
 
 
-def kev_rows(entries: DataFrame, text: str = "_json", order: tuple[str, ...] = ("_file", "_pos")) -> DataFrame:
-    """Catalog rows from JSON entries: usable ones only, the first per id."""
+def _usable_kev(entries: DataFrame, text: str, order: tuple[str, ...]) -> tuple[DataFrame, list[str]]:
+    """Catalog rows with an id and a day, and the columns that place them."""
     places = [f"_o{i}" for i in range(len(order))]
     placed = entries.select(text, *[F.col(name).alias(place) for name, place in zip(order, places)])
     parsed = compute_once(placed, places, F.from_json(text, _KEV_ENTRY), "_e").select(
@@ -69,15 +69,22 @@ def kev_rows(entries: DataFrame, text: str = "_json", order: tuple[str, ...] = (
         .withColumn("due_date", iso_date(F.col("due_date")))
         .where("cve_id is not null and date_added is not null")
     )
+    return usable, places
+
+
+def kev_rows(entries: DataFrame, text: str = "_json", order: tuple[str, ...] = ("_file", "_pos")) -> DataFrame:
+    """Catalog rows from JSON entries: usable ones only, the first per id."""
+    usable, places = _usable_kev(entries, text, order)
     return conform(keep_first(usable, ["cve_id"], places), KEV_BRONZE)
 
 
 def read_kev(spark: SparkSession, path: str, *, split_pages: bool = False) -> DataFrame:
     """Exploit catalog files; an absent list or no usable row is an error. ``split_pages``: see ``read_nvd``."""
-    rows = kev_rows(_entries(spark, path, split_pages))
-    if rows.isEmpty():
+    entries = _entries(spark, path, split_pages)
+    # The first usable entry tells; repeated ids need not be told apart for it.
+    if _usable_kev(entries, "_json", ())[0].isEmpty():
         raise FeedError(f"no usable catalog entries in {path}")
-    return rows
+    return kev_rows(entries)
 
 
 def read_epss_csv(spark: SparkSession, path: str, snapshot: date | None = None) -> DataFrame:
@@ -147,7 +154,7 @@ def read_nvd(spark: SparkSession, path: str, *, lines: bool = False, split_pages
         )
     else:
         entries = _entries(spark, path, split_pages)
-    rows = nvd_rows(entries)
-    if rows.isEmpty():
+    # The first usable record tells; repeated ids need not be told apart for it.
+    if flatten_nvd(entries, "_json").isEmpty():
         raise FeedError(f"no usable vulnerability records in {path}")
-    return rows
+    return nvd_rows(entries)

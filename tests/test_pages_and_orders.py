@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import random
+from datetime import date
 
 import pytest
 from pyspark.sql import functions as F
@@ -12,6 +13,8 @@ from riskloom.operators.holdout import ordered_split
 from riskloom.operators.match import EXACT, NAME, index_matches, product_index
 from riskloom.operators.ordering import at_or_before, number_along, order_statistic
 from riskloom.operators.score import rank_matches
+from riskloom.plans.ingest import daily_ingest
+from riskloom.sources import landing, pages
 from riskloom.sources.landing import read_kev, read_nvd
 from riskloom.sources.pages import page_records
 
@@ -89,6 +92,30 @@ def test_feeds_read_by_range_are_the_same(spark, tmp_path, small_ranges):
         assert sorted(map(str, read(spark, path, split_pages=True).collect())) == sorted(map(str, read(spark, path).collect()))
 
 
+@pytest.mark.parametrize("bits", [0, 2])
+def test_a_byte_range_is_cut_into_short_ranges(spark, tmp_path, monkeypatch, bits):
+    monkeypatch.setattr(pages, "SLICE_BITS", bits)
+    rng = random.Random(5)
+    want = [{"id": i, "v": odd_value(rng)} for i in range(40)]
+    for name, own in (("a", want[:15]), ("b", want[15:])):
+        (tmp_path / f"{name}.json").write_text(json.dumps({"vulnerabilities": own, "after": [{"id": 0}]}))
+    rows = page_records(spark, str(tmp_path)).orderBy("_file", "_pos").collect()
+    assert [json.loads(r["_json"]) for r in rows] == want
+
+
+def test_the_daily_batch_reads_no_page_whole(spark, tmp_path, monkeypatch):
+    record = {"cve": {"id": "CVE-2020-7001", "published": "2020-01-02T00:00:00", "lastModified": "2020-02-02T00:00:00"}}
+    for name, own in (("nvd/2020-01-01", record), ("kev/k", {"cveID": "CVE-2020-7001", "dateAdded": "2020-02-03"})):
+        path = tmp_path / "landing" / f"{name}.json"
+        path.parent.mkdir(parents=True)
+        path.write_text(json.dumps({"vulnerabilities": [own]}))
+    read = []
+    monkeypatch.setattr(landing, "page_records", lambda spark, path: read.append(path) or page_records(spark, path))
+    daily_ingest(spark, str(tmp_path / "landing"), str(tmp_path / "data"), date(2020, 3, 1), nvd_since=date(2020, 1, 1), sources=("nvd", "kev"))
+    assert len(read) == 2
+    assert spark.read.parquet(str(tmp_path / "data/silver/cve_master")).select("cve_id", "in_kev").collect() == [("CVE-2020-7001", True)]
+
+
 # -- orders
 
 
