@@ -221,3 +221,27 @@ def test_a_search_side_by_side_settles_on_the_same(spark):
     best = greedy_search(start, grid, gain, side_by_side(spark, 3, "s"))
     assert (best.max_depth, best.num_leaves, best.min_instances) == (8, 127, 20) and len(tried) == len(set(tried)) == 7
     assert best == greedy_search(start, grid, gain)
+
+
+def test_nothing_is_measured_that_follows_from_a_split(spark):
+    df, rows = table(spark)
+    edges = bin_edges(df, VECTOR, 16)
+    ready = with_bins(df, VECTOR, edges).select("_bins", (F.col("y") * UNITS).cast("long").alias("_g"), F.lit(UNITS).cast("long").alias("_h"))
+    root, jobs = grow_tree(ready, range(3), leaves=4, depth=2, min_instances=4)
+    assert jobs == 2
+    found = {}
+    for bins, g in ((r["_bins"], r["_g"]) for r in ready.collect()):
+        node = root
+        while node.left is not None:
+            node = node.left if bins[node.feature] <= node.cut else node.right
+        n, own = found.get(node.number, (0, 0))
+        found[node.number] = (n + 1, own + g)
+        assert node.depth <= 2 and node.sums.curvature == node.sums.n * UNITS
+    open_nodes, sums = [root], {}
+    while open_nodes:
+        node = open_nodes.pop()
+        if node.left is None:
+            sums[node.number] = (node.sums.n, node.sums.gradient)
+        else:
+            open_nodes += [node.left, node.right]
+    assert found == sums and len(sums) > 2
