@@ -71,6 +71,17 @@ def inline_matches(components: DataFrame, inline: DataFrame) -> DataFrame:
     )
 
 
+def with_lookup_keys(components: DataFrame) -> DataFrame:
+    """``components`` with the lower-cased product and version (empty if unknown) that they are looked up by."""
+    parts = compute_once(components, components.columns, purl_parts(F.col("purl")), "_u")
+    version = F.coalesce(none_if_empty(F.col("_u.version")), none_if_empty(F.col("version")))
+    return parts.select(
+        *components.columns,
+        F.lower(F.coalesce(none_if_empty(F.col("_u.name")), F.col("name"))).alias("_product"),
+        F.coalesce(F.lower(version), F.lit("")).alias("_version"),
+    )
+
+
 def index_matches(components: DataFrame, index: DataFrame) -> DataFrame:
     """Matches by product name, confirmed or ruled out by version where both sides have one.
 
@@ -78,16 +89,9 @@ def index_matches(components: DataFrame, index: DataFrame) -> DataFrame:
     name among entries without versions, without a version by name alone. A name whose versions don't fit yields no row
     on the way, so a product with very many vulnerabilities costs no more than its matches.
     """
-    parts = compute_once(
-        components, ["doc_id", "pos", "purl", "name", "version"], purl_parts(F.col("purl")), "_u"
-    )
-    version = F.coalesce(none_if_empty(F.col("_u.version")), none_if_empty(F.col("version")))
-    wanted = parts.select(
-        "doc_id",
-        "pos",
-        F.coalesce("purl", F.lit("")).alias("purl"),
-        F.lower(F.coalesce(none_if_empty(F.col("_u.name")), F.col("name"))).alias("product"),
-        F.coalesce(F.lower(version), F.lit("")).alias("_version"),
+    keyed = components if "_product" in components.columns else with_lookup_keys(components)
+    wanted = keyed.select(
+        "doc_id", "pos", F.coalesce("purl", F.lit("")).alias("purl"), F.col("_product").alias("product"), "_version"
     ).where(F.col("product") != "")
     asked = wanted.select("product", "_version").distinct()
     versioned, bare = asked.where("_version <> ''"), asked.where("_version = ''")
@@ -117,10 +121,11 @@ def match_components(
     """One row per (document, purl, vulnerability): stated matches win, then component order.
 
     ``components``: doc_id, pos, purl, name, version, bom_ref. Without an index
-    only the stated matches remain. Components are stored once and then read by
-    each step, so a corpus is parsed once for them.
+    only the stated matches remain. Components are stored once, with what they are
+    looked up by, and then read by each step, so a corpus is parsed once for them.
     """
-    components = cut_lineage(components.select("doc_id", "pos", "purl", "name", "version", "bom_ref"))
+    components = components.select("doc_id", "pos", "purl", "name", "version", "bom_ref")
+    components = cut_lineage(components if index is None else with_lookup_keys(components))
     found = inline_matches(components, inline)
     if index is not None:
         found = found.unionByName(index_matches(components, index))

@@ -5,6 +5,8 @@ import json
 import pytest
 
 from riskloom.operators.match import match_components, product_index
+from riskloom.operators import match
+from riskloom.session import cut_lineage
 from riskloom.operators.score import baseline_lookup, rank_matches, score_ids
 from riskloom.plans.ranking import rank_documents
 from riskloom.sources.sbom import parse_documents, read_documents
@@ -209,3 +211,15 @@ def test_rank_documents(spark):
         ("d0", 2, "CVE-1", False),
     ]
     assert [r["doc_id"] for r in rejects.collect()] == ["d2"]
+
+
+def test_lookup_keys_are_stored_with_the_components(spark, monkeypatch):
+    stored = []
+    monkeypatch.setattr(match, "cut_lineage", lambda df: stored.append(df.columns) or cut_lineage(df))
+    rows = [("d", 0, "pkg:generic/Lantern@0.9", "x", None, "r"), ("d", 1, "", "lamp", "2.0", "s")]
+    components = spark.createDataFrame(rows, "doc_id string, pos int, purl string, name string, version string, bom_ref string")
+    index = spark.createDataFrame([("lantern", "CVE-1", ["0.9"]), ("lamp", "CVE-2", None)], "product string, cve_id string, versions array<string>")
+    inline = spark.createDataFrame([], "doc_id string, ref string, cve_id string")
+    got = {(r["cve_id"], r["purl"], r["match_method"]) for r in match.match_components(components, inline, index).collect()}
+    assert got == {("CVE-1", "pkg:generic/Lantern@0.9", match.EXACT), ("CVE-2", "", match.NAME)}
+    assert {"_product", "_version"} <= set(stored[0])
