@@ -3,6 +3,7 @@ from __future__ import annotations
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from riskloom.operators.match import match_components, product_index
 from riskloom.operators import match
@@ -223,3 +224,12 @@ def test_lookup_keys_are_stored_with_the_components(spark, monkeypatch):
     got = {(r["cve_id"], r["purl"], r["match_method"]) for r in match.match_components(components, inline, index).collect()}
     assert got == {("CVE-1", "pkg:generic/Lantern@0.9", match.EXACT), ("CVE-2", "", match.NAME)}
     assert {"_product", "_version"} <= set(stored[0])
+
+
+def test_requests_are_read_once(spark):
+    requests = spark.range(6).select(F.concat(F.lit("C"), "id").alias("cve_id"), "id")
+    master = spark.createDataFrame([("C1", 0.5, 0.5, True, 1.0), ("C2", 0.25, 0.5, False, None), (None, 0.5, 0.5, True, 1.0)], MASTER)
+    predictions = spark.createDataFrame([("C2", 0.5), ("C3", 0.125), (None, 0.5), ("C9", 0.5)], "cve_id string, predicted double")
+    made = score_ids(requests.unionByName(spark.createDataFrame([(None, 7)], "cve_id string, id bigint")), master, predictions)
+    assert {r["id"]: r["probability"] for r in made.collect()} == {0: 0.0, 1: 0.5, 2: 0.75, 3: 0.125, 4: 0.0, 5: 0.0, 7: 0.0}
+    assert made._jdf.queryExecution().optimizedPlan().toString().count("Range (0, 6") == 1
