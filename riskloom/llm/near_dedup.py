@@ -1,15 +1,16 @@
 """Near-duplicate documents by tensored MinHash bands.
 
-Two collections of ``bands`` bands of ``rows`` minhashes each are computed per document; table key (i, j) combines band
-i of the first with band j of the second. ``bands`` squared keys of 2 * ``rows`` minhashes thus cost only
-2 * ``bands`` * ``rows`` minhashes. Documents that reach the similarity meet in at least one bucket unless one of the
-collections fails them altogether; with the defaults that happens to 4 in 10,000 pairs at exactly 0.8, and to fewer above.
-
-Documents with equal shingle sets are one node. Inside a bucket no pairs are written out: members are held against its
-smallest and largest node first. Buckets whose members have become one component need no more. Members of the others
-are brought together once more by the bands of the first collection, compared in blocks by their minhashes, and only
-pairs of different components that may reach the similarity leave the task, each once. A link counts only after the
-full shingle sets were compared.
+Two collections of ``bands`` bands of ``rows`` minhashes each are computed per document. Documents that share a band of
+the first collection are compared; with the defaults two of exactly the similarity 0.8 share none in 2 of 10,000 cases,
+and more alike ones in fewer. Where very many share a band, those are compared that also share one of the second, which
+lets as many pairs pass again.
+
+Documents with equal shingle sets are one node. Nodes that share bands of the first collection are first held against the
+ends of those bands they share most often, a few pairs a node; a pair is a link if its full shingle sets reach the
+similarity. Bands whose members have become one component need no more. Members of the others are compared with one
+another inside the task that holds them, by minhashes and then by full sets; what leaves the task are links that join
+components there, at most as many as it has members, so that a group whose members are near one another but not linked
+writes no pairs out. A band of very many members is divided by the bands of the second collection before.
 """
 
 from __future__ import annotations
@@ -31,8 +32,10 @@ from riskloom.session import cut_lineage
 
 BANDS = 16
 ROWS = 4
-#: Members of a band that are compared with one another at once.
-BLOCK = 4096
+#: Members of a band that are compared with one another at once, and the hashes of their sets.
+BLOCK, BLOCK_HASHES = 4096, 1 << 22
+#: Pairs a node has at most with the ends of its bands.
+LEADERS = 3
 
 
 def group_sets(words: Words, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -110,18 +113,15 @@ def least_matches(functions: int, similarity: float) -> int:
 
 
 def _alike(matches: int):
-    """Pairs (x, y, sx, sy) whose sketches agree often enough, with the number of agreements."""
+    """Pairs (x, y) of rows (x, y, sx, sy) whose sketches agree often enough."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
             a, b = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for i in (2, 3))
-            same = (a == b).sum(axis=1)
-            keep = pa.array(same >= matches)
-            yield pa.record_batch(
-                [batch.column(0).filter(keep), batch.column(1).filter(keep), pa.array(same[same >= matches].astype(np.int32))], names=["x", "y", "same"]
-            )
+            keep = pa.array((a == b).sum(axis=1) >= matches)
+            yield pa.record_batch([batch.column(0).filter(keep), batch.column(1).filter(keep)], names=["x", "y"])
 
     return run
 
@@ -147,36 +147,82 @@ def _confirm(size: int, percent: int):
     return run
 
 
+def _with_sets(size: int):
+    """Rows (node, n, sketch, a, b, text) with the sorted shingle hashes in place of the text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at, to, words in word_groups(batch.column(5), lower=True):
+                hashes, offsets = group_sets(words, size)
+                raw = hashes.tobytes()
+                sets = pa.array([raw[8 * i : 8 * j] for i, j in zip(offsets[:-1], offsets[1:])], pa.binary())
+                kept = [batch.column(i).slice(at, to - at) for i in range(5)]
+                yield pa.record_batch([*kept, sets], names=["node", "n", "sketch", "a", "b", "hashes"])
+
+    return run
+
+
+class _Sets:
+    """Full sets of a few nodes, as numbers of their distinct hashes."""
+
+    def __init__(self, hashes: pd.Series):
+        lengths = np.array([len(h) // 8 for h in hashes])
+        self.at = np.concatenate([[0], np.cumsum(lengths)])
+        distinct, self.number = np.unique(np.frombuffer(b"".join(hashes), np.uint64), return_inverse=True)
+        self.mark = np.zeros(len(distinct), bool)
+
+    def common(self, x: int, others: np.ndarray) -> np.ndarray:
+        """How many hashes each of ``others`` has in common with ``x``."""
+        own = self.number[self.at[x] : self.at[x + 1]]
+        self.mark[own] = True
+        lengths = self.at[others + 1] - self.at[others]
+        starts = np.cumsum(lengths) - lengths
+        places = np.arange(lengths.sum()) + np.repeat(self.at[others] - starts, lengths)
+        both = np.add.reduceat(self.mark[self.number[places]].astype(np.int64), starts)
+        self.mark[own] = False
+        return both
+
+
 def _blocks(matches: int, percent: int):
-    """Pairs of different components that may be near, each once.
+    """Links between different components, each of which joins two that no other link of its block has joined.
 
-    Rows (band, bi, bj, block, at, node, label, n, sketch, a) are sorted by the first three; ``a`` are the bands of the
-    first collection and ``at`` is the place of ``band`` among them. A pair counts in the first band that both share.
+    Rows (band, bi, bj, block, at, bt, node, label, n, sketch, a, b, hashes) are sorted by the first three; ``at`` is the
+    place of the band in ``a``, and ``bt`` in ``b`` where it is divided, else -1. A pair is compared in the first band
+    that both share.
     """
-    columns = ["band", "bi", "bj", "block", "at", "node", "label", "n"]
+    columns = ["band", "bi", "bj", "block", "at", "bt", "node", "label", "n"]
 
-    def pairs(frame: pd.DataFrame) -> list[tuple[int, int]]:
-        band, bi, bj, block, at, node, label, n = (frame[c].to_numpy() for c in columns)
+    def links(frame: pd.DataFrame) -> list[tuple[int, int]]:
+        band, bi, bj, block, at, bt, node, label, n = (frame[c].to_numpy() for c in columns)
         sketch = np.frombuffer(b"".join(frame["sketch"]), np.uint8).reshape(len(frame), -1)
-        bands = np.stack(frame["a"].to_numpy())
+        first, second = np.stack(frame["a"].to_numpy()), np.stack(frame["b"].to_numpy())
         new = (band[1:] != band[:-1]) | (bi[1:] != bi[:-1]) | (bj[1:] != bj[:-1])
         edges = np.concatenate([[0], np.flatnonzero(new) + 1, [len(frame)]])
-        out = []
+        out, now = [], label.copy()
         for a, b in zip(edges, edges[1:]):
             if b - a < 2 or (label[a:b] == label[a]).all():
                 continue
-            within = bi[a] == bj[a]
+            within, sets = bi[a] == bj[a], None
             for x in range(a, b):
                 if block[x] != bi[a]:
                     continue
                 # inside one block a pair is met once, from its first row
                 others = np.arange(x + 1 if within else a, b)
-                fits = (label[others] != label[x]) & (100 * np.minimum(n[others], n[x]) >= percent * np.maximum(n[others], n[x]))
+                fits = (now[others] != now[x]) & (100 * np.minimum(n[others], n[x]) >= percent * np.maximum(n[others], n[x]))
                 others = others[fits if within else fits & (block[others] != bi[a])]
                 others = others[(sketch[others] == sketch[x]).sum(axis=1) >= matches]
-                if len(others):
-                    others = others[(bands[others] == bands[x]).argmax(axis=1) == at[x]]
-                    out.extend((min(node[x], node[o]), max(node[x], node[o])) for o in others)
+                others = others[(first[others] == first[x]).argmax(axis=1) == at[x]]
+                if bt[x] >= 0:
+                    others = others[(second[others] == second[x]).argmax(axis=1) == bt[x]]
+                if not len(others):
+                    continue
+                if sets is None:
+                    sets = _Sets(frame["hashes"].iloc[a:b])
+                both = sets.common(x - a, others - a)
+                for o in others[100 * both >= percent * (n[others] + n[x] - both)]:
+                    if now[o] != now[x]:
+                        out.append((min(node[x], node[o]), max(node[x], node[o])))
+                        now[a:b][now[a:b] == now[o]] = now[x]
         return out
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -188,10 +234,10 @@ def _blocks(matches: int, percent: int):
             last = held[["band", "bi", "bj"]].to_numpy()
             whole = len(held) - int((last == last[-1]).all(axis=1)[::-1].cumprod().sum())
             if whole:
-                yield pd.DataFrame(pairs(held.iloc[:whole]), columns=["x", "y"]).astype("int64")
+                yield pd.DataFrame(links(held.iloc[:whole]), columns=["x", "y"]).astype("int64")
                 held = held.iloc[whole:]
         if held is not None:
-            yield pd.DataFrame(pairs(held), columns=["x", "y"]).astype("int64")
+            yield pd.DataFrame(links(held), columns=["x", "y"]).astype("int64")
 
     return run
 
@@ -199,8 +245,9 @@ def _blocks(matches: int, percent: int):
 class _Search:
     """The nodes of one run, their texts and the links found so far."""
 
-    def __init__(self, nodes: DataFrame, texts: DataFrame, size: int, percent: int, matches: int):
-        self.nodes, self.texts, self.size, self.percent, self.matches = nodes, texts, size, percent, matches
+    def __init__(self, nodes: DataFrame, size: int, percent: int, matches: int):
+        self.nodes, self.size, self.percent, self.matches = nodes, size, percent, matches
+        self.texts: DataFrame | None = None
         self.links: DataFrame | None = None
         self.labels: DataFrame | None = None
 
@@ -210,43 +257,58 @@ class _Search:
         other = self.nodes.select(F.col("node").alias("y"), F.col("n").alias("ny"), F.col("sketch").alias("sy"))
         fits = 100 * F.least("nx", "ny") >= self.percent * F.greatest("nx", "ny")
         joined = pairs.join(side, "x").join(other, "y").filter(fits).select("x", "y", "sx", "sy")
-        return joined.mapInArrow(_alike(self.matches), "x long, y long, same int")
-
-    def apart(self, pairs: DataFrame) -> DataFrame:
-        """Pairs whose ends aren't yet in one component."""
-        if self.labels is None:
-            return pairs
-        side = self.labels.select(F.col("node").alias("x"), F.col("label").alias("lx"))
-        other = self.labels.select(F.col("node").alias("y"), F.col("label").alias("ly"))
-        joined = pairs.join(side, "x", "left").join(other, "y", "left")
-        return joined.filter(F.coalesce("lx", "x") != F.coalesce("ly", "y")).select(*pairs.columns)
+        return joined.mapInArrow(_alike(self.matches), "x long, y long")
 
     def confirm(self, pairs: DataFrame) -> None:
         """Compare full sets and renew the components."""
         tx = self.texts.select(F.col("node").alias("x"), F.col("text").alias("tx"))
         ty = self.texts.select(F.col("node").alias("y"), F.col("text").alias("ty"))
         joined = pairs.select("x", "y").join(tx, "x").join(ty, "y").select("x", "y", "tx", "ty")
-        links = cut_lineage(joined.mapInArrow(_confirm(self.size, self.percent), "x long, y long"))
-        if self.links is not None:
-            links = self.links.unionByName(links)
-        self.links = links
-        self.labels = smallest_reachable(links)
-
-
-def _buckets(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Members (key, node) of buckets, and the buckets of two nodes or more: one for each different membership."""
-    bands = nodes.select("node", F.explode(F.concat("a", "b")).alias("band"))
-    met = bands.groupBy("band").agg(F.min("node").alias("_lo"), F.max("node").alias("_hi")).filter("_lo < _hi").select("band")
-    shared = bands.join(met, "band").groupBy("node").agg(F.collect_set("band").alias("bands"))
-    both = nodes.select("node", "a", "b").join(shared, "node")
-    both = both.select("node", F.array_intersect("a", "bands").alias("a"), F.array_intersect("b", "bands").alias("b")).filter("size(a) > 0 and size(b) > 0")
-    tables = stored(both, "bands")
-    members = tables.select("node", "b", F.explode("a").alias("_a")).select("node", "_a", F.explode("b").alias("_b")).select(F.xxhash64("_a", "_b").alias("key"), "node")
-    sizes = members.groupBy("key").agg(
-        F.count("*").alias("n"), F.min("node").alias("lo"), F.max("node").alias("hi"),
-        F.bit_xor(F.xxhash64("node")).alias("p"), F.bit_xor(F.xxhash64(F.lit(1), "node")).alias("q"),
-    ).filter("n > 1")
-    return members, sizes.groupBy("n", "lo", "hi", "p", "q").agg(F.min("key").alias("key")).select("key", F.col("n").alias("members"), "lo", "hi")
+        self.add(joined.mapInArrow(_confirm(self.size, self.percent), "x long, y long"))
+
+    def add(self, links: DataFrame) -> None:
+        links = cut_lineage(links)
+        self.links = links if self.links is None else self.links.unionByName(links)
+        self.labels = smallest_reachable(self.links)
+
+    def labelled(self, rows: DataFrame) -> DataFrame:
+        """Rows with the ``label`` of their node."""
+        return rows.join(self.labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+
+
+def _shared(nodes: DataFrame) -> DataFrame:
+    """Rows (band, node, n, at, lo, hi) of the first collection's bands that two nodes or more share."""
+    bands = nodes.select("node", "n", F.posexplode("a").alias("at", "band"))
+    met = bands.groupBy("band").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo < hi")
+    return bands.join(met, "band")
+
+
+def _leaders(shared: DataFrame) -> DataFrame:
+    """Distinct pairs (x, y) of each node and the ends that it shares most bands with."""
+    ends = shared.select("node", F.explode(F.array("lo", "hi")).alias("end")).filter("node != end").groupBy("node", "end").agg(F.count("*").alias("c"))
+    most = F.slice(F.sort_array(F.collect_list(F.struct(-F.col("c"), F.col("end")))), 1, LEADERS)  # at most twice as many ends as a node has bands
+    pairs = ends.groupBy("node").agg(most.alias("most")).select("node", F.explode("most.end").alias("end"))
+    return pairs.select(F.least("node", "end").alias("x"), F.greatest("node", "end").alias("y")).distinct()
+
+
+def _open(placed: DataFrame, block: int) -> DataFrame:
+    """Rows of bands with members of several components, with the band's number of members and of blocks."""
+    met = placed.groupBy("band").agg(F.count("*").alias("members"), F.sum("n").alias("_n"), F.min("label").alias("_lo"), F.max("label").alias("_hi"))
+    blocks = F.ceil(F.greatest(F.col("members") / block, F.col("_n") / BLOCK_HASHES)).cast("int")
+    return placed.join(met.filter("_lo < _hi").select("band", "members", blocks.alias("blocks")), "band")
+
+
+def _dealt(shared: DataFrame, nodes: DataFrame, block: int) -> DataFrame:
+    """Rows (band, bi, bj, block, at, bt, node, label): members of open bands, once for each pair of blocks that holds theirs."""
+    placed = cut_lineage(_open(shared, block))
+    crowded = placed.filter(F.col("members") > block).select("band", "at", "node", "n", "label").join(nodes.select("node", "b"), "node")
+    crowded = crowded.select("at", "node", "n", "label", "band", F.posexplode("b").alias("bt", "_b")).withColumn("band", F.xxhash64("band", "_b")).drop("_b")
+    wanted = ["band", "blocks", "at", "bt", "node", "label"]
+    rows = placed.filter(F.col("members") <= block).withColumn("bt", F.lit(-1)).select(wanted).unionByName(_open(crowded, block).select(wanted))
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    return rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
+        "band", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"), "block", "at", "bt", "node", "label"
+    )
 
 
 def near_duplicates(
@@ -257,6 +319,7 @@ def near_duplicates(
     text_col: str = "text",
     bands: int = BANDS,
     rows: int = ROWS,
+    block: int = BLOCK,
 ) -> DataFrame:
     """Per different row (id, text) of ``docs``: its id, ``text_key``, ``n_shingles``, ``component_id``.
 
@@ -274,40 +337,19 @@ def near_duplicates(
     first = known.join(classes, "digest").filter("doc = node").groupBy("node").agg(F.min_by(F.struct("tkey", "n", "a", "b", "sketch"), "tkey").alias("f"))
     nodes = stored(first.select("node", "f.*"), "nodes")
     matches = least_matches(2 * bands * rows, percent / 100)
-    members, buckets = _buckets(nodes)
-    buckets = cut_lineage(buckets)
-    stars = members.join(buckets, "key").select("node", F.explode(F.array("lo", "hi")).alias("end")).filter("node != end")
-    search = _Search(nodes, nodes, shingle, percent, matches)
-    pairs = stored(search.likely(stars.select(F.least("node", "end").alias("x"), F.greatest("node", "end").alias("y")).distinct()), "pairs")
-
-    rest = members.join(buckets.filter("members > 3"), "key")  # up to three members, the stars hold all pairs
-    involved = (
-        pairs.select(F.col("x").alias("node")).unionByName(pairs.select(F.col("y").alias("node")))
-        .unionByName(rest.select("node")).distinct()
-        .join(nodes.select("node", "tkey"), "node").withColumnsRenamed({"tkey": "_k"})
-    )
-    own = texts.join(involved.hint("shuffle_hash"), (F.col("doc") == F.col("node")) & (F.col("tkey") == F.col("_k")))
+    shared = stored(_shared(nodes), "bands")
+    search = _Search(nodes, shingle, percent, matches)
+    own = shared.select("node").distinct().join(nodes.select("node", "tkey"), "node").withColumnRenamed("tkey", "_k")
+    own = texts.join(own.hint("shuffle_hash"), (F.col("doc") == F.col("node")) & (F.col("tkey") == F.col("_k")))
     search.texts = stored(own.select("node", "text").dropDuplicates(["node"]), "node-texts")
-
-    best = F.max_by("x", F.struct("same", -F.col("x")))
-    search.confirm(cut_lineage(pairs.groupBy("y").agg(best.alias("x")).select("x", "y")))
-    search.confirm(cut_lineage(search.apart(pairs)))
-
-    labelled = rest.join(search.labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
-    open_ = labelled.groupBy("key").agg(F.min("label").alias("_lo"), F.max("label").alias("_hi")).filter("_lo < _hi").select("key")
-    apart = labelled.join(open_, "key").select("node", "label").distinct()
-    apart = stored(apart.join(nodes.select("node", "n", "sketch", "a"), "node"), "apart")
-    banded = apart.select("node", "label", F.posexplode("a").alias("at", "band"))
-    met = banded.groupBy("band").agg(F.count("*").alias("_n"), F.min("label").alias("_lo"), F.max("label").alias("_hi")).filter("_lo < _hi")
-    placed = banded.join(met.select("band", F.ceil(F.col("_n") / BLOCK).cast("int").alias("blocks")), "band")
-    placed = placed.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    dealt = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "band", F.least("block", "other").alias("bi"), F.greatest("block", "other").alias("bj"), "block", "at", "node", "label"
-    )
-    dealt = dealt.join(apart.drop("label"), "node").select("band", "bi", "bj", "block", "at", "node", "label", "n", "sketch", "a")
-    sorted_ = dealt.repartition("band", "bi", "bj").sortWithinPartitions("band", "bi", "bj")
-    left = sorted_.mapInPandas(_blocks(matches, percent), "x long, y long")
-    search.confirm(cut_lineage(left.join(pairs.select("x", "y"), ["x", "y"], "left_anti")))
+    search.confirm(cut_lineage(search.likely(_leaders(shared))))
+
+    dealt = cut_lineage(_dealt(search.labelled(shared.select("band", "node", "n", "at")), nodes, block))
+    apart = nodes.join(dealt.select("node").distinct(), "node").join(search.texts, "node").select("node", "n", "sketch", "a", "b", "text")
+    apart = stored(apart.mapInArrow(_with_sets(shingle), "node long, n long, sketch binary, a array<long>, b array<long>, hashes binary"), "apart")
+    whole = dealt.join(apart, "node").select("band", "bi", "bj", "block", "at", "bt", "node", "label", "n", "sketch", "a", "b", "hashes")
+    sorted_ = whole.repartition("band", "bi", "bj").sortWithinPartitions("band", "bi", "bj")
+    search.add(sorted_.mapInPandas(_blocks(matches, percent), "x long, y long"))
 
     labels = classes.join(search.labels, "node", "left").select("digest", F.coalesce("label", "node").alias("label"))
     out = sigs.filter("n > 0 and doc is not null").join(labels, "digest").select("doc", "tkey", "n", "label")

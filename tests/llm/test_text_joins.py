@@ -7,6 +7,7 @@ import random
 import brute
 import pytest
 
+from riskloom.llm import near_dedup
 from riskloom.llm.decontaminate import contamination
 from riskloom.llm.line_dedup import dedup_lines
 from riskloom.llm.near_dedup import drop_near_duplicates, near_duplicates
@@ -155,6 +156,28 @@ def test_near_duplicates_in_crowded_buckets(spark):
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == brute.components(docs, 1, 80)
 
 
+@pytest.mark.parametrize("block", [16, 4096])
+def test_a_large_group_that_is_near_but_not_linked(spark, monkeypatch, block):
+    """No table holds the pairs of the group, which differ in about as many words as the similarity still forbids."""
+    rng = random.Random(21)
+    base, docs = [f"w{i}" for i in range(120)], []
+    for i in range(240):
+        copied = i > 0 and i % 12 == 0
+        words = docs[i - 2][1].split(" ") if copied else list(base)
+        for at in rng.sample(range(120), 3 if copied else 10):
+            words[at] = f"n{i}x{at}"
+        docs.append((i, " ".join(words)))
+    sizes = []
+    for name in ("stored", "cut_lineage"):
+        keep = getattr(near_dedup, name)
+        monkeypatch.setattr(near_dedup, name, lambda df, *label, keep=keep: sizes.append((out := keep(df, *label)).count()) or out)
+    got = near_duplicates(frame(spark, docs), 1, 80, **({"block": block} if block < 4096 else {})).collect()
+    want = brute.components(docs, 1, 80)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == want
+    assert 12 < len(docs) - len({c for _, c in want.values()}) < 40
+    assert max(sizes) <= 40 * len(docs) or block < 4096
+
+
 def test_drop_near_duplicates_keeps_one_of_each_group(spark):
     text = sentence(random.Random(1), 40).replace("é", "e")
     docs = [(5, text), (3, text), (3, text), (None, text), (None, None), (7, None), (8, None), (9, text.upper())]
