@@ -79,6 +79,24 @@ def test_asof_lookup_takes_the_latest_known(spark):
     assert {r["k"]: r["seen"] for r in found.collect()} == {"a": 3, "b": 0}
 
 
+@pytest.mark.parametrize("moments", [False, True])
+def test_asof_lookup_of_many_times_joins_no_pairs(spark, moments):
+    rng = random.Random(12)
+    day = lambda n: DAY0 + timedelta(n)
+    asked = [(i, rng.choice(["a", "b", "c", None]), rng.choice([None, *range(20)])) for i in range(200)]
+    known = [(rng.choice(["a", "b", None]), rng.choice([None, *range(25)]), rng.choice([None, *range(9)])) for _ in range(90)]
+    at = lambda n: None if n is None else datetime(2000, 1, 1, 9) + (day(n) - datetime(2000, 1, 1).date()) if moments else day(n)
+    left = spark.createDataFrame([(i, k, at(n)) for i, k, n in asked], f"i int, k string, d {'timestamp' if moments else 'date'}")
+    right = spark.createDataFrame([(k, None if n is None else day(n), v) for k, n, v in known], "k string, d date, v int")
+    found = asof_lookup(left, right, on="k", left_time="d", right_time="d", values={"seen": "v"}, matched="at")
+    want = {}
+    for i, k, n in asked:
+        best = max(((m, -1 if v is None else v) for o, m, v in known if k and n is not None and o == k and m is not None and m <= n), default=None)
+        want[i] = (None, None) if best is None else (None if best[1] < 0 else best[1], day(best[0]))
+    assert {r["i"]: (r["seen"], r["at"]) for r in found.collect()} == want
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 1
+
+
 @pytest.mark.parametrize("slices", [1, 3, 50])
 @pytest.mark.parametrize("descending", [True, False])
 def test_running_totals(spark, slices, descending):
