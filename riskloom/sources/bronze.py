@@ -13,14 +13,14 @@ from riskloom.operators.dedup import keep_last
 from riskloom.schemas import EPSS_BRONZE, NVD_BRONZE, conform
 
 
-def write_table(df: DataFrame, path: str, contract: StructType, partition_by: str | None = None) -> None:
+def write_table(df: DataFrame, path: str, contract: StructType, partition_by: str | None = None, *, dealt: bool = False) -> None:
     """Cast to the contract and overwrite; with a partition column only its values present in ``df``.
 
-    Rows are rebalanced by the partition column first: a value goes to few
+    Rows are rebalanced by the partition column first, unless they are ``dealt`` already: a value goes to few
     tasks and so to few files, and adaptive execution splits a value that is too large.
     """
     rows = conform(df, contract)
-    if partition_by:
+    if partition_by and not dealt:
         rows = rows.hint("rebalance", partition_by)
     writer = rows.write.mode("overwrite").option("compression", "zstd")
     if partition_by:

@@ -36,9 +36,9 @@ EPSS_CSV = StructType([StructField(n, StringType()) for n in ("cve", "epss", "pe
 _DAY_IN_PATH = r".*(\d{4}-\d{2}-\d{2})"
 
 
-def day_of_file() -> Column:
+def day_of_file(path: str = "_metadata.file_path") -> Column:
     """The day a landed file belongs to, from its path."""
-    return F.to_date(F.regexp_extract(F.col("_metadata.file_path"), _DAY_IN_PATH, 1))
+    return F.to_date(F.regexp_extract(F.col(path), _DAY_IN_PATH, 1))
 
 
 class FeedError(RuntimeError):

@@ -9,7 +9,9 @@ import pytest
 from riskloom.operators.flatten import flatten_nvd
 from riskloom.plans.ranking import load_product_index
 from riskloom.schemas import EPSS_BRONZE, KEV_BRONZE, NVD_BRONZE
+from riskloom.session import cut_lineage
 from riskloom.sources import bronze, landing
+from riskloom.streaming import ingest
 from riskloom.streaming.ingest import ingest_scores
 
 D = date
@@ -232,6 +234,28 @@ def test_stream_picks_up_new_files_once(spark, tmp_path):
     assert first == {"CVE-0": 0.75, "CVE-1": 0.125, "CVE-2": 0.25}
 
 
+def test_stream_deals_a_day_in_parts_and_stores_no_batch_twice(spark, tmp_path, monkeypatch):
+    land, out, mark = (str(tmp_path / n) for n in ("land", "out", "mark"))
+    (tmp_path / "land").mkdir()
+    want, saved = {}, []
+    monkeypatch.setattr(ingest, "PART_ROWS", 20, raising=False)
+    monkeypatch.setattr(ingest, "cut_lineage", lambda df: saved.append((made := cut_lineage(df)).count()) or made)
+    for run, names in enumerate((("c-2024-01-01", "b-2024-01-02"), ("a-2024-01-01", "d-2024-01-01"))):
+        for at, name in enumerate(names):
+            ids = [f"CVE-{(i * (at + 3)) % 90}" for i in range(60)] + ["CVE-7"]
+            lines = [f"{cve},0.{n + 1:03d},0.{run}{at}" for n, cve in enumerate(ids)]
+            (tmp_path / "land" / f"{name}.csv").write_text("\n".join(["cve,epss,percentile", *lines]))
+            for n, cve in reversed(list(enumerate(ids))):
+                key = (cve, int(name[-2:]))
+                want[key] = min(want.get(key, ("z",)), (name, n, float(f"0.{n + 1:03d}")))
+        ingest_scores(spark, land, out, mark).awaitTermination()
+    got = {(r["cve_id"], r["snapshot_date"].day): round(r["epss_score"], 3) for r in bronze.read_epss_history(spark, out).collect()}
+    assert got == {key: value[2] for key, value in want.items()}
+    assert bronze.read_epss_history(spark, out).count() == len(want)
+    # What a batch puts aside is a row for each file.
+    assert saved == [2, 2]
+
+
 def test_missing_tables(spark, tmp_path):
     with pytest.raises(FileNotFoundError):
         bronze.read_nvd_bronze(spark, str(tmp_path / "none"))
