@@ -8,9 +8,9 @@ from operator import or_
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskloom.operators.dedup import keep_first, keep_last
+from riskloom.operators.dedup import keep_first
 from riskloom.operators.labels import HORIZON_DAYS
-from riskloom.plans.silver import FROM_NVD, build_master
+from riskloom.plans.silver import FROM_NVD, build_master, newest_scores
 from riskloom.schemas import CVE_MASTER
 from riskloom.session import cut_lineage
 from riskloom.sources import versioned
@@ -23,23 +23,27 @@ def _differs(pairs: dict[str, str]) -> Column:
     return reduce(or_, (~F.col(a).eqNullSafe(F.col(b)) for a, b in pairs.items()))
 
 
-def changed_ids(stored: DataFrame, nvd: DataFrame | None, kev: DataFrame, epss: DataFrame | None) -> DataFrame:
+def _first_marks(kev: DataFrame) -> DataFrame:
+    known = kev.where("cve_id is not null").select("cve_id", "date_added")
+    return keep_first(known, ["cve_id"], ["date_added"], hashed=True)
+
+
+def changed_ids(stored: DataFrame, nvd: DataFrame | None, kev: DataFrame, epss: DataFrame | None, *, unique: bool = False) -> DataFrame:
     """Distinct ids that landed in ``nvd`` or whose catalog day or score is not what ``stored`` has.
 
     Of the stored table only the id and the columns compared are read. An id may turn out to be unchanged after all.
+    ``unique`` says that ``kev`` and ``epss`` hold an id once.
     """
-    first = keep_first(kev.where("cve_id is not null"), ["cve_id"], ["date_added"]).select("cve_id", F.col("date_added").alias("_k"))
-    marked = stored.select("cve_id", "kev_date_added").join(first, "cve_id", "left").where(_differs({"kev_date_added": "_k"}))
-    out = marked.select("cve_id")
-    if nvd is not None:
-        out = out.unionByName(nvd.select("cve_id"))
+    first = (kev if unique else _first_marks(kev)).select("cve_id", F.col("date_added").alias("_k"))
+    held = stored.select("cve_id", "kev_date_added", *_SCORES).join(first, "cve_id", "left")
     if epss is None:
-        scored = stored.where(F.coalesce(*(F.col(c).cast("string") for c in _SCORES)).isNotNull())
+        other = F.coalesce(*(F.col(c).cast("string") for c in _SCORES)).isNotNull()
     else:
-        newest = keep_last(epss, ["cve_id"], ["snapshot_date", "epss_score", "epss_percentile"])
+        newest = epss if unique else newest_scores(epss)
         renamed = newest.select("cve_id", F.col("epss_score").cast("float").alias("_s"), F.col("epss_percentile").cast("float").alias("_p"), F.col("snapshot_date").alias("_d"))
-        scored = stored.select("cve_id", *_SCORES).join(renamed, "cve_id", "left").where(_differs(_SCORES))
-    return out.unionByName(scored.select("cve_id")).distinct()
+        held, other = held.join(renamed, "cve_id", "left"), _differs(_SCORES)
+    out = held.where(_differs({"kev_date_added": "_k"}) | other).select("cve_id")
+    return out if nvd is None else out.unionByName(nvd.select("cve_id")).distinct()
 
 
 def changed_rows(
@@ -48,19 +52,24 @@ def changed_rows(
     """The rows of the new master table that differ from ``stored``, new ids included.
 
     ``nvd`` holds vulnerability rows that landed since, one for each id; other ids keep the columns they have. ``kev`` is the
-    whole catalog and ``epss`` the snapshot in force, or none.
+    whole catalog and ``epss`` the snapshot in force, or none. Both are brought to one row for each id once, for telling what
+    changed and for the new rows.
     """
-    ids = cut_lineage(changed_ids(stored, nvd, kev, epss))
-    held = cut_lineage(stored.join(ids, "cve_id", "left_semi"))
-    base = held.select(*FROM_NVD)
-    if nvd is not None:
-        landed = nvd.select(*FROM_NVD)
-        base = base.join(landed.select("cve_id"), "cve_id", "left_anti").unionByName(landed)
-    scores = epss.join(ids, "cve_id", "left_semi") if epss is not None else None
-    made = build_master(base, kev.join(ids, "cve_id", "left_semi"), scores, horizon_days=horizon_days)
+    first = cut_lineage(_first_marks(kev))
+    newest = cut_lineage(newest_scores(epss, hashed=True)) if epss is not None else None
     whole = F.struct(*CVE_MASTER.names)
-    was = held.select(F.col("cve_id").alias("_id"), whole.alias("_was"))
-    return made.join(was, F.col("cve_id") == F.col("_id"), "left").where(~whole.eqNullSafe(F.col("_was"))).select(*CVE_MASTER.names)
+    ids = changed_ids(stored, nvd, first, newest, unique=True)
+    base = stored.join(ids, "cve_id", "left_semi").select("cve_id", whole.alias("_was"))
+    own = FROM_NVD[1:]
+    if nvd is None:
+        base = base.select("cve_id", *(F.col("_was")[c].alias(c) for c in own), "_was")
+    else:
+        landed = nvd.select("cve_id", F.struct(*(F.col(c).cast(CVE_MASTER[c].dataType).alias(c) for c in own)).alias("_new"))
+        fresh = F.col("_new").isNotNull()
+        columns = [F.when(fresh, F.col("_new")[c]).otherwise(F.col("_was")[c]).alias(c) for c in own]
+        base = base.join(landed, "cve_id", "full").select("cve_id", *columns, "_was")
+    made = build_master(base, first, newest, horizon_days=horizon_days, unique=True, keep=["_was"])
+    return made.where(~whole.eqNullSafe(F.col("_was"))).select(*CVE_MASTER.names)
 
 
 def publish_master(spark: SparkSession, root: str, master: DataFrame, *, buckets: int = versioned.BUCKETS) -> int:

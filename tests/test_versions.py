@@ -194,6 +194,19 @@ def test_the_master_table_follows_what_changed(spark, tmp_path):
         incremental.update_master(spark, f"{tmp_path}/other", None, kev, None)
 
 
+def test_scores_and_marks_are_told_apart_once(spark):
+    stored = build_master(nvd_rows(spark, [(i, 10) for i in range(6)]), marks(spark, [(1, 3)]), scores(spark, [(i, 0, 0.5) for i in range(4)]))
+    kev, epss = marks(spark, [(1, 3), (1, 2), (3, 1), (3, 9)]), scores(spark, [(0, 0, 0.5), (1, 0, 0.5), (2, 1, 0.25), (2, 0, 0.75), (3, 0, 0.5)])
+    landed = nvd_rows(spark, [(4, 11), (5, 10), (8, 1)])
+    rows = incremental.changed_rows(stored, landed, kev, epss)
+    everything = nvd_rows(spark, [(i, 11 if i == 4 else 10) for i in range(6)] + [(8, 1)])
+    assert as_set(rows) == as_set(build_master(everything, kev, epss)) - as_set(stored)
+    assert {r["cve_id"][-1] for r in rows.collect()} == set("12348")
+    # What is left to do after that sorts neither by day again.
+    plan = incremental.changed_rows(spark.createDataFrame(stored.collect(), stored.schema), landed, kev, epss)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan
+
+
 # -- the registry
 
 
